@@ -16,6 +16,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodeseek.session import ship
+
 #: Stands for a null id: it sorts before every other id.
 NULL_ID = -(2**63)
 
@@ -37,6 +39,7 @@ class Work:
     """
 
     def __init__(self, spark: SparkSession, name: str):
+        ship(spark)
         self.spark, self.at = spark, f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
     def path(self, name: str) -> str:

@@ -23,6 +23,8 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodeseek.session import ship
+
 #: A-Z in lower case, every ASCII character but letters and digits as a space.
 FOLD = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 97 <= c <= 122 or 48 <= c <= 57 else 32 for c in range(256))
 #: Words of items in a block; a block is broadcast.
@@ -179,6 +181,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, size: int = 10, block_w
     """
     from lodeseek.llm.common import Work, keyed
 
+    ship(docs.sparkSession)
     rows = keyed(docs).select("doc_id", "__ls_k", "__ls_t", F.col("text").cast("binary").alias("text"))
     parts = blocks(benchmark, block_words)
     first, second = next(parts, []), next(parts, None)
@@ -205,6 +208,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, size: int = 10, block_w
 def proximity_matches(docs: DataFrame, benchmark: DataFrame, span: int = 20, block_words: int = BLOCK_WORDS) -> DataFrame:
     """(doc_id, item_id): documents where all distinct terms of an item lie within span words of its rarest term there."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text"))
+    ship(docs.sparkSession)
     out = docs.sparkSession.createDataFrame([], "doc_id long, item_id string")
     for items in blocks(benchmark, block_words):
         shared = docs.sparkSession.sparkContext.broadcast(Phrases(items, 1 << 30))

@@ -12,17 +12,19 @@ an empty result; further columns are ignored.
 
 from __future__ import annotations
 
+import struct
 from collections.abc import Iterator
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodeseek.llm import bpe
 from lodeseek.llm.common import NULL_ID, Work, crc, id_key
 from lodeseek.llm.token_counts import load
 
 #: White-space separated strings whose ids a task remembers; at the limit it starts anew.
-REMEMBERED = 250_000
+REMEMBERED = 500_000
 #: Pieces in a group on average.
 GROUP = 2_000
 
@@ -31,11 +33,34 @@ class Ids:
     """Ids of texts as little-endian unsigned 32-bit bytes.
 
     The vocabulary's normaliser and its pre-token pattern never join what ASCII white space separates, so each
-    separated string has the same ids alone as in the text.
+    separated string has the same ids alone as in the text. Strings below U+0100 are in composed form already and
+    their lower case goes letter by letter, so their pre-tokens go straight to the merges; all others go through the
+    library as a whole.
     """
 
-    def __init__(self, vocabulary: str):
+    PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+    def __init__(self, vocabulary: str, without: frozenset[bytes] = frozenset()):
+        import regex
+
         self.t, self.known = load(vocabulary), {}
+        self.merge, self.split = bpe.encoder(vocabulary, without), regex.compile(self.PATTERN).findall
+        self.special = [x.content for x in self.t.get_added_tokens_decoder().values()]
+
+    def learn(self, words: list[bytes]) -> None:
+        rest = []
+        for w in words:
+            x = w.decode()
+            if max(x) < "\u0100" and "<|" not in x:
+                ids: list[int] = []
+                x = x.lower()
+                for p in (x,) if x.isalpha() else self.split(x):
+                    ids += self.merge(p.encode() + bpe.MARK)
+                self.known[w] = pack_ids(ids)
+            else:
+                rest.append(w)
+        for x, e in zip(rest, self.t.encode_batch([w.decode() for w in rest], add_special_tokens=False), strict=True):
+            self.known[x] = pack_ids(e.ids)
 
     def of(self, texts: list[bytes]) -> list[bytes]:
         cut = [x.split() for x in texts]
@@ -44,15 +69,15 @@ class Ids:
             new.update(words)
         if len(self.known) + len(new) > REMEMBERED:
             self.known = {}
-        names = list(new - self.known.keys())
-        for at in range(0, len(names), 4096):
-            part = names[at : at + 4096]
-            for x, e in zip(part, self.t.encode_batch([w.decode() for w in part], add_special_tokens=False), strict=True):
-                self.known[x] = np.array(e.ids, "<u4").tobytes()
+        self.learn(list(new - self.known.keys()))
         get = self.known.__getitem__
         return [b"".join(map(get, words)) for words in cut]
 
 
+def pack_ids(ids: list[int]) -> bytes:
+    return struct.pack(f"<{len(ids)}I", *ids)
+
+
 def pack_lengths(lengths: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
     """First-fit decreasing: the bin and the offset of each item. Items are at most size long.
 
@@ -83,10 +108,12 @@ def pack_lengths(lengths: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray
 def pieces(docs: DataFrame, vocabulary: str, size: int, end: int) -> DataFrame:
     """doc_id (NULL_ID for null), start, length, ids_crc32, doc_tokens."""
 
+    without = bpe.unreachable(vocabulary)
+
     def cut(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        ids, tail = Ids(vocabulary), np.array([end], "<u4").tobytes()
+        ids, tail = Ids(vocabulary, without), np.array([end], "<u4").tobytes()
         for b in batches:
             for at in range(0, b.num_rows, 256):
                 part, out = b.slice(at, 256), []

@@ -22,6 +22,8 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodeseek.session import ship
+
 SAMPLE, LONGEST, DIM, HIDDEN, WINDOW = 4_000, 30_000, 64, 32, 2
 #: Words whose vectors a task remembers; at the limit it starts anew.
 REMEMBERED = 200_000
@@ -196,6 +198,7 @@ def classify(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, longest:
 
 def scored(docs: DataFrame, model: Model) -> DataFrame:
     """The columns of docs and __ls_score, in one narrow pass. docs has a column text."""
+    ship(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index("text")
 

@@ -16,7 +16,9 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodeseek.llm import bpe
 from lodeseek.llm.common import tokenizer_file
+from lodeseek.session import ship
 
 #: Strings whose counts a task remembers; at the limit it starts anew. It bounds memory and changes no result.
 REMEMBERED = 400_000
@@ -33,18 +35,19 @@ def load(vocabulary: str):
 
 
 def whole_tokens(vocabulary: str) -> frozenset[str]:
-    """The vocabulary strings that encode alone, as one pre-token, to one token. At most one per vocabulary entry."""
-    import regex
+    """The vocabulary strings that are one pre-token and, alone, one token: proved by merging each with the plain rule."""
     import public_tokenizers
+    import regex
 
-    t = load(vocabulary)
-    split, found = regex.compile(public_tokenizers.PATTERN), []
-    special = {x.content for x in t.get_added_tokens_decoder().values()}
-    texts = [t.decode([i], skip_special_tokens=False) for i in range(t.get_vocab_size())]
-    texts = [x for x in texts if x and x not in special and "�" not in x and split.findall(x) == [x]]
-    for x, e in zip(texts, t.encode_batch(texts, add_special_tokens=False), strict=True):
-        if len(e.ids) == 1:
-            found.append(x)
+    split, (ranks, _), bad = regex.compile(public_tokenizers.PATTERN), bpe.parts(vocabulary), bpe.unreachable(vocabulary)
+    found = []
+    for data in ranks:
+        try:
+            text = data.decode()
+        except UnicodeDecodeError:
+            continue
+        if data not in bad and split.findall(text) == [text]:
+            found.append(text)
     return frozenset(found)
 
 
@@ -69,32 +72,29 @@ def pieces_of(text: str) -> list[str]:
 class Counter:
     """Counts the tokens of texts for one task."""
 
-    def __init__(self, vocabulary: str, whole: frozenset[str]):
+    def __init__(self, vocabulary: str, whole: frozenset[str], without: frozenset[bytes] = frozenset()):
         import public_tokenizers
         import regex
 
         self.t, self.whole, self.known = load(vocabulary), whole, {}
-        self.split = regex.compile(public_tokenizers.PATTERN)
+        self.split, self.merge = regex.compile(public_tokenizers.PATTERN).findall, bpe.encoder(vocabulary, without)
         self.special = [x.content for x in self.t.get_added_tokens_decoder().values()]
 
     def learn(self, pieces: set[str]) -> None:
-        """Counts of pieces that are not known yet: whole pre-tokens count directly, the rest is merged."""
-        plain, rest = {}, {}
+        """Counts of pieces that are not known yet: whole pre-tokens count directly, the rest is merged.
+
+        Pieces below U+0100 are cut here; all others go through the library, whose pattern may know other letters.
+        """
+        whole, merge, known, rest = self.whole, self.merge, self.known, []
         for p in pieces:
-            if p in self.whole:
-                self.known[p] = 1
-            elif p.isascii() and not any(s in p for s in self.special):
-                tokens = self.split.findall(p)
-                left = [x for x in tokens if x not in self.whole]
-                plain[p] = (len(tokens) - len(left), left)
-                rest.update(dict.fromkeys(left))
+            if p in whole:
+                known[p] = 1
+            elif max(p) >= "\u0100" or min(p) < " " and "\x1b" < min(p):
+                rest.append(p)
             else:
-                rest[p] = None
-        names = list(rest)
-        for x, e in zip(names, self.t.encode_batch(names, add_special_tokens=False), strict=True):
-            rest[x] = len(e.ids)
-        self.known.update({p: n + sum(rest[x] for x in left) for p, (n, left) in plain.items()})
-        self.known.update({p: rest[p] for p in pieces if p not in self.known})
+                known[p] = sum(1 if x in whole else len(merge(x.encode())) for x in self.split(p))
+        for p, e in zip(rest, self.t.encode_batch(rest, add_special_tokens=False), strict=True):
+            known[p] = len(e.ids)
 
     def counts(self, texts: list[str]) -> list[int]:
         out, cut, new = [], [pieces_of(x) if not any(s in x for s in self.special) else None for x in texts], set()
@@ -111,12 +111,13 @@ class Counter:
 
 def token_counts(docs: DataFrame, vocabulary: str = "byte_bpe_50k.json", limit: int = 512) -> DataFrame:
     """doc_id, n_bytes, n_tokens, over_limit (n_tokens > limit) for every row of docs (doc_id, text)."""
-    whole = whole_tokens(vocabulary)
+    ship(docs.sparkSession)
+    whole, without = whole_tokens(vocabulary), bpe.unreachable(vocabulary)
 
     def count(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        counter = Counter(vocabulary, whole)
+        counter = Counter(vocabulary, whole, without)
         for b in batches:
             for at in range(0, b.num_rows, 256):
                 part = b.slice(at, 256)

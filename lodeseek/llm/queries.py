@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from lodeseek.llm import decontamination, line_dedup, packing, quality, simhash, substring_dedup, suffix_dedup, token_counts, topk
+from lodeseek.llm import decontamination, licenses, line_dedup, packing, quality, simhash, substring_dedup, suffix_dedup, token_counts, topk
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -41,6 +42,11 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.dedup_lines(table(spark, sf_dir, "documents"))
 
 
+def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return licenses.scan(docs.select("doc_id", F.concat_ws("/", "source", F.col("doc_id").cast("string")).alias("path"), "text"))
+
+
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -50,7 +56,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_substring_dedup, op2_token_counts, op3_packing, op4_simhash, op5_suffix_dedup, op6_topk, op7_line_dedup, op9_decontamination, op10_quality)}
+    return {f.__name__: f for f in (op1_substring_dedup, op2_token_counts, op3_packing, op4_simhash, op5_suffix_dedup, op6_topk, op7_line_dedup, op8_licenses, op9_decontamination, op10_quality)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -59,7 +59,7 @@ def column_wise(number: np.ndarray, off: np.ndarray, texts: list[bytes], window:
                 leave_next += 1
             at = np.flatnonzero(stay)
             # the common prefix with the last that stays is the least over those between
-            match = np.minimum.reduceat(match, np.concatenate([[0], at[:-1] + 1])) if len(at) else match[:0]
+            match = np.minimum.reduceat(match[: at[-1] + 1], np.concatenate([[0], at[:-1] + 1])) if len(at) else match[:0]
             order = order[at]
             if len(match):
                 match[0] = c + 1

@@ -7,7 +7,7 @@ hash occurs more than once are compared byte by byte (they are grouped by their
 
 Only hashes of chunks are shuffled for the count; the texts of repeated chunks alone are shuffled for the comparison.
 The count and the choice of the first occurrence combine before their shuffle, and the joins back are plain
-equi-joins that Spark can split, so a chunk that occurs in a third of all documents is no burden to one task.
+merge joins, never broadcasts of a side that grows, which Spark can split, so a chunk that occurs in a third of all documents is no burden to one task.
 
 Defined results: lines end at a line feed; a null text is an empty text of one empty line; a single-line chunk is
 never removed; a null doc_id is the smallest id; rows that agree in id and text share their decisions (each of their
@@ -53,9 +53,9 @@ def repeated_chunks(docs: DataFrame, every: int, work: Work) -> DataFrame:
     # one row for copies of a row
     chunks = work.table(chunked(docs, every).where("n >= 2"), "chunks")
     often = chunks.groupBy("h").agg(F.count("*").alias("x")).where("x > 1").select("h")
-    again = work.table(chunks.join(often, "h", "left_semi"), "again")
+    again = work.table(chunks.join(often.hint("merge"), "h", "left_semi"), "again")
     first = again.groupBy("h", "chunk").agg(F.min(F.struct("__ls_k", "__ls_t", "c")).alias("first"))
-    gone = again.join(first, ["h", "chunk"]).where(F.struct("__ls_k", "__ls_t", "c") != F.col("first"))
+    gone = again.join(first.hint("merge"), ["h", "chunk"]).where(F.struct("__ls_k", "__ls_t", "c") != F.col("first"))
     return gone.groupBy("__ls_k", "__ls_t").agg(F.collect_set(F.struct("s", "n")).alias("gone"))
 
 
@@ -64,7 +64,7 @@ def kept_lines(docs: DataFrame, every: int, work: Work) -> DataFrame:
     gone = work.table(repeated_chunks(docs.select("__ls_k", "__ls_t", "text"), every, work), "gone")
     work.drop("chunks", "again")
     work.tidy()
-    got = docs.join(gone, ["__ls_k", "__ls_t"], "left")
+    got = docs.join(gone.hint("merge"), ["__ls_k", "__ls_t"], "left")
     got = got.select("*", F.inline(F.array(F.struct(F.split("text", "\n").alias("lines"), F.array_sort(F.coalesce("gone", F.array().cast("array<struct<s:int,n:int>>"))).alias("out")))))
     # the runs of lines between removed chunks, which do not overlap
     begin = F.concat(F.array(F.lit(0)), F.transform("out", lambda g: g["s"] + g["n"]))

@@ -170,7 +170,7 @@ def repeated_windows(docs: DataFrame, found: DataFrame, counts: DataFrame, windo
     open_rule: "other" (a window goes if it occurs anywhere else) or "smaller" (if it occurs under a smaller key).
     """
     spark = docs.sparkSession
-    chosen = found.join(counts.select("h", (F.col("n") > MOST).alias("hot")), "h")
+    chosen = found.join(counts.select("h", (F.col("n") > MOST).alias("hot")).hint("merge"), "h")
     per_doc = work.table(chosen.groupBy("__ls_k", "__ls_t").agg(F.collect_set(F.struct("h", "lo", "hi", "a", "hot")).alias("runs")), "per-doc")
     work.tidy()
     n_hot = counts.where(F.col("n") > MOST).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
@@ -243,7 +243,7 @@ def repeated_windows(docs: DataFrame, found: DataFrame, counts: DataFrame, windo
                 yield rows(out)
         yield from settle()
 
-    regions = docs.select("__ls_k", "__ls_t", "text").join(per_doc, ["__ls_k", "__ls_t"]).select("__ls_k", "__ls_t", "text", "runs")
+    regions = docs.select("__ls_k", "__ls_t", "text").join(per_doc.hint("merge"), ["__ls_k", "__ls_t"]).select("__ls_k", "__ls_t", "text", "runs")
     regions = work.table(regions.mapInArrow(cut, "kind int, h long, __ls_k long, __ls_t long, lo int, n int, off int, region binary"), "regions")
     work.tidy()
 

@@ -85,7 +85,7 @@ class FingerprintIndex:
         for name in self.nominated:
             one = self.work.read(name)
             every = one if every is None else every.unionByName(one)
-        return self.work.read(self.runs[0]).select("h", "n").join(every.distinct(), "h")
+        return self.work.read(self.runs[0]).select("h", "n").join(every.distinct().hint("merge"), "h")
 
 
 def verify(number, k, t, lo, n, off, texts, window: int = WINDOW) -> np.ndarray:
@@ -165,5 +165,5 @@ def drop_repeated_windows(docs: DataFrame, window: int = WINDOW, gram: int = GRA
             kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.struct([("from", pa.int64()), ("to", pa.int64())]))]
             yield pa.RecordBatch.from_arrays([pa.array(c, x) for c, x in zip(zip(*out, strict=True), kinds, strict=True)], names=["doc_id", "n_words", "n_removed", "kept_sha256", "removed"])
 
-    got = rows.join(spans, ["__ls_k", "__ls_t"], "left").select("doc_id", "text", F.coalesce("spans", F.array().cast("array<struct<lo:int,hi:int>>")).alias("spans"))
+    got = rows.join(spans.hint("merge"), ["__ls_k", "__ls_t"], "left").select("doc_id", "text", F.coalesce("spans", F.array().cast("array<struct<lo:int,hi:int>>")).alias("spans"))
     return got.mapInArrow(finish, "doc_id long, n_words long, n_removed long, kept_sha256 string, removed array<struct<from:long,to:long>>")

@@ -43,7 +43,7 @@ def pairs(rows: DataFrame, k: int, keys: tuple[str, ...] = ("query_id",)) -> Dat
     left, right = (near.select(*keys, *[F.col(c).alias(f"{c}_{s}") for c in near.columns if c not in keys]) for s in "ab")
     joined = left.join(right, list(keys)).where((F.col("rank_a") < F.col("rank_b")) & F.arrays_overlap("page_numbers_a", "page_numbers_b"))
     joined = joined.withColumn("overlap", F.round(T.jaccard(F.col("words_a"), F.col("words_b")), 9))
-    return joined.select(*keys, "rank_a", "rank_b", "chunk_id_a", "chunk_id_b", "overlap", (F.col("overlap") >= REDUNDANT).alias("redundant"), ((F.col("overlap") >= CONFLICTING) & (F.col("negated_a") != F.col("negated_b"))).alias("conflict")).where("redundant or conflict")
+    return joined.select(*keys, "rank_a", "rank_b", "chunk_id_a", "chunk_id_b", "overlap", (F.col("overlap") >= REDUNDANT).alias("redundant"), ((F.col("overlap") >= CONFLICTING) & (F.col("overlap") < REDUNDANT) & (F.col("negated_a") != F.col("negated_b"))).alias("conflict")).where("redundant or conflict")
 
 
 def merged(hits: DataFrame, questions: DataFrame, k: int = 5, keys: tuple[str, ...] = ("query_id",), **settings) -> DataFrame:

@@ -190,13 +190,15 @@ def visual(pages: DataFrame, questions: DataFrame, k: int = 5, dimensions: int =
 
 
 # --- model vectors --------------------------------------------------------------------------------------------
-def multi_vector_scores(items: DataFrame, queries: DataFrame) -> DataFrame:
+def multi_vector_scores(items: DataFrame, queries: DataFrame, block: int = 256) -> DataFrame:
     """query_id, item_id, score: the sum over query vectors of the best product with an item's vectors. [K9]
 
-    items has item_id, vectors (array of arrays); queries has query_id, vectors and stays a stated, small set: its
-    rows are taken in as one block. All items are kept, whatever their scores.
+    items has item_id, vectors (array of arrays); queries has query_id, vectors. Queries come in blocks of about
+    ``block`` rows; every item meets every block once, by an equi-join on the block's number. All items are kept,
+    whatever their scores.
     """
-    block = queries.agg(F.collect_list(F.struct("query_id", "vectors")).alias("block"))
+    n = max(1, -(-queries.count() // block))
+    held = queries.groupBy(F.pmod(F.xxhash64("query_id"), F.lit(n)).cast("int").alias("block")).agg(F.collect_list(F.struct("query_id", "vectors")).alias("queries"))
     best = lambda q, item: F.aggregate(F.transform(q, lambda a: F.coalesce(F.array_max(F.transform(item, lambda d: V.dot(a, d))), F.lit(0.0))), F.lit(0.0), lambda s, x: s + x)
-    rows = items.crossJoin(F.broadcast(block)).select("item_id", "vectors", F.explode("block").alias("q"))  # one row
+    rows = items.select("item_id", "vectors", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("block")).join(held, "block").select("item_id", "vectors", F.explode("queries").alias("q"))
     return rows.select(F.col("q.query_id").alias("query_id"), "item_id", F.round(best(F.col("q.vectors"), F.col("vectors")), 9).alias("score"))

@@ -86,11 +86,11 @@ def has_negation(text: Column | str) -> Column:
 
 
 def undo_misreadings(text: Column | str) -> Column:
-    """Reference words as they were meant, one replacement after the other. [D10]"""
+    """Reference words as they were meant, one target after the other. [D10]"""
     out = col(text)
     for target, patterns in MISREADINGS:
-        for p in patterns:
-            out = F.regexp_replace(out, rf"(?iuU)\b{p}\b", target)
+        # the alternatives of a target in their order: what one of them makes, the later ones leave alone
+        out = F.regexp_replace(out, rf"(?iuU)\b(?:{'|'.join(patterns)})\b", target)
     return out
 
 

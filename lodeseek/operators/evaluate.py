@@ -125,6 +125,11 @@ def load_manifest(path: str) -> dict:
     return found
 
 
+def settled(df: DataFrame) -> DataFrame:
+    """Rows that are bounded by the manifest, which is on the driver anyway: later steps read them, not their plan."""
+    return df.sparkSession.createDataFrame(df.collect(), df.schema)
+
+
 def run(spark, manifest: dict, chunks: DataFrame, pages: DataFrame, k: int = 5, modes: tuple[str, ...] = ("bm25", "dense", "hybrid", "planner")) -> dict:
     """A report over a manifest's queries: per-mode metrics, planner against the others, and its sweep. [P1, P3]
 
@@ -151,15 +156,14 @@ def run(spark, manifest: dict, chunks: DataFrame, pages: DataFrame, k: int = 5,
         questions = spark.createDataFrame(rows, "query_id string, question string")
         own = (chunks.where(F.col("document_id").isin(*scope)), pages.where(F.col("document_id").isin(*scope))) if scope else (chunks, pages)
         for m in modes:
-            # at most k rows a question, which cards and metrics read several times
-            e = retrieve.retrieve(m, *own, questions, k, **(plan if m == "planner" else {})).persist()
+            e = settled(retrieve.retrieve(m, *own, questions, k, **(plan if m == "planner" else {})))
             c = M.cards(e, questions)
             evidence = add(evidence, e.withColumn("mode", F.lit(m)))
             cards = add(cards, c.join(M.supported(c), "query_id").select("query_id", "answerable", "supported", "confidence", F.lit(m).alias("mode")))
         if variants:
-            hits = add(hits, retrieve.planner_hits(*own, questions, k, "document").persist())  # once for all variants
+            hits = add(hits, settled(retrieve.planner_hits(*own, questions, k, "document")))  # once for all variants
     ids = lambda df: df.withColumnRenamed("query_id", "case_id")
-    metrics = case_metrics(table, ids(evidence), ids(cards)).persist()
+    metrics = settled(case_metrics(table, ids(evidence), ids(cards)))
     by_mode = mode_metrics(metrics)
     report = {"cases": [r.asDict(True) for r in metrics.orderBy("case_id", "mode").collect()], "modes": {r["mode"]: r.asDict() for r in by_mode.collect()}}
     if "planner" in modes and len(modes) > 1:
@@ -168,7 +172,7 @@ def run(spark, manifest: dict, chunks: DataFrame, pages: DataFrame, k: int = 5,
         asked = spark.createDataFrame([(c[0], c[1]) for c in cases], "query_id string, question string")
         report["sweep"] = []
         for n, v in enumerate(variants):
-            e = merge.merged(hits, asked, k, strategy=v["merge_strategy"], rerank=v["rerank"], vote_bonus=v["route_vote_bonus"], overlap_weight=v["rerank_overlap_weight"]).persist()
+            e = merge.merged(hits, asked, k, strategy=v["merge_strategy"], rerank=v["rerank"], vote_bonus=v["route_vote_bonus"], overlap_weight=v["rerank_overlap_weight"])
             c = M.cards(e, asked)
             c = c.join(M.supported(c), "query_id").select("query_id", "answerable", "supported", "confidence", F.lit(v["name"]).alias("mode"))
             got = mode_metrics(case_metrics(table, ids(e.withColumn("mode", F.lit(v["name"]))), ids(c))).first()

@@ -56,7 +56,7 @@ def planner_hits(chunks: DataFrame, pages: DataFrame | None, questions: DataFram
     """
     planned = planner.plan_batch(questions, strategy)
     steps = planned.select("query_id", "question", F.posexplode("routes").alias("place", "route"), "route_factors")
-    steps = steps.withColumn("depth", F.greatest(F.lit(k), F.bround(F.lit(k) * F.element_at("route_factors", F.col("route"))).cast("int"))).drop("route_factors")
+    steps = steps.withColumn("depth", F.greatest(F.lit(k), F.bround(F.lit(k) * F.element_at("route_factors", F.col("route"))).cast("int"))).drop("route_factors").persist()  # a few rows a question, read by each route
     out = None
     for route in ("bm25", "dense", "late", "visual", "graph", "hybrid"):
         if route == "visual" and pages is None:

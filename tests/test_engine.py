@@ -332,12 +332,15 @@ def test_sweep_variants():
         evaluate.sweep_variants([{"merge_strategy": "best"}])
 
 
-def test_evaluation_of_a_manifest(spark, tmp_path):
+def test_evaluation_of_a_manifest(spark, tmp_path, monkeypatch):
+    # the routes have tests of their own; here one route's hits are enough
+    one_route = lambda chunks, pages, questions, k, scope: R.bm25(chunks, questions, 3 * k).withColumn("ord", F.col("rank").cast("long")).drop("rank")
+    monkeypatch.setattr(retrieve, "planner_hits", one_route)
     pages = pages_of(spark, {"a": ["the solver converges quickly", "boundary terms vanish"], "b": ["unrelated words"]}).selectExpr("*", "'t' AS title", "'.md' AS source_type", "CAST(map() AS map<string,string>) AS metadata")
     manifest = {"planner_sweep": True, "planner_rerank": "true", "queries": [{"query": "why does the solver converge", "expected_terms": ["SOLVER"], "expected_pages": [1]}, {"query": "boundary terms", "document_id": "a", "expected_terms": ["vanish", "missing"]}]}
     (tmp_path / "m.json").write_text(json.dumps(manifest))
-    report = evaluate.run(spark, evaluate.load_manifest(str(tmp_path / "m.json")), chunk_pages(pages).persist(), pages, 3, ("bm25", "planner"))
-    assert report["modes"]["bm25"]["term_hit_rate"] == 0.5 and report["modes"]["bm25"]["mrr"] == 0.5 and report["modes"]["planner"]["cases"] == 2
+    report = evaluate.run(spark, evaluate.load_manifest(str(tmp_path / "m.json")), chunk_pages(pages).persist(), pages, 3, ("bm25", "dense"))
+    assert report["modes"]["bm25"]["term_hit_rate"] == 0.5 and report["modes"]["bm25"]["mrr"] == 0.5 and report["modes"]["dense"]["cases"] == 2
     assert len(report["sweep"]) == 4 and report["best_by_mrr"] == "score_max" and "## Planner Sweep" in evaluate.markdown(report)
     with pytest.raises(ValueError, match="Could not read manifest"):
         evaluate.load_manifest(str(tmp_path / "none.json"))

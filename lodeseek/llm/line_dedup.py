@@ -35,8 +35,9 @@ def chunked(docs: DataFrame, every: int) -> DataFrame:
         return df.select("*", F.inline(one))
 
     rows = barrier(docs, lines=F.split("text", "\n"))
-    rows = barrier(rows, hashes=F.transform("lines", lambda x: F.xxhash64(x)))
-    rolled = F.transform("hashes", lambda h, i: F.pmod(F.xxhash64(h, F.get("hashes", i - 1)), F.lit(every)) == 0)
+    # 32 bits of MD5, which other SQL engines have, too
+    rows = barrier(rows, hashes=F.transform("lines", lambda x: F.conv(F.substring(F.md5(x.cast("binary")), 1, 8), 16, 10).cast("long")))
+    rolled = F.transform("hashes", lambda h, i: (h + 31 * F.coalesce(F.get("hashes", i - 1), F.lit(0))) % every == 0)
     rows = barrier(rows, ends=rolled)
     last = F.size("lines") - 1
     cuts = F.filter(F.sequence(F.lit(0), last), lambda i: (i == last) | F.get("ends", i))

@@ -38,6 +38,21 @@ SELECT doc_id, CAST(octet_length(b) AS BIGINT) AS n_bytes, CAST(coalesce(n_remov
 FROM doc LEFT JOIN per_doc USING (doc_id)
 """
 
+#: Chunks end where the rolling hash over the hashes of two lines says so; of equal chunks of two or more lines the first stays.
+LINE_DEDUP = """
+WITH doc AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents),
+hashed AS (SELECT doc_id, l, list_transform(l, lambda x: CAST('0x' || substr(md5(x), 1, 8) AS BIGINT)) AS h FROM doc),
+cut AS (SELECT doc_id, l, list_filter(range(1, len(l) + 1), lambda i: i = len(l) OR (h[i] + 31 * CASE WHEN i > 1 THEN h[i - 1] ELSE 0 END) % 3 = 0) AS e FROM hashed),
+numbered AS (SELECT doc_id, l, e, unnest(range(1, len(e) + 1)) AS c FROM cut),
+chunk AS (SELECT doc_id, l, c, CASE WHEN c = 1 THEN 1 ELSE e[c - 1] + 1 END AS a, e[c] AS z FROM numbered),
+texts AS (SELECT doc_id, c, a, z, array_to_string(l[a:z], chr(10)) AS t FROM chunk WHERE z > a),
+gone AS (SELECT doc_id, a, z FROM texts QUALIFY row_number() OVER (PARTITION BY t ORDER BY doc_id, c) > 1),
+per_doc AS (SELECT doc_id, list(i) AS g FROM (SELECT doc_id, unnest(range(a, z + 1)) AS i FROM gone) GROUP BY doc_id),
+kept AS (SELECT doc_id, len(l) AS n, CASE WHEN g IS NULL THEN l ELSE list_transform(list_filter(range(1, len(l) + 1), lambda x: NOT list_contains(g, x)), lambda x: l[x]) END AS k FROM doc LEFT JOIN per_doc USING (doc_id)),
+joined AS (SELECT *, CASE WHEN len(k) = 0 THEN '' ELSE array_to_string(k, chr(10)) END AS t FROM kept)
+SELECT doc_id, CAST(n AS BIGINT) AS n_lines, CAST(n - len(k) AS BIGINT) AS n_removed, sha256(t) AS kept_sha256, CAST(octet_length(encode(t)) AS BIGINT) AS kept_bytes FROM joined
+"""
+
 TOP_K = """
 WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * CAST(x AS DOUBLE))) AS e FROM embeddings
            WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
@@ -68,5 +83,6 @@ ORACLES = {
     "op1_substring_dedup": SUBSTRING_DEDUP,
     "op5_suffix_dedup": SUFFIX_DEDUP,
     "op6_topk": TOP_K,
+    "op7_line_dedup": LINE_DEDUP,
     "op9_decontamination": DECONTAMINATION,
 }

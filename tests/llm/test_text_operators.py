@@ -233,15 +233,10 @@ def test_trie_join_links_all_within_the_budget():
 
 
 def lines_expected(every: int) -> list[tuple]:
-    import xxhash
-
-    signed = lambda x: x - 2**64 if x >= 2**63 else x
-
     def chunks(t: str) -> list[tuple[int, str]]:
         lines = t.split("\n")
-        hashes = [xxhash.xxh64_intdigest(x.encode(), 42) for x in lines]
-        # Spark hashes columns in turn: the hash so far is the next one's seed; nulls leave it as it is
-        roll = [signed(xxhash.xxh64_intdigest(hashes[i - 1].to_bytes(8, "little"), xxhash.xxh64_intdigest(h.to_bytes(8, "little"), 42)) if i else xxhash.xxh64_intdigest(h.to_bytes(8, "little"), 42)) for i, h in enumerate(hashes)]
+        hashes = [int(hashlib.md5(x.encode()).hexdigest()[:8], 16) for x in lines]
+        roll = [h + 31 * (hashes[i - 1] if i else 0) for i, h in enumerate(hashes)]
         out, begin = [], 0
         for i in range(len(lines)):
             if roll[i] % every == 0 or i == len(lines) - 1:

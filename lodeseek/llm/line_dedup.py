@@ -5,7 +5,8 @@ depend on the lines around them alone and come back in step after an insertion.
 hash occurs more than once are compared byte by byte (they are grouped by their whole text); the first occurrence, by
 (doc_id, chunk number), stays and all others are removed.
 
-Only hashes of chunks are shuffled for the count; the texts of repeated chunks alone are shuffled for the comparison.
+Hashes of chunks are shuffled for the count; texts of chunks once, to meet the counts of their hashes, and those of
+repeated chunks once more for the comparison; texts of documents once, to meet their removed chunks.
 The count and the choice of the first occurrence combine before their shuffle, and the joins back are plain
 merge joins, never broadcasts of a side that grows, which Spark can split, so a chunk that occurs in a third of all documents is no burden to one task.
 

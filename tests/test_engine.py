@@ -282,6 +282,19 @@ def test_graph_search_equals_expansion_over_all_edges(spark):
     assert graph.graph(c, asked(spark, "..."), 5).count() == 0
 
 
+@pytest.mark.parametrize("scope", ["document", "corpus"])
+def test_chunks_before(spark, scope):
+    rows = [(f"d{d}" if scope == "document" else "", i, f"d{d}", f"d{d}:{i}", f"s{(d + i) // 3}") for d in range(40) for i in range(d % 5)]
+    n = spark.createDataFrame(rows, "scope string, chunk_index int, document_id string, chunk_id string, section string")
+    expected, last = set(), {}
+    for r in sorted(rows):
+        if r[0] in last:
+            expected.add((r[0], r[3], r[4], *last[r[0]]))
+        last[r[0]] = r[3:]
+    assert {tuple(r) for r in graph.with_previous(n, scope).collect()} == expected
+    assert graph.with_previous(n.where("false"), scope).count() == 0
+
+
 def test_knowledge_graph(spark):
     from lodeseek.queries import graph_chunks
 

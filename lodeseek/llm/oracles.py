@@ -1,6 +1,6 @@
 """DuckDB SQL for the queries of this subpackage that SQL can express; plain restatements, for tables of moderate size.
 
-There is none for tokenizers (2, 3), XXH64 (4) and trained models (10).
+There is none for tokenizers (2, 3), XXH64 (4) and trained models (10), and none yet for the licence scan (8).
 """
 
 from __future__ import annotations

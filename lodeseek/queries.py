@@ -599,7 +599,8 @@ SCANNED = [(label, p) for label, p in sensitive.SECRETS + sensitive.PERSONAL if
 
 @query("WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS line_number FROM documents) " + " UNION ALL ".join("SELECT doc_id, line_number, '{}' AS label FROM l WHERE regexp_matches(line, '{}')".format(label, p.replace("(?iu)", "(?i)").replace("'", "''")) for label, p in SCANNED))
 def r1_sensitive_scan(spark, sf):
-    rows = sensitive.findings(table(spark, sf, "documents")).where("label <> 'AWS secret key'")
+    """All patterns; the SQL leaves out AWS secret keys, so the two are equal only where there are none."""
+    rows = sensitive.findings(table(spark, sf, "documents"))
     return rows.select("doc_id", F.col("line_number").cast("bigint").alias("line_number"), "label")
 
 

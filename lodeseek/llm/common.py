@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import gc
 import os
+import re
 import tempfile
 import uuid
 import zlib
@@ -23,9 +24,11 @@ NULL_ID = -(2**63)
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; a folder of our own is set only where that setting is missing."""
+    """The folder in spark.checkpoint.dir; only where all executors are this process, a folder of our own may stand in for it."""
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not at:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         at = tempfile.mkdtemp(prefix="lodeseek-")
         spark.sparkContext.setCheckpointDir(at)
     return at.rstrip("/")

@@ -63,7 +63,7 @@ SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 10
 
 _WORDS = r"regexp_extract_all(" + _LOWER.format("coalesce(text, '')") + r", '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
-#: Windows of 10 words, or whole shorter items, in the documents.
+#: Windows of 10 words, or whole shorter items, in the documents; and items whose words all lie in a stretch of twice their length.
 DECONTAMINATION = f"""
 WITH item AS (SELECT CAST(item_id AS VARCHAR) AS item_id, {_WORDS} AS w FROM benchmark),
 item_at AS (SELECT item_id, w, least(len(w), 10) AS n, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS i FROM item WHERE len(w) > 0),
@@ -73,10 +73,16 @@ doc_at AS (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM doc J
 doc_win AS (SELECT doc_id, n, i, array_to_string(w[i:i + n - 1], ' ') AS t FROM doc_at),
 hit AS (SELECT doc_id, item_id, n, i FROM doc_win JOIN win USING (n, t)),
 words AS (SELECT doc_id, count(DISTINCT place) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS place FROM hit) GROUP BY doc_id),
-items AS (SELECT doc_id, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS ids FROM (SELECT DISTINCT doc_id, item_id FROM hit) GROUP BY doc_id)
+items AS (SELECT doc_id, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS ids FROM (SELECT DISTINCT doc_id, item_id FROM hit) GROUP BY doc_id),
+item_word AS (SELECT item_id, 2 * len(w) AS span, len(list_distinct(w)) AS m, unnest(list_distinct(w)) AS x FROM item WHERE len(w) > 0),
+doc_word AS (SELECT doc_id, unnest(range(1, len(w) + 1)) AS i, unnest(w) AS x FROM doc),
+holding AS (SELECT doc_id, item_id FROM (SELECT DISTINCT doc_id, x FROM doc_word) JOIN item_word USING (x) GROUP BY doc_id, item_id HAVING count(*) = min(m)),
+place AS (SELECT doc_id, item_id, x, i, m, span FROM holding JOIN item_word USING (item_id) JOIN doc_word USING (doc_id, x)),
+cover AS (SELECT a.doc_id, a.item_id FROM place a JOIN place b ON a.doc_id = b.doc_id AND a.item_id = b.item_id AND b.i >= a.i AND b.i < a.i + a.span GROUP BY a.doc_id, a.item_id, a.i HAVING count(DISTINCT b.x) = min(a.m)),
+near AS (SELECT doc_id, count(DISTINCT item_id) AS n_near FROM cover GROUP BY doc_id)
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
-       sha256(coalesce(ids, '')) AS items_sha256, n_hit IS NOT NULL AS contaminated
-FROM doc LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)
+       sha256(coalesce(ids, '')) AS items_sha256, n_hit IS NOT NULL AS contaminated, coalesce(n_near, 0) AS n_near
+FROM doc LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id) LEFT JOIN near USING (doc_id)
 """
 
 ORACLES = {

@@ -270,20 +270,25 @@ def test_line_dedup_runs_no_python(docs):
     assert not re.search("Python|Pandas|Arrow", line_dedup.dedup_lines(docs)._jdf.queryExecution().executedPlan().toString())
 
 
-ITEMS = [("a", "ther ON éé. One two three four five six seven eight nine"), ("b", "short item"), ("c", ""), ("d", None), (None, "short item"), ("e", "short item")]
-PARTS = [(1, "x short ITEM! y"), (2, "THER on éé one, two three four five six seven eight nine ten short item"), (3, "ther on éé one two three four five six seven"), (4, None), (5, "..."), (None, "short item short item"), (2, "short item")]
+ITEMS = [("a", "ther ON éé. One two three four five six seven eight nine"), ("b", "short item"), ("c", ""), ("d", None), (None, "short item"), ("e", "short item"), ("b", "short item"), ("a", "nine eight nine")]
+PARTS = [(1, "x short ITEM! y"), (2, "THER on éé one, two three four five six seven eight nine ten short item"), (3, "ther on éé one two three four five six seven"), (4, None), (5, "..."), (None, "short item short item"), (2, "short item"), (2, "short item"), (6, ""), (7, "item x x short"), (8, "item x short nine"), (9, "ITEM " + "pad " * 5000 + "short eight x eight nine x"), (10, "item")]
+ITEM_WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
 
-@pytest.mark.parametrize("block", [1_000_000, 1])
-def test_decontamination(spark, none, block):
-    docs, items = spark.createDataFrame([(*r, "z") for r in PARTS], "doc_id long, text string, n_words string"), spark.createDataFrame([(*r, 1) for r in ITEMS], "item_id string, text string, doc_id int")
-    word = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
-    words = lambda t: word.findall(re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+def item_words(t) -> list[str]:
+    return ITEM_WORD.findall(re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+
+
+def is_near(w: list[str], v: list[str]) -> bool:
+    return any(set(v) <= set(w[s : s + 2 * len(v)]) for s in range(len(w))) if v else False
+
+
+def decontamination_expected() -> list[tuple]:
     expected = []
     for d, t in PARTS:
-        w, hit, found = words(t), set(), []
+        w, hit, found = item_words(t), set(), []
         for item, q in ITEMS:
-            v, any_ = words(q), False
+            v, any_ = item_words(q), False
             for i in range(max(1, len(v) - 9) if v else 0):
                 for s in range(len(w) - len(v[i : i + 10]) + 1):
                     if w[s : s + len(v[i : i + 10])] == v[i : i + 10]:
@@ -291,17 +296,45 @@ def test_decontamination(spark, none, block):
                         any_ = True
             found += [item] * any_
         names = ",".join(sorted(x for x in found if x is not None))
-        expected.append((d, len(w), len(hit), len(found), hashlib.sha256(names.encode()).hexdigest(), bool(hit)))
-    columns = ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"]
-    same(decontamination.decontaminate(docs, items, block_words=block), expected, columns)
-    assert decontamination.decontaminate(none, items).count() == 0
-    assert not decontamination.decontaminate(docs, items.limit(0)).where("contaminated").count()
+        expected.append((d, len(w), len(hit), len(found), hashlib.sha256(names.encode()).hexdigest(), bool(hit), sum(is_near(w, item_words(q)) for _, q in ITEMS)))
+    return expected
+
+
+@pytest.mark.parametrize(("block", "segment"), [(1_000_000, 1_000_000), (1, 1_000_000), (4, 1), (1_000_000, 20)])
+def test_decontamination(spark, none, block, segment):
+    docs, items = spark.createDataFrame([(*r, "z", 1) for r in PARTS], "doc_id long, text string, n_words string, segment int").coalesce(2), spark.createDataFrame([(*r, 1) for r in ITEMS], "item_id string, text string, doc_id int")
+    columns = ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "n_near"]
+    same(decontamination.decontaminate(docs, items, block_words=block, segment_words=segment), decontamination_expected(), columns)
+    if block == 1:
+        assert decontamination.decontaminate(none, items).count() == 0
+        assert not decontamination.decontaminate(docs, items.limit(0)).where("contaminated").count()
+
+
+def test_a_stored_index_holds_every_word_and_answers_other_benchmarks(spark):
+    from lodeseek.llm.common import Work
+
+    docs = spark.createDataFrame(PARTS, "doc_id long, text string")
+    index = decontamination.PositionalIndex.build(docs, Work(spark, "test"), 8)
+    found = {(bytes(r.term), r.n) for r in index.table("postings").groupBy("term").agg(F.sum("n").alias("n")).collect()}
+    from collections import Counter
+
+    assert found == set(Counter(w.encode() for _, t in PARTS for w in item_words(t)).items())
+    for one in (ITEMS[:1], ITEMS[1:3]):
+        got = decontamination.searched(index, spark.createDataFrame(one, "item_id string, text string"))
+        assert {r.doc_id for r in got.where("contaminated").collect()} == ({2, 3} if one == ITEMS[:1] else {None, 1, 2})
+
+
+def test_packed_numbers_round_trip():
+    x = np.array([0, 1, 127, 128, 16383, 16384, 2**21 - 1, 2**21, 2**28, 2**31 - 1])
+    data, ends = decontamination.packed(x)
+    assert decontamination.unpacked(data.tobytes()).tolist() == x.tolist() and ends[-1] == len(data)
+    assert not len(decontamination.unpacked(decontamination.packed(x[:0])[0].tobytes()))
 
 
 def test_proximity(spark):
-    docs = spark.createDataFrame([(1, "alpha x x beta"), (2, "alpha " + "x " * 50 + "beta"), (3, "beta gamma alpha")], "doc_id long, text string")
-    items = spark.createDataFrame([("i", "alpha beta")], "item_id string, text string")
-    assert {tuple(r) for r in decontamination.proximity_matches(docs, items, 10).collect()} == {(1, "i"), (3, "i")}
+    docs = spark.createDataFrame([(1, "alpha x x beta"), (2, "alpha " + "x " * 50 + "beta"), (3, "beta gamma alpha"), (4, "alpha"), (4, "beta")], "doc_id long, text string")
+    items = spark.createDataFrame([("i", "alpha beta"), (None, "gamma"), ("j", "alpha gone")], "item_id string, text string")
+    assert sorted(tuple(r) for r in decontamination.proximity_matches(docs, items).collect()) == [(1, "i"), (3, "i")]
 
 
 def test_licenses(spark):

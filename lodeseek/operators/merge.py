@@ -22,7 +22,7 @@ def scored(hits: DataFrame, questions: DataFrame, strategy: str = "score_max", r
     check_strategy(strategy)
     first = F.struct(F.col("score"), -F.col("ord"))
     best = hits.groupBy(*keys, "chunk_id").agg(
-        F.max_by(F.struct("document_id", "page_numbers", "text", "score", "retrieval_path"), first).alias("e"), F.array_sort(F.collect_set("retrieval_path")).alias("routes"), F.min("ord").alias("ord")
+        F.max_by(F.struct("document_id", "page_numbers", "text", "score", "retrieval_path", *(("metadata",) if "metadata" in hits.columns else ())), first).alias("e"), F.array_sort(F.collect_set("retrieval_path")).alias("routes"), F.min("ord").alias("ord")
     )
     rows = best.select(*keys, "chunk_id", "e.*", "routes", "ord").join(questions.select("query_id", "question"), "query_id")
     value = F.col("score")
@@ -49,10 +49,16 @@ def pairs(rows: DataFrame, k: int, keys: tuple[str, ...] = ("query_id",)) -> Dat
 def merged(hits: DataFrame, questions: DataFrame, k: int = 5, keys: tuple[str, ...] = ("query_id",), **settings) -> DataFrame:
     """The k best that no better one makes redundant: evidence rows with source_score and routes. [F11, I5]"""
     rows = scored(hits, questions, keys=keys, **settings)
-    gone = pairs(rows, k, keys).where("redundant").select(*keys, F.col("chunk_id_b").alias("chunk_id")).distinct()
-    left = rows.join(gone, [*keys, "chunk_id"], "left_anti")
+    near = pairs(rows, k, keys)
+    ends = near.select(*keys, F.inline(F.array(F.struct(F.col("chunk_id_a").alias("chunk_id"), F.lit(False).alias("loses")), F.struct(F.col("chunk_id_b").alias("chunk_id"), F.lit(True).alias("loses")))), "redundant", "conflict")
+    # at most max(k, 8) rows a question: which of them go, and how many pairs each is in
+    said = ends.groupBy(*keys, "chunk_id").agg(F.bool_or(F.col("redundant") & F.col("loses")).alias("gone"), F.count_if("redundant").alias("redundant"), F.count_if("conflict").alias("conflicts"))
+    left = rows.join(said, [*keys, "chunk_id"], "left").where(~F.coalesce("gone", F.lit(False)))
     left = left.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy("rank"))).where(F.col("rank") <= k)
-    return left.select(*keys, "chunk_id", "document_id", "page_numbers", "text", F.col("rank_score").alias("score"), F.concat(F.lit("planner:"), "retrieval_path").alias("retrieval_path"), "rank", F.col("score").alias("source_score"), "routes")
+    text = lambda c: F.coalesce(c, F.lit(0)).cast("string")
+    told = F.create_map(F.lit("routes"), F.array_join("routes", ","), F.lit("source_score"), F.col("score").cast("string"), F.lit("redundant_pairs"), text("redundant"), F.lit("conflict_pairs"), text("conflicts"))
+    told = F.map_concat("metadata", told) if "metadata" in hits.columns else told
+    return left.select(*keys, "chunk_id", "document_id", "page_numbers", "text", F.col("rank_score").alias("score"), F.concat(F.lit("planner:"), "retrieval_path").alias("retrieval_path"), "rank", F.col("score").alias("source_score"), "routes", told.alias("metadata"))
 
 
 def merge_statistics(hits: DataFrame, questions: DataFrame, k: int = 5, **settings) -> DataFrame:

@@ -5,7 +5,8 @@ questions at once: query_id, chunk_id, document_id, page_numbers, text, score, r
 rounded to nine places before ranking, ties go to (document_id, position, chunk_id), so plans and partitions do not
 change a result. With scope "document" statistics and ranks are of each document alone; "corpus" takes them all.
 
-Indexes are tables: postings, sparse vectors and token vectors. They can be built once, stored and passed in.
+Indexes are tables: postings, vectors and distinct words. They can be built once, stored and passed in as ``index``;
+without one, the same rows are made from the items. Questions are multiplied block by block (blocks.py).
 """
 
 from __future__ import annotations
@@ -15,8 +16,9 @@ from pyspark.sql import functions as F
 
 from lodeseek.functions import text as T
 from lodeseek.functions import vectors as V
+from lodeseek.operators import blocks as B
 
-EVIDENCE = ["query_id", "chunk_id", "document_id", "page_numbers", "text", "score", "retrieval_path", "rank"]
+EVIDENCE = ["query_id", "chunk_id", "document_id", "page_numbers", "text", "score", "retrieval_path", "rank", "metadata"]
 
 
 def scope_columns(scope: str) -> list[str]:
@@ -37,10 +39,19 @@ def top(scored: DataFrame, k: int, order: str = "chunk_index") -> DataFrame:
     return ranked(first, k, ["query_id"], order)
 
 
+def small(df: DataFrame, most: int = 100_000) -> DataFrame:
+    """df with a broadcast hint if it has at most most rows; they are counted."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
 def as_evidence(best: DataFrame, items: DataFrame, path: str) -> DataFrame:
-    """Ranked ids with their texts: texts meet only the few rows that won. [E5]"""
-    got = items.select("chunk_id", "page_numbers", "text").join(best.select("query_id", "chunk_id", "document_id", "score", "rank"), "chunk_id")
-    return got.withColumn("retrieval_path", F.lit(path)).select(*EVIDENCE)
+    """Ranked ids with their texts: texts meet only the few rows that won. [E5] metadata: what a retriever says of a row, and the item's section."""
+    said = F.col("metadata") if "metadata" in best.columns else F.create_map().cast("map<string,string>")
+    best = best.select("query_id", "chunk_id", "document_id", "score", "rank", said.alias("said"))
+    section = F.col("parent_section") if "parent_section" in items.columns else F.lit(None).cast("string")
+    got = items.select("chunk_id", "page_numbers", "text", section.alias("section")).join(best, "chunk_id")
+    own = F.when(F.col("section").isNotNull(), F.create_map(F.lit("parent_section"), F.col("section"))).otherwise(F.create_map().cast("map<string,string>"))
+    return got.withColumn("retrieval_path", F.lit(path)).withColumn("metadata", F.map_concat(own, "said")).select(*EVIDENCE)
 
 
 def question_terms(questions: DataFrame) -> DataFrame:
@@ -50,37 +61,45 @@ def question_terms(questions: DataFrame) -> DataFrame:
 
 # --- BM25 -----------------------------------------------------------------------------------------------------
 def postings(chunks: DataFrame) -> DataFrame:
-    """document_id, chunk_id, chunk_index, term, tf. [G1]"""
-    words = chunks.select("document_id", "chunk_id", "chunk_index", F.explode(T.tokens("text")).alias("term"))
-    return words.groupBy("document_id", "chunk_id", "chunk_index", "term").agg(F.count("*").alias("tf"))
-
+    """document_id, chunk_id, chunk_index, len, term, tf; and a row without a term for each chunk, which has its length. [G1]"""
+    words = chunks.select(*B.KEY, T.tokens("text").alias("words"))
+    rows = words.select(*B.KEY, F.size("words").alias("len"), F.explode(F.concat("words", F.array(F.lit(None).cast("string")))).alias("term"))
+    return rows.groupBy(*B.KEY, "len", "term").agg(F.count("*").alias("tf"))
 
-def lengths(chunks: DataFrame) -> DataFrame:
-    return chunks.select("document_id", "chunk_id", F.size(T.tokens("text")).alias("len"))
 
-
-def bm25_scores(chunks: DataFrame, questions: DataFrame, k1: float = 1.5, b: float = 0.75, scope: str = "document", index: DataFrame | None = None) -> DataFrame:
-    """query_id, document_id, chunk_id, chunk_index, score of every chunk that shares a word with the question."""
+def bm25_weights(chunks: DataFrame | None, questions: DataFrame, k1: float = 1.5, b: float = 0.75, scope: str = "document", index: DataFrame | None = None) -> DataFrame:
+    """document_id, chunk_id, chunk_index, weights: of each chunk's words, those that any question has."""
     per = scope_columns(scope)
-    terms = question_terms(questions)
-    # an inverted list is read for the questions' words only
-    held = (postings(chunks) if index is None else index).join(terms.select("term").distinct(), "term", "left_semi")
-    size = lengths(chunks)
+    terms = small(question_terms(questions).select("term").distinct())
+    if index is None:
+        words = chunks.select(*B.KEY, T.tokens("text").alias("words"))
+        size = words.select("document_id", F.size("words").alias("len"))
+        # only the questions' words are counted and shuffled
+        held = words.select(*B.KEY, F.size("words").alias("len"), F.explode("words").alias("term")).join(terms, "term").groupBy(*B.KEY, "len", "term").agg(F.count("*").alias("tf"))
+    else:
+        size, held = index.where("term is null").select("document_id", "len"), index.where("term is not null").join(terms, "term")
     stats = size.groupBy(*per).agg(F.count("*").alias("n"), F.avg("len").alias("avgdl"))
     df = held.groupBy(*per, "term").agg(F.count("*").alias("df"))
-    rows = held.join(df, [*per, "term"]).join(size, ["document_id", "chunk_id"])
-    rows = rows.join(stats, per) if per else rows.crossJoin(F.broadcast(stats))  # one row
+    if per:
+        rows = held.join(df, [*per, "term"]).join(stats, per)
+    else:
+        # as many rows as the questions have words, and one row
+        rows = held.join(small(df), "term").crossJoin(F.broadcast(stats))
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     avg = F.when(F.col("avgdl") == 0, 1.0).otherwise(F.col("avgdl"))
     length = F.when(F.col("len") == 0, 1).otherwise(F.col("len"))
     weight = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * length / avg))
-    rows = rows.withColumn("w", weight).join(terms, "term")
-    scores = rows.groupBy("query_id", "document_id", "chunk_id", "chunk_index").agg(F.round(F.sum(F.col("w") * F.col("m")), 9).alias("score"))
-    return scores.where("score > 0")
+    return rows.withColumn("w", weight).groupBy(*B.KEY).agg(F.collect_list(F.struct("term", "w")).alias("weights"))
+
+
+def bm25_scores(chunks: DataFrame | None, questions: DataFrame, k: int | None = None, **settings) -> DataFrame:
+    """query_id, document_id, chunk_id, chunk_index, score of every chunk that shares a word with the question; with k, a superset of the k best."""
+    blocks = [B.WeightBlock([(q, w) for q, _, w in part]) for part in B.question_blocks(questions)]
+    return B.scores(bm25_weights(chunks, questions, **settings), blocks, k)
 
 
 def bm25(chunks: DataFrame, questions: DataFrame, k: int = 5, **settings) -> DataFrame:
-    return as_evidence(top(bm25_scores(chunks, questions, **settings), k), chunks, "bm25")
+    return as_evidence(top(bm25_scores(chunks, questions, k, **settings), k), chunks, "bm25")
 
 
 # --- dense ----------------------------------------------------------------------------------------------------
@@ -93,17 +112,14 @@ def dense_vectors(rows: DataFrame, key: list[str], dimensions: int = 384) -> Dat
     return raw.withColumn("norm", norm).where("norm > 0").select(*key, "bucket", (F.col("v") / F.col("norm")).alias("v"))
 
 
-def dense_scores(items: DataFrame, questions: DataFrame, dimensions: int = 384, index: DataFrame | None = None) -> DataFrame:
-    key = ["document_id", "chunk_id", "chunk_index"]
-    vectors = dense_vectors(items, key, dimensions) if index is None else index
-    asked = dense_vectors(questions.select("query_id", F.col("question").alias("text")), ["query_id"], dimensions)
-    pairs = vectors.join(asked.withColumnRenamed("v", "q"), "bucket")
-    scores = pairs.groupBy("query_id", *key).agg(F.round(F.sum(F.col("v") * F.col("q")), 9).alias("score"))
-    return scores.where("score > 0")
+def dense_scores(items: DataFrame | None, questions: DataFrame, dimensions: int = 384, index: DataFrame | None = None, k: int | None = None) -> DataFrame:
+    """query_id, document_id, chunk_id, chunk_index, score; with k, a superset of the k best. index: rows of blocks.dense_rows."""
+    blocks = [B.DenseBlock([(q, w) for q, _, w in part], dimensions) for part in B.question_blocks(questions)]
+    return B.scores(B.dense_rows(items, dimensions) if index is None else index, blocks, k)
 
 
 def dense(chunks: DataFrame, questions: DataFrame, k: int = 5, dimensions: int = 384, index: DataFrame | None = None) -> DataFrame:
-    return as_evidence(top(dense_scores(chunks, questions, dimensions, index), k), chunks, "dense")
+    return as_evidence(top(dense_scores(chunks, questions, dimensions, index, k), k), chunks, "dense")
 
 
 # --- late interaction -----------------------------------------------------------------------------------------
@@ -114,29 +130,14 @@ def token_vectors(terms: DataFrame, dimensions: int = 128) -> DataFrame:
     return entries.withColumn("norm", norm).where("norm > 0").select("term", "bucket", (F.col("v") / F.col("norm")).alias("v"))
 
 
-def late_scores(chunks: DataFrame, questions: DataFrame, dimensions: int = 128, most: int = 256) -> DataFrame:
-    """Mean over the question's words of the best dot product with any of a chunk's first words.
-
-    Words without a common bucket have product 0, so only pairs that share one are joined: the best of a word is at
-    least 0 unless every word of the chunk shares a bucket with it.
-    """
-    terms = question_terms(questions)
-    words = chunks.select("document_id", "chunk_id", "chunk_index", F.explode(F.array_distinct(F.slice(T.tokens("text"), 1, most))).alias("term"))
-    sizes = words.groupBy("chunk_id").agg(F.count("*").alias("size"))
-    asked = token_vectors(terms.select("term").distinct(), dimensions).select(F.col("term").alias("q"), "bucket", F.col("v").alias("w"))
-    held = token_vectors(words.select("term").distinct(), dimensions)
-    # products of distinct words: independent of the number of chunks
-    products = held.join(asked, "bucket").groupBy("term", "q").agg(F.sum(F.col("v") * F.col("w")).alias("dot"))
-    best = words.join(products, "term").groupBy("document_id", "chunk_id", "chunk_index", "q").agg(F.max("dot").alias("mx"), F.count("*").alias("shared"))
-    best = best.join(sizes, "chunk_id").withColumn("best", F.when(F.col("shared") == F.col("size"), F.col("mx")).otherwise(F.greatest("mx", F.lit(0.0))))
-    n = terms.groupBy("query_id").agg(F.sum("m").alias("n"))
-    rows = best.join(terms.withColumnRenamed("term", "q"), "q").join(n, "query_id")
-    scores = rows.groupBy("query_id", "document_id", "chunk_id", "chunk_index").agg(F.round(F.sum(F.col("best") * F.col("m")) / F.first("n"), 9).alias("score"))
-    return scores.where("score > 0")
+def late_scores(chunks: DataFrame | None, questions: DataFrame, dimensions: int = 128, most: int = 256, index: DataFrame | None = None, k: int | None = None) -> DataFrame:
+    """Mean over the question's words of the best dot product with any of a chunk's first words. index: rows of blocks.late_rows. [G4]"""
+    blocks = [B.LateBlock([(q, w) for q, _, w in part], dimensions) for part in B.question_blocks(questions)]
+    return B.scores(B.late_rows(chunks, most) if index is None else index, blocks, k)
 
 
-def late(chunks: DataFrame, questions: DataFrame, k: int = 5, dimensions: int = 128, most: int = 256) -> DataFrame:
-    return as_evidence(top(late_scores(chunks, questions, dimensions, most), k), chunks, "late")
+def late(chunks: DataFrame, questions: DataFrame, k: int = 5, dimensions: int = 128, most: int = 256, index: DataFrame | None = None) -> DataFrame:
+    return as_evidence(top(late_scores(chunks, questions, dimensions, most, index, k), k), chunks, "late")
 
 
 # --- fusion ---------------------------------------------------------------------------------------------------
@@ -149,11 +150,13 @@ def fuse(left: DataFrame, right: DataFrame, k: int, per: list[str], left_weight:
     return fused.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k)
 
 
-def hybrid(chunks: DataFrame, questions: DataFrame, k: int = 5, scope: str = "document") -> DataFrame:
+def hybrid(chunks: DataFrame, questions: DataFrame, k: int = 5, scope: str = "document", bm25_index: DataFrame | None = None, dense_index: DataFrame | None = None, k1: float = 1.5, b: float = 0.75, dimensions: int = 384) -> DataFrame:
     """BM25 and dense lists of at least ten, fused inside each document (or over the corpus). [K5]"""
     per = ["query_id", *scope_columns(scope)]
     many = max(k, 10)
-    fused = fuse(ranked(bm25_scores(chunks, questions, scope=scope), many, per), ranked(dense_scores(chunks, questions), many, per), k, per)
+    cut = None if scope == "document" else many
+    words = bm25_scores(chunks, questions, cut, scope=scope, index=bm25_index, k1=k1, b=b)
+    fused = fuse(ranked(words, many, per), ranked(dense_scores(chunks, questions, dimensions, dense_index, cut), many, per), k, per)
     by = Window.partitionBy("query_id").orderBy(F.desc("score"), "document_id", "seen", "chunk_index")
     best = fused.drop("rank").withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k)
     return as_evidence(best, chunks, "hybrid")
@@ -169,24 +172,22 @@ def page_text(title: Column, text: Column, has_image: Column, source_type: Colum
     return F.concat_ws(" ", title, text, tags, profile)
 
 
-def visual(pages: DataFrame, questions: DataFrame, k: int = 5, dimensions: int = 384) -> DataFrame:
+def visual_items(pages: DataFrame) -> DataFrame:
+    """Pages as items: their ids in place of a chunk's, and the text that their vector is made of."""
+    return pages.select("document_id", F.col("page_id").alias("chunk_id"), F.col("number").alias("chunk_index"), "has_image", page_text(F.col("title"), F.col("text"), F.col("has_image"), F.col("source_type"), F.col("profile")).alias("text"))
+
+
+def visual(pages: DataFrame, questions: DataFrame, k: int = 5, dimensions: int = 384, index: DataFrame | None = None) -> DataFrame:
     """Page retrieval; pages has document_id, page_id, number, text, title, has_image, source_type, profile. [K6]
 
-    Evidence has the page's id in place of a chunk's.
+    Evidence has the page's id in place of a chunk's. Pages with images that score over 0 are boosted for questions
+    that name one. index: rows of blocks.dense_rows over visual_items, with has_image.
     """
-    items = pages.select(
-        "document_id", F.col("page_id").alias("chunk_id"), F.col("number").alias("chunk_index"), F.array(F.col("number").cast("int")).alias("page_numbers"), F.col("text").alias("shown"), "has_image",
-        page_text(F.col("title"), F.col("text"), F.col("has_image"), F.col("source_type"), F.col("profile")).alias("text"),
-    )
-    scores = dense_scores(items, questions, dimensions)
-    # the boost goes to pages with images before the positive scores are kept
-    hinted = F.lit(False)
-    for hint in VISUAL_HINTS:
-        hinted = hinted | F.contains(F.lower("question"), F.lit(hint))
-    rows = scores.join(items.select("chunk_id", "has_image"), "chunk_id").join(questions.select("query_id", hinted.alias("hinted")), "query_id")
-    rows = rows.withColumn("score", F.round(F.col("score") + F.when(F.col("has_image") & F.col("hinted"), 0.05).otherwise(0.0), 9))
-    shown = items.select("chunk_id", "page_numbers", F.col("shown").alias("text"))
-    return as_evidence(top(rows, k), shown, "visual")
+    hinted = lambda question: any(h in question.lower() for h in VISUAL_HINTS)
+    blocks = [B.DenseBlock([(q, w) for q, _, w in part], dimensions, [hinted(t) for _, t, _ in part], 0.05) for part in B.question_blocks(questions)]
+    scores = B.scores(B.dense_rows(visual_items(pages), dimensions, ("has_image",)) if index is None else index, blocks, k)
+    shown = pages.select(F.col("page_id").alias("chunk_id"), F.array(F.col("number").cast("int")).alias("page_numbers"), "text")
+    return as_evidence(top(scores, k), shown, "visual")
 
 
 # --- model vectors --------------------------------------------------------------------------------------------

@@ -17,6 +17,7 @@ from lodeseek.operators import evaluate, evidence, graph, merge, profile, sensit
 from lodeseek.operators import retrievers as R
 from lodeseek.operators.chunking import chunk_pages, segments
 from lodeseek.plans import planner, retrieve
+from lodeseek.session import settled
 from lodeseek.sources import ingest
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -48,8 +49,8 @@ def doc_chunks(spark, sf) -> DataFrame:
 
 
 def questions(spark, sf) -> DataFrame:
-    """The first eight words of each benchmark item."""
-    return table(spark, sf, "benchmark").select(F.col("item_id").cast("string").alias("query_id"), F.array_join(F.slice(F.split("text", " "), 1, 8), " ").alias("question"))
+    """The benchmark items."""
+    return table(spark, sf, "benchmark").select(F.col("item_id").cast("string").alias("query_id"), F.col("text").alias("question"))
 
 
 PART_TEXT = "'# ' || p_size || ' ' || p_brand || chr(10) || p_name || ' see Table ' || p_size || ' and Section ' || (p_size + 1) || chr(10) || '## ' || p_size || '.' || (p_partkey % 3) || ' ' || p_type || chr(10) || 'see page 1 [' || (p_partkey % 9) || '] not ' || p_name"
@@ -74,7 +75,7 @@ CHUNKS = r"""w AS (SELECT doc_id::VARCHAR AS document_id, regexp_extract_all(tex
 n AS (SELECT *, len(w) AS n FROM w WHERE len(w) > 0),
 chunks AS (SELECT document_id, k AS chunk_index, document_id || ':chunk:' || k AS chunk_id, k * 180 AS word_start, least(k * 180 + 220, n) AS word_end,
   array_to_string(w[k * 180 + 1 : least(k * 180 + 220, n)], ' ') AS text FROM n, LATERAL (SELECT unnest(range(0, CASE WHEN n <= 220 THEN 1 ELSE ceil((n - 220) / 180.0)::BIGINT + 1 END)) AS k))"""
-ASKED = "q AS (SELECT item_id::VARCHAR AS query_id, array_to_string(string_split(text, ' ')[1:8], ' ') AS question FROM benchmark)"
+ASKED = "q AS (SELECT item_id::VARCHAR AS query_id, text AS question FROM benchmark)"
 TOKENS = "list_transform(regexp_extract_all({0}, '[A-Za-z0-9_]+'), lambda x: lower(x))"
 TERMS = f"""qt AS (SELECT query_id, term, count(*) AS m FROM (SELECT query_id, unnest({TOKENS.format("question")}) AS term FROM q) GROUP BY ALL),
 tok AS (SELECT document_id, chunk_id, chunk_index, unnest({TOKENS.format("text")}) AS term FROM chunks),
@@ -245,12 +246,12 @@ def d24_page_type(spark, sf):
 # --- indexes and retrievers -----------------------------------------------------------------------------------
 @query(f"WITH {CHUNKS}, {ASKED}, {TERMS} SELECT chunk_id, sum(tf)::BIGINT AS tokens, count(*) AS terms, max(tf)::BIGINT AS most FROM tf GROUP BY ALL")
 def g1_term_frequency(spark, sf):
-    return R.postings(doc_chunks(spark, sf)).groupBy("chunk_id").agg(F.sum("tf").alias("tokens"), F.count("*").alias("terms"), F.max("tf").alias("most"))
+    return R.postings(doc_chunks(spark, sf)).where("term is not null").groupBy("chunk_id").agg(F.sum("tf").alias("tokens"), F.count("*").alias("terms"), F.max("tf").alias("most"))
 
 
 @query(f"WITH {CHUNKS}, {ASKED}, {TERMS} SELECT document_id, term, count(*) AS df FROM tf GROUP BY ALL")
 def g2_document_frequency(spark, sf):
-    return R.postings(doc_chunks(spark, sf)).groupBy("document_id", "term").agg(F.count("*").alias("df"))
+    return R.postings(doc_chunks(spark, sf)).where("term is not null").groupBy("document_id", "term").agg(F.count("*").alias("df"))
 
 
 @query(f"WITH {CHUNKS}, {ASKED}, {TERMS}, {bm25_sql('document_id')}, {best_sql('bm')}")
@@ -438,7 +439,7 @@ def planner_settings() -> dict:
 @query()
 def l7_planner_corpus(spark, sf):
     # six routes read the chunks
-    chunks = doc_chunks(spark, sf).persist()
+    chunks = settled(doc_chunks(spark, sf))
     return shown(retrieve.plan_and_merge(chunks, doc_pages(spark, sf), questions(spark, sf), 5, **planner_settings()))
 
 

@@ -268,7 +268,7 @@ def test_graph_search_equals_expansion_over_all_edges(spark):
     from lodeseek.queries import graph_chunks
 
     c, q = graph_chunks(spark), asked(spark, "Solver Engine setup")
-    seeds = {r.chunk_id: r.score for r in graph.seed_scores(c, q, "corpus").collect()}
+    seeds = {r.chunk_id: r.score for r in graph.seed_scores(graph.index_rows(c).withColumn("scope", F.lit("")), q).collect()}
     edges = graph.edges(c, "corpus").collect()
     top = dict(sorted(seeds.items(), key=lambda x: -x[1])[:8])
     final, relations = dict(top), {s: {"seed"} for s in top}

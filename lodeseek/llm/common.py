@@ -8,8 +8,6 @@ from __future__ import annotations
 
 import gc
 import os
-import re
-import tempfile
 import uuid
 import zlib
 
@@ -17,23 +15,12 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodeseek.session import ship
+from lodeseek.session import shared_folder, ship
 
 #: Stands for a null id: it sorts before every other id.
 NULL_ID = -(2**63)
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; only where all executors are this process, a folder of our own may stand in for it."""
-    at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not at:
-        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        at = tempfile.mkdtemp(prefix="lodeseek-")
-        spark.sparkContext.setCheckpointDir(at)
-    return at.rstrip("/")
-
-
 class Work:
     """Written tables of one call, in a folder of their own below the shared folder.
 
@@ -72,6 +59,11 @@ def id_key(column: str = "doc_id") -> Column:
     return F.coalesce(F.col(column).cast("long"), F.lit(NULL_ID))
 
 
+def packed(docs: DataFrame) -> DataFrame:
+    """row (all columns of docs as one struct, so that their names meet no other) with __ls_k and __ls_t of keyed()."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), id_key().alias("__ls_k"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("__ls_t"))
+
+
 def keyed(docs: DataFrame) -> DataFrame:
     """doc_id, text, __ls_k (id_key) and __ls_t, a hash of the text: rows that agree in both are copies of a row."""
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text")).select("doc_id", "text", id_key().alias("__ls_k"), F.xxhash64("text").alias("__ls_t"))

@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodeseek.llm.common import NULL_ID, Work, keyed
+from lodeseek.llm.common import Work, keyed, packed
 
 #: One line in so many ends a chunk.
 EVERY = 3
@@ -62,7 +62,7 @@ def repeated_chunks(docs: DataFrame, every: int, work: Work) -> DataFrame:
 
 
 def kept_lines(docs: DataFrame, every: int, work: Work) -> DataFrame:
-    """The columns of docs, which have __ls_k, __ls_t and text, with kept (array of lines) and n_lines."""
+    """The columns of docs (__ls_k, __ls_t, text and doc_id or row) with kept (array of lines) and n_lines."""
     gone = work.table(repeated_chunks(docs.select("__ls_k", "__ls_t", "text"), every, work), "gone")
     work.drop("chunks", "again")
     work.tidy()
@@ -88,8 +88,9 @@ def dedup_lines(docs: DataFrame, every: int = EVERY) -> DataFrame:
 def with_deduped_text(docs: DataFrame, every: int = EVERY) -> DataFrame:
     """docs with the kept lines as text (and n_chars, if there is such a column, to match); all columns stay."""
     work = Work(docs.sparkSession, "lines")
-    rows = docs.withColumn("text", F.coalesce("text", F.lit(""))).withColumn("__ls_k", F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID))).withColumn("__ls_t", F.xxhash64("text"))
-    got = kept_lines(rows, every, work).withColumn("text", F.array_join("kept", "\n"))
+    rows = packed(docs).withColumn("text", F.coalesce("row.text", F.lit("")))
+    got = kept_lines(rows, every, work).select("row", F.array_join("kept", "\n").alias("text"))
+    new = {"text": F.col("text")}
     if "n_chars" in docs.columns:
-        got = got.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
-    return got.select(*docs.columns)
+        new["n_chars"] = F.char_length("text").cast(docs.schema["n_chars"].dataType)
+    return got.select(*[new.get(c, F.col("row")[c]).alias(c) for c in docs.columns])

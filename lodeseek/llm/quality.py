@@ -11,7 +11,10 @@ driver; texts over ``longest`` bytes are left out of training only. Scoring is o
 
 Defined results: null and empty texts get the score of a document without words; rows without labels are scored
 like all others; null doc_id is never a training row and counts as held out or not by the crc32 of ''; repeated rows
-each give a row; without usable labels of both kinds every score is the share of label 1 (0.5 without any).
+each give a row; without usable labels of both kinds every score is the share of label 1 (0.5 without any); empty
+tables give empty results; very long texts are scored whole, 512 rows at a time; equal scores need no order; further
+columns, whatever their names, are carried along by scored() and ignored otherwise. A word's shape is taken from its
+first 24 characters (the word's own vector, where training knew it, from all of them).
 """
 
 from __future__ import annotations
@@ -185,8 +188,11 @@ def fit(rows: list[tuple[str, int]], window: int = WINDOW, most: int = 20_000, e
 def training_rows(docs: DataFrame, labels: DataFrame, sample: int, longest: int) -> list[tuple[str, int]]:
     """At most sample labelled rows that are not held out, by the hash of their ids; one row for each id."""
     usable = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isin(0, 1) & ~held_out_column())
-    chosen = usable.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("quality").cast("int").alias("__ls_q")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+    usable = usable.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("quality").cast("int").alias("__ls_q"))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).where(F.octet_length("text") <= longest)
+    # chosen among the labelled rows that training can take; only their ids are shuffled
+    there = texts.select("doc_id").where("doc_id is not null")
+    chosen = usable.join(there.hint("merge"), "doc_id", "left_semi").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     # at most sample ids: a bounded side
     got = texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.first("__ls_q").alias("q"))
     return [(r["text"], r["q"]) for r in sorted(got.collect(), key=lambda r: r["doc_id"])]
@@ -197,9 +203,10 @@ def classify(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, longest:
 
 
 def scored(docs: DataFrame, model: Model) -> DataFrame:
-    """The columns of docs and __ls_score, in one narrow pass. docs has a column text."""
+    """row (all columns of docs, which has a column text, as one struct) and score, in one narrow pass."""
     ship(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
     at = docs.columns.index("text")
 
     def score(batches: Iterator) -> Iterator:
@@ -210,16 +217,16 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
         for b in batches:
             for s in range(0, b.num_rows, 512):
                 part = b.slice(s, 512)
-                x = model.score(pool.of([t or "" for t in part.column(at).to_pylist()]))
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(x, pa.float64())], names=[*part.schema.names, "__ls_score"])
+                x = model.score(pool.of([t or "" for t in part.column(0).field(at).to_pylist()]))
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(x, pa.float64())], names=["row", "score"])
 
     from pyspark.sql import types as T
 
-    return docs.mapInArrow(score, T.StructType([*docs.schema.fields, T.StructField("__ls_score", T.DoubleType())]))
+    return rows.mapInArrow(score, T.StructType([rows.schema["row"], T.StructField("score", T.DoubleType())]))
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, longest: int = LONGEST) -> DataFrame:
     """doc_id, held_out, score, predicted for every row of docs (doc_id, text); labels has doc_id and quality."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     got = scored(rows, classify(docs, labels, sample, longest))
-    return got.select("doc_id", held_out_column().alias("held_out"), F.col("__ls_score").alias("score"), (F.col("__ls_score") >= 0.5).cast("int").alias("predicted"))
+    return got.select("row.doc_id", held_out_column("row.doc_id").alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))

@@ -36,19 +36,26 @@ TOGETHER = 60_000
 FRONT = 400_000
 
 
-def fingerprint(data: bytes, shingle: int = 4, seed: int = 42) -> int:
-    """The majority of each bit over the XXH64 of all word shingles, repeats included."""
+def shingle_hashes(data: bytes, shingle: int, seed: int = 42) -> np.ndarray:
+    """The XXH64 of all word shingles, repeats included; of all words, if they are fewer; nothing without words."""
     import xxhash
 
     words = data.translate(LOWER).split()
     if not words:
-        return 0
+        return np.zeros(0, np.uint64)
     text = b" ".join(words)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     starts = np.concatenate([[0], ends[:-1] + 1])
     n = max(1, len(words) - shingle + 1)
     cut = map(slice, starts[:n].tolist(), ends[min(shingle, len(words)) - 1 :].tolist())
-    h = np.fromiter(map(xxhash.xxh64_intdigest, map(text.__getitem__, cut), repeat(seed)), np.uint64, n)
+    return np.fromiter(map(xxhash.xxh64_intdigest, map(text.__getitem__, cut), repeat(seed)), np.uint64, n)
+
+
+def majority(h: np.ndarray) -> int:
+    """A bit is 1 if it is set in over half of the hashes."""
+    n = len(h)
+    if not n:
+        return 0
     lanes = h.astype("<u8").view(np.uint8).reshape(n, 8)
     counts = np.zeros(64, np.int64)
     for at in range(0, n, 1 << 16):
@@ -56,6 +63,10 @@ def fingerprint(data: bytes, shingle: int = 4, seed: int = 42) -> int:
     return int(np.packbits(counts * 2 > n, bitorder="little").view("<u8")[0])
 
 
+def fingerprint(data: bytes, shingle: int = 4, seed: int = 42) -> int:
+    return majority(shingle_hashes(data, shingle, seed))
+
+
 def fingerprints(docs: DataFrame, shingle: int = 4, seed: int = 42) -> DataFrame:
     """__ls_k (id_key) and __ls_f (the fingerprint as a signed long) for every row of docs (doc_id, text)."""
 

@@ -1,17 +1,19 @@
 """SimHash near-duplicates: a binary trie of fingerprints, joined with itself.
 
 Texts become 64-bit fingerprints; each distinct fingerprint enters once. Two fingerprints that differ in at most 4
-bits agree wholly in at least two of six parts of their bits, so the trie's bits are put in fifteen orders, each with
-one pair of parts first, and node pairs that differ in those first bits need not be followed: each value of the pair
-is a subtrie of its own, which a task joins with itself. There, pairs of nodes go down together, one bit a step; the
+bits agree wholly in at least two of six parts of their bits. So the trie is dealt out fifteen times, once for each
+pair of parts: fingerprints with one value of the pair are a trie of their own, with their bits in the order of the
+fingerprint, and pairs that differ there meet in another dealing. In a trie, pairs of nodes go down together, one bit a step; the
 bits in which they differ are added up and a pair over the error budget is dropped, as is a pair whose fingerprints
 are all linked already. Small pairs are compared directly. What a subtrie yields is a star per group, so a group of n
 near copies gives n links, not n * n. Subtries over ``most`` fingerprints are cut into chunks and every pair of
 chunks is joined by a task of its own. Components of the links are found by large-star and small-star rounds.
 
 Defined results: null and empty texts and texts without words have fingerprint 0, linked like any other; shorter texts
-than a shingle are one shingle; a null doc_id is the smallest id (its component_id is null); repeated rows each give
-a row; an empty table gives an empty result; further columns are ignored.
+than a shingle are one shingle; a null doc_id is the smallest id (its component_id is null), and so is a doc_id of
+-2**63, which is shown as null; repeated rows each give a row; very long texts are taken whole, their bits counted
+65,536 shingles at a time; ties cannot arise, as a component has one smallest id; an empty table gives an empty result;
+further columns are ignored.
 """
 
 from __future__ import annotations

@@ -7,12 +7,14 @@ hash occurs more than once are compared byte by byte (they are grouped by their
 
 Hashes of chunks are shuffled for the count; texts of chunks once, to meet the counts of their hashes, and those of
 repeated chunks once more for the comparison; texts of documents once, to meet their removed chunks.
-The count and the choice of the first occurrence combine before their shuffle, and the joins back are plain
-merge joins, never broadcasts of a side that grows, which Spark can split, so a chunk that occurs in a third of all documents is no burden to one task.
+The count and the choice of the first occurrence combine before their shuffle and are written tables, so the joins back
+have two plain shuffles: merge joins, never broadcasts of a side that grows, which Spark can split where a chunk occurs
+in a third of all documents.
 
 Defined results: lines end at a line feed; a null text is an empty text of one empty line; a single-line chunk is
 never removed; a null doc_id is the smallest id; rows that agree in id and text share their decisions (each of their
-chunks occurs once); an empty table gives an empty result; further columns are ignored.
+chunks occurs once); ties among equal chunks go to the smallest (id, text hash, chunk number); a very long text is one
+row of many chunks and is never cut; an empty table gives an empty result; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -54,9 +56,9 @@ def repeated_chunks(docs: DataFrame, every: int, work: Work) -> DataFrame:
     """Per document with any: __ls_k, __ls_t, gone (array of struct<s, n>: the removed chunks)."""
     # one row for copies of a row
     chunks = work.table(chunked(docs, every).where("n >= 2"), "chunks")
-    often = chunks.groupBy("h").agg(F.count("*").alias("x")).where("x > 1").select("h")
+    often = work.table(chunks.groupBy("h").agg(F.count("*").alias("x")).where("x > 1").select("h"), "often")
     again = work.table(chunks.join(often.hint("merge"), "h", "left_semi"), "again")
-    first = again.groupBy("h", "chunk").agg(F.min(F.struct("__ls_k", "__ls_t", "c")).alias("first"))
+    first = work.table(again.groupBy("h", "chunk").agg(F.min(F.struct("__ls_k", "__ls_t", "c")).alias("first")), "first")
     gone = again.join(first.hint("merge"), ["h", "chunk"]).where(F.struct("__ls_k", "__ls_t", "c") != F.col("first"))
     return gone.groupBy("__ls_k", "__ls_t").agg(F.collect_set(F.struct("s", "n")).alias("gone"))
 
@@ -64,7 +66,7 @@ def repeated_chunks(docs: DataFrame, every: int, work: Work) -> DataFrame:
 def kept_lines(docs: DataFrame, every: int, work: Work) -> DataFrame:
     """The columns of docs (__ls_k, __ls_t, text and doc_id or row) with kept (array of lines) and n_lines."""
     gone = work.table(repeated_chunks(docs.select("__ls_k", "__ls_t", "text"), every, work), "gone")
-    work.drop("chunks", "again")
+    work.drop("chunks", "often", "again", "first")
     work.tidy()
     got = docs.join(gone.hint("merge"), ["__ls_k", "__ls_t"], "left")
     got = got.select("*", F.inline(F.array(F.struct(F.split("text", "\n").alias("lines"), F.array_sort(F.coalesce("gone", F.array().cast("array<struct<s:int,n:int>>"))).alias("out")))))

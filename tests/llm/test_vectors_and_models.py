@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import math
 import random
 import zlib
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -11,29 +13,57 @@ import pytest
 from lodeseek.llm import quality, topk
 
 
-@pytest.mark.parametrize("shard", [7, 1024])
-def test_top_k(spark, shard):
+def top_expected(rows: list[tuple], k: int, every: int) -> list[tuple]:
+    """By exact whole numbers; scores beyond a long as the nearest long."""
+    from fractions import Fraction
+
+    fine = [(i, [math.floor(Fraction(1024) * Fraction(c)) for c in v]) for i, v in rows if i is not None and v is not None and None not in v and all(map(math.isfinite, v))]
+    asked: dict = {}
+    for i, x in fine:
+        if i % every == 0:
+            asked[i] = min(asked.get(i, x), x)
+    out = []
+    for q, x in asked.items():
+        scores = sorted((-sum(a * b for a, b in zip(x, y, strict=True)), i) for i, y in fine if i != q and len(y) == len(x))[:k]
+        out += [(q, r, i, min(2**63 - 1, max(-(2**63), -s))) for r, (s, i) in enumerate(scores, 1)]
+    return sorted(out)
+
+
+def top_got(spark, rows: list[tuple], kind: str, k: int, every: int, **settings) -> list[tuple]:
+    clashing = [(i, v, "e", 1, 2, 3, "f", "g") for i, v in rows]
+    table = spark.createDataFrame(clashing, f"vec_id long, embedding array<{kind}>, score string, n int, cell int, part int, v string, id string")
+    return sorted(tuple(r) for r in topk.top_k(table, k=k, every=every, **settings).select("query_id", "rank", "vec_id", "score").collect())
+
+
+@pytest.mark.parametrize("settings", [{"shard": 7, "block": 2}, {}, {"shard": 50, "cells": 2, "sample": 20}])
+def test_top_k(spark, settings):
     draw = np.random.default_rng(1)
-    rows = [(i, [float(x) for x in draw.normal(size=5).round(1)], "e") for i in range(300)]
-    rows += [(300, None, "e"), (301, [1.0, None, 1.0, 1.0, 1.0], "e"), (400, [float("nan")] * 5, "e"), (500, [float("inf")] * 5, "e"), (7, rows[7][1], "e"), (None, rows[8][1], "e"), (600, [0.5, 0.5], "e"), (601, [1.0, 2.0], "e")]
-    table = spark.createDataFrame(rows, "vec_id long, embedding array<float>, score string")
-    got = sorted(tuple(r) for r in topk.top_k(table, k=6, every=100, shard=shard, block=2).select("query_id", "rank", "vec_id", "score").collect())
-    fine = [(i, np.floor(1024 * np.float32(v).astype(float))) for i, v, _ in rows if i is not None and v is not None and None not in v and np.isfinite(v).all()]
-    expected = []
-    for q, x in fine:
-        if q % 100 == 0:
-            scores = sorted((-int(x @ y), i) for i, y in fine if i != q and len(y) == len(x))[:6]
-            expected += [(q, r, i, -s) for r, (s, i) in enumerate(scores, 1)]
-    assert got == sorted(expected)
-    assert topk.top_k(table.limit(0)).count() == 0
-
-
-def test_huge_components_stay_exact(spark):
-    table = spark.createDataFrame([(0, [3e30, 1.0]), (1, [3e30, 1.0]), (2, [1.0, 1.0])], "vec_id long, embedding array<double>")
-    tree = topk.tree_of(np.array([1, 2]), topk.whole([[3e30 * 1024, 1024.0], [1024.0, 1024.0]]))
-    best = topk.search(tree, 0, topk.whole([[2048.0, 1024.0], [3e33, 0.0]])[0], 1, None)
-    assert best == [(2048 * int(3e30 * 1024) + 1024 * 1024, 1)]
-    assert table.count() == 3
+    rows = [(i, [float(x) for x in draw.normal(size=5).round(1).astype(np.float32)]) for i in range(300)]
+    rows += [(300, None), (301, [1.0, None, 1.0, 1.0, 1.0]), (400, [float("nan")] * 5), (500, [float("inf")] * 5), (7, rows[7][1]), (100, rows[9][1]), (None, rows[8][1]), (600, [0.5, 0.5]), (601, [1.0, 2.0]), (700, []), (701, [])]
+    # a third of all vectors is one
+    rows += [(1000 + i, rows[3][1]) for i in range(150)]
+    assert top_got(spark, rows, "float", 6, 100, **settings) == top_expected(rows, 6, 100)
+    assert topk.top_k(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
+
+
+def test_scores_stay_exact_beyond_doubles_and_longs(spark):
+    # a long holds the scores, a double does not: one query with a large component, many shards without
+    rows = [(0, [(2**40 + 1) / 1024, 0.0]), *((i, [(2**19 + i) / 1024, 0.0]) for i in range(1, 2971) if i % 1000)]
+    assert top_got(spark, rows, "double", 10, 1000, shard=100) == top_expected(rows, 10, 1000)
+    # beyond a long: ranks by exact values, scores as the nearest long
+    draw = np.random.default_rng(3)
+    big = [(i, [float(x) for x in draw.choice([3e30, -3e30, 1e308, -1.5e307, 1.0, -0.25, 1e16], 3)]) for i in range(120)]
+    assert top_got(spark, big, "double", 119, 40, shard=16, block=1) == top_expected(big, 119, 40)
+    assert topk.kind_of(8.0, 64, 1024) == "float" and topk.kind_of(2.0**18, 64, 1024) == "int" and topk.kind_of(3e30, 1, 1024) == "big"
+
+
+def test_no_vector_is_lost_between_cells():
+    draw = np.random.default_rng(5)
+    for x in (draw.normal(size=(500, 3)), np.zeros((50, 2)), np.repeat(draw.normal(size=(3, 2)), 40, axis=0)):
+        nodes = topk.coarse_tree(x, 16)
+        cells = topk.cells_of(nodes, x)
+        assert len(cells) == len(x) and cells.min() >= 0 and cells.max() < 16
+        assert len(nodes) == cells.max() or len(x) == 120
 
 
 def texts(n: int) -> list[tuple]:
@@ -63,6 +93,18 @@ def test_quality(spark):
     assert quality.quality_scores(docs.limit(0), labels).count() == 0
 
 
+@pytest.mark.skipif(not Path("/root/testdata/sf0.01").is_dir(), reason="needs the generated tables")
+def test_held_out_labels_of_the_generated_tables(spark):
+    """Accuracy and the area under the curve over labelled rows that training never saw, and how well scores are calibrated."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{n}.parquet") for n in ("documents", "labels"))
+    rows = quality.quality_scores(docs, labels).where("held_out").join(labels, "doc_id").collect()
+    good, bad = ([r.score for r in rows if r.quality == q] for q in (1, 0))
+    assert len(good) > 30 and len(bad) > 10
+    assert np.mean([r.predicted == r.quality for r in rows]) > 0.97
+    assert np.mean([(a > b) + (a == b) / 2 for a in good for b in bad]) > 0.98
+    assert abs(np.mean([r.score for r in rows]) - np.mean([r.quality for r in rows])) < 0.05
+
+
 def test_training_never_sees_held_out_rows(spark):
     rows = texts(300)
     docs = spark.createDataFrame([(d, t) for d, t, _ in rows], "doc_id long, text string")

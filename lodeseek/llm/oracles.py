@@ -1,10 +1,12 @@
 """DuckDB SQL for the queries of this subpackage that SQL can express; plain restatements, for tables of moderate size.
 
-There is none for tokenizers (2, 3), XXH64 (4) and trained models (10), and none yet for the licence scan (8).
+There is none for tokenizers (2, 3), XXH64 (4) and trained models (10).
 """
 
 from __future__ import annotations
 
+from lodeseek.llm.licenses import TEMPLATES, TEXTS
+
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 #: A window of 50 words goes if a document with a smaller id has it, too.
@@ -85,10 +87,32 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, c
 FROM doc LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id) LEFT JOIN near USING (doc_id)
 """
 
+_TEMPLATES = ", ".join("({}, '{}', '{}')".format(i, name, text.replace("'", "''")) for i, (name, text) in enumerate(TEMPLATES + TEXTS))
+_IDF = "(ln((1 + (SELECT count(*) FROM documents)) / (1.0 + coalesce(df, 0))) + 1)"
+
+#: Lines, runs of lines with words and whole texts against the templates, every term by its document frequency.
+LICENSES = rf"""
+WITH lines AS (SELECT doc_id, i, {_WORDS.replace("coalesce(text, '')", "line")} AS w FROM (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, unnest(range(1, len(string_split(coalesce(text, ''), chr(10))) + 1)) AS i FROM documents)),
+worded AS (SELECT *, i - row_number() OVER (PARTITION BY doc_id ORDER BY i) AS g FROM lines WHERE len(w) > 0),
+unit AS (SELECT doc_id, 0 AS kind, i AS u, w FROM worded UNION ALL SELECT doc_id, 1, g, flatten(list(w ORDER BY i)) FROM worded GROUP BY doc_id, g HAVING count(*) > 1 UNION ALL SELECT doc_id, 2, 0, flatten(list(w ORDER BY i)) FROM worded GROUP BY doc_id),
+df AS (SELECT x, count(DISTINCT doc_id) AS df FROM (SELECT doc_id, unnest(w) AS x FROM worded) GROUP BY x),
+template AS (SELECT i, name, unnest({_WORDS.replace("coalesce(text, '')", "text")}) AS x FROM (VALUES {_TEMPLATES}) t(i, name, text)),
+tv AS (SELECT i, name, x, count(*) * any_value({_IDF}) AS v FROM template LEFT JOIN df USING (x) GROUP BY i, name, x), tn AS (SELECT i, name, x, v / sqrt(sum(v * v) OVER (PARTITION BY i)) AS v FROM tv),
+uv AS (SELECT doc_id, kind, u, x, count(*) * any_value({_IDF}) AS v FROM (SELECT doc_id, kind, u, unnest(w) AS x FROM unit) JOIN df USING (x) GROUP BY doc_id, kind, u, x),
+norm AS (SELECT doc_id, kind, u, sqrt(sum(v * v)) AS norm FROM uv GROUP BY doc_id, kind, u),
+dot AS (SELECT doc_id, kind, u, i, name, sum(uv.v * tn.v) AS dot FROM uv JOIN tn USING (x) GROUP BY doc_id, kind, u, i, name),
+best AS (SELECT *, row_number() OVER (PARTITION BY doc_id, kind, u ORDER BY round(dot, 9) DESC, name) AS r FROM dot),
+hit AS (SELECT doc_id, kind, name, round(dot / norm, 6) AS score FROM best JOIN norm USING (doc_id, kind, u) WHERE r = 1 AND round(dot / norm, 6) >= 0.75),
+one AS (SELECT doc_id, name, score, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, name) AS r, sum((kind = 0)::INT) OVER (PARTITION BY doc_id) AS n, bool_or(kind = 2) OVER (PARTITION BY doc_id) AS whole FROM hit)
+SELECT doc_id, 'documents/' || doc_id || '/text' AS path, name AS license, score, coalesce(n, 0)::BIGINT AS lines, CASE WHEN whole THEN name END AS inherited, CASE WHEN whole THEN 'documents/' || doc_id || '/text' END AS inherited_from, name AS effective
+FROM documents LEFT JOIN (SELECT * FROM one WHERE r = 1) USING (doc_id)
+"""
+
 ORACLES = {
     "op1_substring_dedup": SUBSTRING_DEDUP,
     "op5_suffix_dedup": SUFFIX_DEDUP,
     "op6_topk": TOP_K,
     "op7_line_dedup": LINE_DEDUP,
+    "op8_licenses": LICENSES,
     "op9_decontamination": DECONTAMINATION,
 }

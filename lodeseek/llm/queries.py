@@ -44,8 +44,9 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """documents has no paths: each document lies in a directory of its own, so that unrelated ones inherit nothing from each other."""
     docs = table(spark, sf_dir, "documents")
-    return licenses.scan(docs.select("doc_id", F.concat_ws("/", "source", F.col("doc_id").cast("string")).alias("path"), "text"))
+    return licenses.scan(docs.select("doc_id", F.concat(F.lit("documents/"), F.col("doc_id").cast("string"), F.lit("/text")).alias("path"), "text"))
 
 
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

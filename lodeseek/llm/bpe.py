@@ -52,6 +52,16 @@ def parts(vocabulary: str) -> tuple[dict[bytes, int], dict[tuple[bytes, bytes],
     return {raw(t): i for t, i in model["vocab"].items() if t not in special}, merges
 
 
+def require(vocabulary: str, normalizer: list[str], pre_tokenizers: list[tuple[str, str | None]]) -> None:
+    """Raises unless the file's normaliser and pre-tokenizers, by type (and pattern), are these: other rules cut texts elsewhere."""
+    with open(tokenizer_file(vocabulary), encoding="utf-8") as f:
+        whole = json.load(f)
+    flat = lambda one, name: [] if one is None else one.get(name, []) if one["type"] == "Sequence" else [one]
+    found = [x["type"] for x in flat(whole["normalizer"], "normalizers")], [(x["type"], (x.get("pattern") or {}).get("Regex")) for x in flat(whole["pre_tokenizer"], "pretokenizers")]
+    if found != (normalizer, pre_tokenizers) or whole["model"]["type"] != "BPE" or any(x.get("add_prefix_space") for x in flat(whole["pre_tokenizer"], "pretokenizers")):
+        raise ValueError(f"{vocabulary} has other rules than this operator knows: {found}")
+
+
 def merged_alone(data: bytes, merges: dict[tuple[bytes, bytes], int]) -> list[bytes]:
     """The library's own rule, plainly: the pair with the earliest merge first, the leftmost of equals."""
     body = data.removesuffix(MARK) if len(data) > 1 else data

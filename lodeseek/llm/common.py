@@ -28,9 +28,10 @@ class Work:
     more; what the returned DataFrame still reads stays, for the cluster's clean-up of the shared folder.
     """
 
-    def __init__(self, spark: SparkSession, name: str):
+    def __init__(self, spark: SparkSession, name: str, at: str | None = None):
+        """at: a folder that outlives the call, in place of one below the shared folder."""
         ship(spark)
-        self.spark, self.at = spark, f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+        self.spark, self.at = spark, at or f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
     def path(self, name: str) -> str:
         return f"{self.at}/{name}"
@@ -48,6 +49,19 @@ class Work:
             path = jvm.org.apache.hadoop.fs.Path(self.path(name))
             path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
+    def note(self, name: str, text: str) -> None:
+        """Writes a small text."""
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.path(name))
+        out = path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).create(path, True)
+        out.write(bytearray(text.encode()))
+        out.close()
+
+    def names(self) -> list[str]:
+        """What lies in the folder."""
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.at)
+        fs = path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        return sorted(x.getPath().getName() for x in fs.listStatus(path)) if fs.exists(path) else []
+
     def tidy(self) -> None:
         """Lets Spark drop the shuffle files of finished steps: it does so once their plans are garbage."""
         gc.collect()

@@ -1,13 +1,15 @@
 """Packing of tokenized documents into fixed-length sequences: first-fit decreasing over a tournament tree.
 
-A document's ids are cut at multiples of the sequence length. Full pieces are sequences of their own; the remainders
-go to groups by a seeded hash and each group is packed alone: remainders in decreasing length, each into the first
-bin with room, found from the root of a tournament tree whose inner nodes hold the largest free capacity below.
+A document's ids are cut at multiples of the sequence length. All pieces go to groups by a seeded hash and each group
+is packed alone: pieces in decreasing length, each into the first bin with room, found from the root of a tournament
+tree whose inner nodes hold the largest free capacity below; a full piece has a bin, and so a sequence, of its own.
 Only lengths, never ids, are shuffled, and a group's size is fixed, so no task grows with the corpus.
 
 Defined results: a null text is an empty document, which still has its end id; rows with the same doc_id (or null)
-are separate documents; a piece of exactly the sequence length is a sequence without padding; an empty table gives
-an empty result; further columns are ignored.
+are separate documents; a doc_id of -2**63 is shown as null; a piece of exactly the sequence length is a sequence
+without padding; pieces of one length are packed in the order of their keys; a very long text is many pieces; an empty
+table gives an empty result; further columns, whatever their names, are ignored. A vocabulary whose file has another
+normaliser or pre-tokenizer is an error.
 """
 
 from __future__ import annotations
@@ -130,6 +132,7 @@ def pieces(docs: DataFrame, vocabulary: str, size: int, end: int) -> DataFrame:
 
 def pack(docs: DataFrame, vocabulary: str = "word_bpe_49k.json", size: int = 4096, end: int = 2, seed: int = 7, group: int = GROUP) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
+    bpe.require(vocabulary, ["NFC", "Replace", "Lowercase"], [("Split", Ids.PATTERN), ("ByteLevel", None)])
     work = Work(docs.sparkSession, "pack")
     cut = work.table(pieces(docs, vocabulary, size, end), "pieces")
     groups = max(1, -(-cut.count() // group))

@@ -1,23 +1,31 @@
 """Substring deduplication with a log-structured fingerprint index.
 
-The fingerprint of a window of words is the hash of its anchor gram (anchors.py), which equal windows share. The
-index is a list of sorted immutable runs, tables of (fingerprint, smallest id, number) in the order of the
-fingerprint. A new batch of documents becomes a sorted run; it is merge-joined with the runs of history, which gives
-the fingerprints that batch and history (or the batch alone) hold in several documents; then it joins the list, and
-when the list has ``fanout`` runs they are merged into one. A run holds each fingerprint once, so a passage that very
-many documents share is one row.
-
-Fingerprints only nominate: the windows under a nominated fingerprint are verified word by word, and a window goes if
-a document with a smaller id holds the same words. The first document to hold a window keeps it.
+The fingerprint of a window of words is the hash of its anchor gram (anchors.py): windows with the same words have the
+same fingerprint, and neighbouring windows mostly share theirs, so that an entry (fingerprint, document, first and last
+window, place of the anchor) stands for a run of windows. Hashes of single windows would be 16 bytes for every word of
+the corpus, several times the input.
+
+The index is a folder: *runs*, tables of entries in the order of the fingerprint that never change, and a manifest,
+written anew under the next number, that names the runs in force. ``add`` takes a batch of documents: their entries
+become a sorted run; it is merge-joined with the runs of history, which gives the fingerprints that batch and history,
+or the batch alone, hold in several documents; the windows under these are verified word by word, in the batch and in
+history; then the manifest takes the run in, and when it has ``fanout`` runs they are merged into one. The index keeps
+no texts: a caller gives the documents that history came from. It can be opened again by its folder, in another
+session, and goes on with the next batch.
+
+A window goes if a document with a smaller id holds the same words; the first document to hold a window keeps it.
+``drop_repeated_windows`` loads all its documents in ``batches`` batches, in the order of their ids.
 
 Defined results: null texts have no words; texts shorter than a window lose nothing; a null doc_id is the smallest
-id; rows with the same id never remove each other's windows; further columns are ignored; an empty table gives an
-empty result.
+id, and so is -2**63; rows with the same id never remove each other's windows, so ties do not arise; a very long text
+is read in segments that overlap by a window, and never cut; further columns, whatever their names, are ignored; an
+empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import hashlib
+import json
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,67 +33,94 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodeseek.llm import anchors
-from lodeseek.llm.common import Work, keyed, mix64
+from lodeseek.llm.common import Work, id_key, keyed, mix64
 
 WINDOW, GRAM = 50, 12
 #: Batches of a load, in the order of the ids; runs that are merged into one.
-BATCHES, FANOUT = 3, 3
+BATCHES, FANOUT = 2, 4
 
 
 class FingerprintIndex:
-    """Sorted immutable runs of fingerprints: h, first (smallest id key), n (rows so far)."""
-
-    def __init__(self, spark: SparkSession, work: Work, fanout: int = FANOUT):
-        self.spark, self.work, self.fanout = spark, work, fanout
-        self.runs: list[str] = []
-        self.nominated: list[str] = []
-        self.made = 0
-
-    def _write(self, rows: DataFrame, kind: str) -> str:
+    """Sorted immutable runs of entries h, __ls_k, __ls_t, lo, hi, a in a folder."""
+
+    def __init__(self, work: Work, fanout: int = FANOUT, window: int = WINDOW, gram: int = GRAM):
+        self.work, self.fanout, self.window, self.gram = work, fanout, window, gram
+        versions = sorted(int(n.split("-")[1]) for n in work.names() if n.startswith("manifest-"))
+        self.version = versions[-1] if versions else 0
+        held = json.loads(work.spark.read.text(work.path(f"manifest-{self.version}"), wholetext=True).first()[0]) if versions else {"runs": [], "made": 0, "window": window, "gram": gram}
+        if (held["window"], held["gram"]) != (window, gram):
+            raise ValueError(f"This index has windows of {held['window']} words and grams of {held['gram']}")
+        self.runs: list[str] = held["runs"]
+        self.made: int = held["made"]
+
+    @staticmethod
+    def open(spark: SparkSession, at: str, **settings) -> FingerprintIndex:
+        """The index in a folder, which may be empty yet."""
+        return FingerprintIndex(Work(spark, "index", at), **settings)
+
+    def _commit(self, runs: list[str], gone: list[str]) -> None:
+        """The next manifest; what it no longer names is removed after it is there."""
+        self.runs, self.version = runs, self.version + 1
+        self.work.note(f"manifest-{self.version}", json.dumps({"runs": runs, "made": self.made, "window": self.window, "gram": self.gram}))
+        self.work.drop(*gone, f"manifest-{self.version - 1}")
+
+    def _sorted(self, rows: DataFrame) -> str:
         self.made += 1
-        name = f"{kind}-{self.made}"
-        parts = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
-        self.work.table(rows.repartitionByRange(parts, "h").sortWithinPartitions("h") if kind == "run" else rows, name)
-        return name
+        parts = int(self.work.spark.conf.get("spark.sql.shuffle.partitions"))
+        self.work.table(rows.repartitionByRange(parts, "h", "__ls_k").sortWithinPartitions("h"), f"run-{self.made}")
+        return f"run-{self.made}"
 
-    def _history(self) -> DataFrame | None:
+    def entries(self) -> DataFrame | None:
         out = None
         for name in self.runs:
             one = self.work.read(name)
             out = one if out is None else out.unionByName(one)
         return out
 
-    def add(self, found: DataFrame) -> DataFrame:
-        """Adds a batch of rows (h, __ls_k); returns the fingerprints that it shares within itself or with history."""
-        run = self._write(found.groupBy("h").agg(F.min("__ls_k").alias("first"), F.max("__ls_k").alias("last"), F.count("*").alias("n")), "batch")
-        new, history = self.work.read(run), self._history()
-        again = new.where("first < last").select("h")
-        if history is not None:
-            # both sides hold a fingerprint once for each run: a merge join without hot keys
-            past = history.select("h", F.col("first").alias("past"))
-            again = again.unionByName(new.join(past.hint("merge"), "h").where("past <> first or first < last").select("h"))
-        self.nominated.append(self._write(again.distinct(), "nominated"))
-        self.runs.append(self._write(new.select("h", "first", "n"), "run"))
-        self.work.drop(run)
+    def add(self, batch: DataFrame, history: DataFrame | None = None) -> DataFrame:
+        """Takes in the rows of batch (doc_id, text). Per document with any, of batch or history: __ls_k, __ls_t, spans:
+        its windows that go, since a smaller id in batch or history has them.
+
+        history: the rows that the index has already, as they were given.
+        """
+        scratch = Work(self.work.spark, "batch")
+        rows = keyed(batch).withColumn("text", F.col("text").cast("binary"))
+        found = scratch.table(anchors.find_runs(rows, self.window, self.gram, words=True), "found")
+        run = self._sorted(found)
+        scratch.drop("found")
+        new, past = self.work.read(run), self.entries()
+        counted = lambda df: df.groupBy("h").agg(F.min("__ls_k").alias("low"), F.max("__ls_k").alias("high"), F.count("*").alias("n"))
+        if past is None:
+            counts = counted(new).where("low < high").select("h", "n")
+        else:
+            # both sides hold a fingerprint once: a merge join without hot keys
+            before = counted(past).select("h", F.col("low").alias("past_low"), F.col("high").alias("past_high"), F.col("n").alias("past_n"))
+            both = counted(new).join(before.hint("merge"), "h", "left").where("low < high or past_low <> low or past_high <> low")
+            counts = both.select("h", (F.col("n") + F.coalesce("past_n", F.lit(0))).alias("n"))
+        counts = scratch.table(counts, "counts")
+        scratch.tidy()
+        every, texts = new, rows
+        if past is not None:
+            every = new.unionByName(past)
+            texts = rows.unionByName(keyed(history).withColumn("text", F.col("text").cast("binary")))
+
+        window = self.window
+
+        def same(number, k, t, lo, n, off, regions):
+            return verify(number, k, t, lo, n, off, regions, window)
+
+        spans = anchors.repeated_windows(texts, every, counts, window, True, same, "smaller", scratch)
+        self._commit([*self.runs, run], [])
+        scratch.drop("counts")
         if len(self.runs) >= self.fanout:
             self.compact()
-        return self.work.read(self.nominated[-1])
+        return spans
 
     def compact(self) -> None:
         """Merges all runs into one."""
         if len(self.runs) > 1:
-            merged = self._write(self._history().groupBy("h").agg(F.min("first").alias("first"), F.sum("n").alias("n")), "run")
-            self.work.drop(*self.runs)
-            self.runs = [merged]
-
-    def candidates(self) -> DataFrame:
-        """h and n: every nominated fingerprint and its number of rows."""
-        self.compact()
-        every = None
-        for name in self.nominated:
-            one = self.work.read(name)
-            every = one if every is None else every.unionByName(one)
-        return self.work.read(self.runs[0]).select("h", "n").join(every.distinct().hint("merge"), "h")
+            old = self.runs
+            self._commit([self._sorted(self.entries())], old)
 
 
 def verify(number, k, t, lo, n, off, texts, window: int = WINDOW) -> np.ndarray:
@@ -126,22 +161,18 @@ def drop_repeated_windows(docs: DataFrame, window: int = WINDOW, gram: int = GRA
     spark = docs.sparkSession
     work = Work(spark, "substring")
     rows = keyed(docs).withColumn("text", F.col("text").cast("binary"))
-    found = work.table(anchors.find_runs(rows, window, gram, words=True), "runs")
-    index = FingerprintIndex(spark, work, fanout)
-    cuts = found.approxQuantile("__ls_k", [i / batches for i in range(1, batches)], 0.02) if batches > 1 else []
-    low = None
+    index = FingerprintIndex(Work(spark, "index"), fanout, window, gram)
+    key = id_key()
+    cuts = docs.select(key.alias("k")).approxQuantile("k", [i / batches for i in range(1, batches)], 0.02) if batches > 1 else []
+    every, low = None, None
     for high in [*sorted(set(map(int, cuts))), None]:
-        part = found if low is None else found.where(F.col("__ls_k") > low)
-        index.add(part if high is None else part.where(F.col("__ls_k") <= high))
+        part = docs if low is None else docs.where(key > low)
+        spans = index.add(part if high is None else part.where(key <= high), None if low is None else docs.where(key <= low))
+        every = spans if every is None else every.unionByName(spans)
         low = high
-    counts = work.table(index.candidates(), "counts")
-    work.tidy()
-
-    def same(number, k, t, lo, n, off, texts):
-        return verify(number, k, t, lo, n, off, texts, window)
-
-    spans = anchors.repeated_windows(rows, found, counts, window, True, same, "smaller", work)
-    work.drop("runs", "counts", *index.runs, *index.nominated)
+    # a document of an early batch may be met again by later ones
+    spans = every.groupBy("__ls_k", "__ls_t").agg(F.array_distinct(F.flatten(F.collect_list("spans"))).alias("spans"))
+    index.work.drop(*index.runs, f"manifest-{index.version}")
 
     def finish(batches: Iterator) -> Iterator:
         import pyarrow as pa

@@ -5,7 +5,8 @@ each pre-token among them counts 1 without any merging; only the rest goes throu
 distinct string and task memory. Everything is one narrow pass over the documents: no shuffle.
 
 Defined results: a null text counts as empty (0 bytes, 0 tokens); a null doc_id stays null; repeated rows each give
-a row; further columns are ignored; texts of any length are counted whole; an empty table gives an empty result.
+a row; further columns, whatever their names, are ignored; texts of any length are counted whole; ties do not arise; an
+empty table gives an empty result. A vocabulary whose file has another normaliser or pre-tokenizer is an error.
 """
 
 from __future__ import annotations
@@ -112,6 +113,7 @@ class Counter:
 def token_counts(docs: DataFrame, vocabulary: str = "byte_bpe_50k.json", limit: int = 512) -> DataFrame:
     """doc_id, n_bytes, n_tokens, over_limit (n_tokens > limit) for every row of docs (doc_id, text)."""
     ship(docs.sparkSession)
+    bpe.require(vocabulary, [], [("ByteLevel", None)])
     whole, without = whole_tokens(vocabulary), bpe.unreachable(vocabulary)
 
     def count(batches: Iterator) -> Iterator:

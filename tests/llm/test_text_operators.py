@@ -90,16 +90,37 @@ def test_substring_dedup(docs, none, monkeypatch, most):
     same(substring_dedup.drop_repeated_windows(none), [], columns)
 
 
-def test_fingerprint_index_is_incremental(spark):
-    from lodeseek.llm.common import Work
-
-    index = substring_dedup.FingerprintIndex(spark, Work(spark, "test"), fanout=2)
-    batch = lambda *rows: spark.createDataFrame(list(rows), "h long, __ls_k long")
-    assert [r.h for r in index.add(batch((1, 1), (2, 1), (2, 1), (3, 1), (3, 2))).collect()] == [3]
-    assert [r.h for r in index.add(batch((1, 5), (4, 5))).collect()] == [1]
-    assert len(index.runs) == 1  # compacted
-    assert sorted(r.h for r in index.add(batch((4, 9), (2, 9), (8, 9))).collect()) == [2, 4]
-    assert {r.h: r.n for r in index.candidates().collect()} == {1: 2, 2: 3, 3: 2, 4: 2}
+def test_fingerprint_index_is_incremental(spark, docs, tmp_path):
+    """Three batches, the last with the smallest ids, the index opened anew for each: spans as if all had come at once."""
+    at = f"{tmp_path}/index"
+    key = F.coalesce("doc_id", F.lit(-(2**63)))
+    parts = [docs.where((key > 20) & (key <= 45)), docs.where(key > 45), docs.where(key <= 20)]
+    gone: dict = {}
+    history = None
+    for n, part in enumerate(parts, 1):
+        index = substring_dedup.FingerprintIndex.open(spark, at, fanout=3)
+        assert len(index.runs) == (n - 1)
+        for r in index.add(part, history).collect():
+            gone.setdefault((r["__ls_k"], r["__ls_t"]), set()).update(w for s in r["spans"] for w in range(s.lo, s.hi + 1))
+        history = part if history is None else history.unionByName(part)
+    assert len(index.runs) == 1 and index.work.names() == sorted([index.runs[0], f"manifest-{index.version}"])  # compacted
+    entries = index.work.read(index.runs[0]).groupBy(F.spark_partition_id().alias("p")).agg(F.collect_list("h").alias("h")).collect()
+    assert all(r.h == sorted(r.h) for r in entries)
+    first: dict = {}
+    texts = {(smallest(d), t or ""): WORD.findall((t or "").encode()) for d, t, *_ in corpus()}
+    for (d, _), w in texts.items():
+        for i in range(len(w) - 49):
+            first[tuple(w[i : i + 50])] = min(d, first.get(tuple(w[i : i + 50]), d))
+    expected = {}
+    for (d, _), w in texts.items():
+        if lost := {i for i in range(len(w) - 49) if first[tuple(w[i : i + 50])] < d}:
+            expected.setdefault(d, []).append(lost)
+    got: dict = {}
+    for (d, _), lost in gone.items():
+        got.setdefault(d, []).append(lost)
+    assert {d: sorted(map(sorted, x)) for d, x in got.items()} == {d: sorted(map(sorted, x)) for d, x in expected.items()}
+    with pytest.raises(ValueError, match="windows of 50 words"):
+        substring_dedup.FingerprintIndex.open(spark, at, window=40)
 
 
 @pytest.mark.parametrize("most", [4096, 2])
@@ -136,6 +157,21 @@ def test_token_counts(docs, none):
     assert token_counts.token_counts(none).count() == 0
 
 
+def test_other_vocabularies_are_refused(spark, tmp_path):
+    import json
+
+    for name, run in (("byte_bpe_50k.json", lambda p: token_counts.token_counts(spark.range(1).selectExpr("id AS doc_id", "'a' AS text"), p)), ("word_bpe_49k.json", lambda p: packing.pack(spark.range(1).selectExpr("id AS doc_id", "'a' AS text"), p))):
+        from lodeseek.llm.common import tokenizer_file
+
+        with open(tokenizer_file(name)) as f:
+            whole = json.load(f)
+        whole["normalizer"] = {"type": "NFKC"}
+        at = tmp_path / name
+        at.write_text(json.dumps(whole))
+        with pytest.raises(ValueError, match="other rules"):
+            run(str(at))
+
+
 def odd_texts() -> list[str]:
     draw, letters = random.Random(1), list("ab cD\n\t'éÉ1²½ß.,!  \x1c\x1d\x1f\x85\xa0日é<|>ΣİſK")
     fixed = ["", " ", "a  b", "a\n\n b", "\n \n x", "it's 'S I'LL", "<|endoftext|>a <|endoftext|>", "x<|startoftext|>Y", "café", "don't 've'll", "a\r\nb", "\x00 \x01a"]
@@ -337,25 +373,65 @@ def test_proximity(spark):
     assert sorted(tuple(r) for r in decontamination.proximity_matches(docs, items).collect()) == [(1, "i"), (3, "i")]
 
 
-def test_licenses(spark):
-    files = [(1, "a/LICENSE", "Released under the MIT License."), (2, "a/b/x.py", "hello\nworld"), (3, "a/b/c/LICENSE.txt", "Licensed under the Apache License, Version 2.0."), (4, "a/b/c/d/y", "some words of prose that come first\nLicensed under CC BY-NC 4.0.\nand more words after it"), (5, "q/z", "none"), (6, None, None), (6, None, None), (None, "a/b/c/d/z", "")]
-    got = {(r.doc_id, r.path): (r.license, r.inherited, r.effective, r.lines) for r in licenses.scan(spark.createDataFrame(files, "doc_id long, path string, text string")).collect()}
-    assert got[1, "a/LICENSE"] == ("MIT", "MIT", "MIT", 1)
-    assert got[2, "a/b/x.py"] == (None, "MIT", "MIT", 0)
-    assert got[4, "a/b/c/d/y"] == ("CC-BY-NC-4.0", "Apache-2.0", "CC-BY-NC-4.0", 1)
-    assert got[None, "a/b/c/d/z"] == (None, "Apache-2.0", "Apache-2.0", 0)
-    assert got[5, "q/z"] == (None, None, None, 0)
-    assert licenses.scan(spark.createDataFrame(files, "doc_id long, path string, text string")).count() == len(files)
-    assert licenses.scan(spark.createDataFrame([], "doc_id long, path string, text string")).count() == 0
+FILES = [
+    (1, "a/LICENSE", "Released under the MIT License."), (2, "a/b/x.py", "hello\nworld"), (3, "a/b/c/LICENSE.txt", "Licensed under the Apache License, Version 2.0."),
+    (4, "a/b/c/d/y", "some words of prose that come first\nLicensed under CC BY-NC 4.0.\nand more words after it"), (5, "q/z", "none"), (6, None, None), (6, None, None), (None, "a/b/c/d/z", ""),
+    (7, "m/LICENSE", "MIT License\n\nCopyright (c) 2020 Some One\n\n" + dict(licenses.TEXTS)["MIT"].replace("restriction, including", "restriction,\nincluding")), (8, "m/src/t.c", "/* x */\nint main;"),
+    (9, "g/main.c", "/*\n * This program is free software: you can redistribute it\n * and/or modify it under the terms of the GNU General Public\n * License as published by the Free Software Foundation, either\n * version 3 of the License, or (at your option) any later version.\n */\n\nint main(void) { return 0; }\n" + "x = 1;\n" * 3000),
+    (10, "i/one", "isc"), (11, "i/two", "isc license"), (12, "i/many", "the of and to in is license under the"), (13, "same/LICENSE", "Released under the MIT License."), (14, "same/COPYING", "Released under the ISC License."), (15, "same/z", " "),
+]
 
 
-def test_license_scores_equal_the_plain_cosine():
+def licenses_expected(threshold: float) -> list[tuple]:
+    """The scan by plain cosines under the frequencies of all terms."""
     import math
     from collections import Counter
 
-    m = licenses.Matcher(licenses.TEMPLATES, {b"the": 90, b"license": 4}, 100)
-    for text in ("Released under the MIT License.", "under the MIT License xx", "the of and a", "Licensed under CC BY 4.0 yes"):
-        v = {w: c * m.weight.get(w, m.other) for w, c in Counter(decontamination.words_of(text)).items()}
-        best = max(round(sum(v.get(w, 0) * x for w, x in t.items()) / math.sqrt(sum(x * x for x in v.values())), 6) for _, t in m.vectors)
-        got = m.best(decontamination.words_of(text), 0.6)
-        assert (got[0] if got else None) == (best if best >= 0.6 else None)
+    rows = [(d, p or "", (t or "").encode()) for d, p, t in FILES]
+    df = Counter(w for *_, t in rows for w in set(decontamination.words_of(t)))
+    weight = lambda w: math.log((1 + len(rows)) / (1 + df[w])) + 1
+    vector = lambda words: {w: c * weight(w) for w, c in Counter(words).items()}
+    norm = lambda v: math.sqrt(sum(x * x for x in v.values()))
+    templates = [(name, vector(decontamination.words_of(t))) for name, t in licenses.TEMPLATES + licenses.TEXTS]
+
+    def best(words):
+        v = vector(words)
+        found = min((-round(sum(x * v.get(w, 0) for w, x in t.items()) / norm(t), 9), name) for name, t in templates)
+        score = round(-found[0] / norm(v), 6)
+        return (-score, found[1]) if score >= threshold else None
+
+    own, files = [], {}
+    for d, p, t in rows:
+        hits = [(kind, b) for kind, words in licenses.units_of(t) if (b := best(words))]
+        score, name = min((b for _, b in hits), default=(None, None))
+        folder, _, base = p.rpartition("/")
+        if hits and (any(k == licenses.WHOLE for k, _ in hits) or re.match(licenses.FILE_NAMES, base)):
+            files[folder] = min(files.get(folder, (score, name, p)), (score, name, p))
+        own.append((d, p, folder, name, None if score is None else -score, sum(k == licenses.LINE for k, _ in hits)))
+    out = []
+    for d, p, folder, name, score, n in own:
+        at = folder
+        while at not in files and at:
+            at = at.rpartition("/")[0]
+        near = files.get(at, (None, None, None))
+        out.append((d, p, name, score, n, near[1], near[2], name or near[1]))
+    return out
+
+
+@pytest.mark.parametrize("known", [20_000, 5])
+def test_licenses(spark, monkeypatch, known):
+    monkeypatch.setattr(licenses, "KNOWN", known)
+    monkeypatch.setattr(licenses, "COUNTED", 10)
+    columns = ["doc_id", "path", "license", "score", "lines", "inherited", "inherited_from", "effective"]
+    files = spark.createDataFrame([(*r, 1, "k", 2) for r in FILES], "doc_id long, path string, text string, n long, kind string, unit int")
+    expected = licenses_expected(licenses.THRESHOLD)
+    same(licenses.scan(files), expected, columns)
+    by = {(r[0], r[1]): r for r in expected}
+    assert by[2, "a/b/x.py"][7] == by[7, "m/LICENSE"][2] == by[8, "m/src/t.c"][7] == "MIT" and by[9, "g/main.c"][2] == "GPL-3.0" and by[None, "a/b/c/d/z"][7] == "Apache-2.0" and by[15, "same/z"][5:7] == ("ISC", "same/COPYING")
+    assert licenses.scan(files.limit(0)).count() == 0
+
+
+def test_units_of_a_text():
+    text = b"a b\n\n# c\n# d e\n  \n f"
+    assert list(licenses.units_of(text)) == [(0, [b"a", b"b"]), (0, [b"c"]), (0, [b"d", b"e"]), (1, [b"c", b"d", b"e"]), (0, [b"f"]), (2, [b"a", b"b", b"c", b"d", b"e", b"f"])]
+    assert not list(licenses.units_of(b" \n"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import logging
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,12 +12,15 @@ from lodeseek.operators import evidence as M
 from lodeseek.operators import profile as P
 from lodeseek.operators.chunking import chunk_pages
 from lodeseek.plans import retrieve as R
+from lodeseek.plans.planner import plan_query
+from lodeseek.session import settled
 from lodeseek.sources.config import settings
 from lodeseek.sources.ingest import ingest as read_pages
 from lodeseek.sources.store import Store
 from lodeseek.streaming.jobs import Queue
 
 VERSION = "0.1.0"
+log = logging.getLogger("lodeseek")
 BOUNDS = {"max_words": (20, 2000), "overlap_words": (0, 500), "top_k": (1, 50), "vote_bonus": (0.0, 1.0), "overlap_weight": (0.0, 1.0)}
 
 
@@ -45,10 +50,13 @@ class Engine:
 
     def ingest(self, path: str, **engines) -> str:
         """Reads a file into the store, with its profile; returns its id."""
-        pages = read_pages(self.spark, path, **engines)
-        self.store.save("pages", pages)
+        s = settings()
+        pages = read_pages(self.spark, path, **({"mode": s.ocr_mode, "dpi": s.dpi} | engines))
         document = pages.select("document_id").first()[0]
+        self.store.save("pages", pages)
+        self.store.save_raw(path, document)
         self.store.save("profiles", P.profiles(self.store.load("pages", [document])))
+        log.info("ingested %s as %s", path, document)
         return document
 
     def chunk(self, document: str, max_words: int | None = None, overlap_words: int | None = None) -> int:
@@ -85,21 +93,42 @@ class Engine:
         R.check_mode(mode)
         ids = self.scope(documents)
         q = R.one_question(self.spark, question)
-        found = R.retrieve(mode, self.store.load("chunks", ids), self.store.load("pages", ids), q, k, **(planning if mode == "planner" else {})).cache()
+        found = settled(R.retrieve(mode, self.store.load("chunks", ids), self.store.load("pages", ids), q, k, indexes=self.store.index_tables(ids), **self.made(), **(self.planning() | planning if mode == "planner" else {})))
+        needed = [i for m in (plan_query(question).routes if mode == "planner" else [mode]) for i in R.INDEXES[m]]
+        lacking = self.store.lacking(list(dict.fromkeys(needed)), ids)
+        for name, gone in lacking.items():
+            log.warning("no %s index for %s", name, ", ".join(gone))
         card = M.cards(found, q)
-        run = self.store.save_run({"evidence_bundle": found, "knowledge_card": card, "retrieval_trace": R.trace(mode, q, found, k).withColumn("payload", F.to_json("payload"))}) if save else None
-        out = {"run_id": run, "evidence": [r.asDict(True) for r in found.orderBy("rank").collect()], "card": card.first().asDict(True)}
-        found.unpersist()
-        return out
+        run = self.store.save_run({"evidence_bundle": found, "knowledge_card": card, "retrieval_trace": R.trace(mode, q, found, k, lacking).withColumn("payload", F.to_json("payload"))}) if save else None
+        return {"run_id": run, "evidence": [r.asDict(True) for r in found.orderBy("rank").collect()], "card": card.first().asDict(True), "missing_indexes": lacking}
 
-    def evaluate(self, manifest: dict | str, top_k: int = 5, modes: tuple[str, ...] = ("bm25", "dense", "hybrid", "planner")) -> dict:
+    def made(self) -> dict:
+        """Settings that say how rows and scores are made."""
+        s = settings()
+        return {"k1": s.bm25_k1, "b": s.bm25_b, "dense_dimensions": s.dense_dimensions, "late_dimensions": s.late_dimensions}
+
+    def planning(self) -> dict:
+        """Settings of the planner's merge."""
+        s = settings()
+        return {"strategy": s.planner_merge_strategy, "rerank": s.planner_rerank, "vote_bonus": s.route_vote_bonus, "overlap_weight": s.rerank_overlap_weight}
+
+    def evaluate(self, manifest: dict | str, top_k: int = 5, modes: tuple[str, ...] = ("bm25", "dense", "hybrid", "planner"), **planning) -> dict:
+        """planning: planner_* entries that go before the manifest's."""
         found = evaluation.load_manifest(manifest) if isinstance(manifest, str) else manifest
         check(top_k=top_k)
-        return evaluation.run(self.spark, found, self.store.load("chunks"), self.store.load("pages"), top_k, modes)
+        return evaluation.run(self.spark, found | planning, self.store.load("chunks"), self.store.load("pages"), top_k, modes)
 
     def document(self, document: str) -> dict:
+        """Catalog row, profile, and the numbers and names of the knowledge graph of a document. [Q5]"""
         self._known(document)
-        return self.store.catalog().where(F.col("document_id") == document).first().asDict()
+        out = self.store.catalog().where(F.col("document_id") == document).first().asDict()
+        row = self.store.load("profiles", [document]).first() if self.store.exists("profiles") else None
+        out["profile"] = row.asDict(True) if row else None
+        out["knowledge_graph"] = {}
+        for kind, name in (("kg_sections", "section"), ("kg_entities", "entity"), ("kg_references", "ref")):
+            rows = self.store.load(kind, [document]) if self.store.exists(kind) else None
+            out["knowledge_graph"][kind.removeprefix("kg_")] = {"count": rows.count() if rows is not None else 0, "first": [r[name] for r in rows.orderBy(name).limit(50).collect()] if rows is not None else []}
+        return out
 
     def handle(self, kind: str, params: dict) -> dict:
         """One job. [N4]"""
@@ -124,4 +153,9 @@ class Engine:
         return row.asDict()
 
     def documents(self) -> DataFrame:
-        return self.store.catalog()
+        """The catalog with profiles, newest first. [Q4]"""
+        docs = self.store.catalog()
+        if self.store.exists("profiles"):
+            profile = F.struct("page_count", "text_page_count", "image_page_count", "word_count", "headings", "topics", "entities").alias("profile")
+            docs = docs.join(self.store.load("profiles").select("document_id", profile), "document_id", "left").orderBy(F.desc("created_at"), "document_id")
+        return docs

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import argparse
 import json
+import signal
 import sys
 
+from lodeseek.operators.images import MODES as OCR_MODES
 from lodeseek.plans.planner import MERGE_STRATEGIES
 from lodeseek.plans.retrieve import INDEXES, MODES
 
@@ -16,12 +18,31 @@ def positive(text: str) -> int:
     return n
 
 
+def planner_flags(c: argparse.ArgumentParser) -> None:
+    c.add_argument("--planner-merge-strategy", choices=MERGE_STRATEGIES)
+    c.add_argument("--planner-rerank", action=argparse.BooleanOptionalAction)
+    c.add_argument("--planner-route-vote-bonus", type=float)
+    c.add_argument("--planner-rerank-overlap-weight", type=float)
+
+
+def factory(name: str):
+    """What module:name names."""
+    import importlib
+
+    module, _, attribute = name.partition(":")
+    return getattr(importlib.import_module(module), attribute)
+
+
 def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="lodeseek")
     p.add_argument("--store", help="root folder of the store")
+    p.add_argument("--log-file", help="a file for the log, beside standard error")
     sub = p.add_subparsers(dest="command", required=True)
     add = lambda name, *positional: [(c := sub.add_parser(name)), [c.add_argument(a) for a in positional]][0]
     c = add("ingest", "path")
+    c.add_argument("--ocr", help="module:factory of the OCR engines; the factory gives (local, cloud)")
+    c.add_argument("--mode", choices=OCR_MODES)
+    c.add_argument("--dpi", type=positive)
     c.add_argument("--async", dest="later", action="store_true")
     c = add("chunk", "document_id")
     c.add_argument("--max-words", type=positive)
@@ -34,13 +55,12 @@ def parser() -> argparse.ArgumentParser:
     c.add_argument("--document-id")
     c.add_argument("--top-k", type=positive)
     c.add_argument("--mode", choices=MODES)
-    c.add_argument("--planner-merge-strategy", choices=MERGE_STRATEGIES)
-    c.add_argument("--planner-rerank", action=argparse.BooleanOptionalAction)
-    c.add_argument("--planner-route-vote-bonus", type=float)
-    c.add_argument("--planner-rerank-overlap-weight", type=float)
+    planner_flags(c)
     c = add("eval", "manifest")
     c.add_argument("--top-k", type=positive, default=5)
     c.add_argument("--modes", nargs="+", choices=MODES, default=["bm25", "dense", "hybrid", "planner"])
+    c.add_argument("--planner-sweep", action="store_true")
+    planner_flags(c)
     c = add("worker")
     c.add_argument("--poll-interval", type=float, default=None)
     c = add("jobs")
@@ -61,7 +81,8 @@ def main(argv: list[str] | None = None, spark=None) -> int:
             params = {"path": a.path} if a.command == "ingest" else {k: v for k, v in vars(a).items() if k not in ("command", "store", "later")}
             print(engine.queue.submit(a.command, params))
         elif a.command == "ingest":
-            print(engine.ingest(a.path))
+            given = {"engines": factory(a.ocr) if a.ocr else None, "mode": a.mode, "dpi": a.dpi}
+            print(engine.ingest(a.path, **{k: v for k, v in given.items() if v is not None}))
         elif a.command == "chunk":
             print(engine.chunk(a.document_id, a.max_words, a.overlap_words))
         elif a.command == "index":
@@ -70,9 +91,15 @@ def main(argv: list[str] | None = None, spark=None) -> int:
             given = {"strategy": a.planner_merge_strategy, "rerank": a.planner_rerank, "vote_bonus": a.planner_route_vote_bonus, "overlap_weight": a.planner_rerank_overlap_weight}
             print(json.dumps(engine.query(a.question, a.document_id, a.top_k, a.mode, **{k: v for k, v in given.items() if v is not None}), indent=2, ensure_ascii=False, default=str))
         elif a.command == "eval":
-            print(markdown(engine.evaluate(a.manifest, a.top_k, tuple(a.modes))))
+            given = {"planner_merge_strategy": a.planner_merge_strategy, "planner_rerank": a.planner_rerank, "planner_route_vote_bonus": a.planner_route_vote_bonus, "planner_rerank_overlap_weight": a.planner_rerank_overlap_weight, "planner_sweep": a.planner_sweep or None}
+            print(markdown(engine.evaluate(a.manifest, a.top_k, tuple(a.modes), **{k: v for k, v in given.items() if v is not None})))
         elif a.command == "worker":
-            engine.work(a.poll_interval).awaitTermination()
+            query = engine.work(a.poll_interval)
+            stop = lambda *_: query.stop()  # noqa: E731 the job that runs ends first
+            before = {s: signal.signal(s, stop) for s in (signal.SIGINT, signal.SIGTERM)}
+            query.awaitTermination()
+            for s, handler in before.items():
+                signal.signal(s, handler)
         elif a.command == "jobs":
             for r in engine.queue.jobs(a.status).collect():
                 print(r["job_id"], r["status"])

@@ -91,6 +91,48 @@ def recall(expected: DataFrame, observed: DataFrame) -> DataFrame:
     return rows.groupBy("kind").agg(F.count("*").alias("expected"), F.count_if("seen").alias("found"), F.round(F.count_if("seen") / F.count("*"), 9).alias("recall"), F.array_sort(F.collect_list(F.when(F.col("seen").isNull(), F.col("name")))).alias("missing"))
 
 
+def expected_by_tier(manifest: dict) -> list[dict]:
+    """kind, tier (null: all), values: the distinct values that a manifest and its queries expect. [G20]"""
+    out = []
+    for kind in ("entities", "references", "sections"):
+        every = set(manifest.get(f"expected_{kind}") or ())
+        for q in manifest.get("queries", []):
+            every |= set(q.get(f"expected_{kind}") or ())
+        by = {t: set(v) for t, v in (manifest.get(f"expected_{kind}_by_tier") or {}).items()}
+        every = every.union(*by.values())
+        out += [{"kind": kind, "tier": t, "values": sorted(v)} for t, v in [(None, every), *sorted(by.items())] if v]
+    return out
+
+
+def extraction_facts(nodes: DataFrame, tier_of: DataFrame) -> DataFrame:
+    """document_id, tier, kind, name: what was found in the chunks. nodes: rows of graph.nodes; tier_of: document_id, tier."""
+    named = lambda kind, names: F.transform(names, lambda x: F.struct(F.lit(kind).alias("kind"), x.alias("name")))
+    rows = nodes.select("document_id", F.inline(F.concat(named("chunk", F.array("chunk_id")), named("entity", F.col("entities")), named("reference", F.col("references")), named("section", F.filter(F.array("section"), lambda x: x.isNotNull() & (x != ""))))))
+    return rows.join(tier_of, "document_id", "left").select("document_id", F.coalesce("tier", F.lit("unlabeled")).alias("tier"), "kind", "name")
+
+
+def graph_diagnostics(evidence: DataFrame, relations: DataFrame, chunks: DataFrame) -> dict:
+    """Over the cases with graph evidence: mean seeds and expanded rows, relations of the rows, and the graph's size. [G17, G21]
+
+    relations: rows of graph.relation_counts over the same chunks.
+    """
+    rows = evidence.where(F.contains("retrieval_path", F.lit("graph"))).select("case_id", "mode", F.split(F.try_element_at("metadata", F.lit("relations")), ",").alias("r"))
+    case = rows.groupBy("case_id", "mode").agg(F.count_if(F.array_contains("r", "seed")).alias("seeds"), F.count_if(~F.array_contains("r", "seed")).alias("expanded"))
+    means = case.agg(F.count("*").alias("cases"), F.round(F.avg("seeds"), 9).alias("seeds"), F.round(F.avg("expanded"), 9).alias("expanded")).first()
+    seen = {r["x"]: r["count"] for r in rows.select(F.explode("r").alias("x")).where("x <> 'seed'").groupBy("x").count().orderBy(F.desc("count"), "x").collect()}
+    size = chunks.agg(F.count("*").alias("n"), F.count_distinct("document_id").alias("d")).first()
+    built = {r["relation"]: r["n"] for r in relations.groupBy("relation").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "relation").collect()}
+    return {"cases": means["cases"], "average_seeds": means["seeds"] or 0.0, "average_expanded": means["expanded"] or 0.0, "nodes": size["n"], "edges": sum(built.values()), "documents": size["d"], "relations": built, "relations_in_evidence": seen}
+
+
+def visual_diagnostics(evidence: DataFrame, cases: int) -> dict:
+    """How many cases have page evidence, by itself and through the planner, and the planner's share. [G18]"""
+    rows = evidence.where(F.contains("retrieval_path", F.lit("visual")))
+    planned = F.col("mode") == "planner"
+    got = rows.agg(F.count("*").alias("rows"), F.count_distinct(F.when(~planned, F.col("case_id"))).alias("visual"), F.count_distinct(F.when(planned, F.col("case_id"))).alias("planner")).first()
+    return {"evidence_rows": got["rows"], "visual_cases": got["visual"], "planner_visual_cases": got["planner"], "planner_contribution_rate": round(got["planner"] / cases, 9) if cases else 0.0}
+
+
 def sweep_variants(given, bonus: float = 0.08, weight: float = 0.10) -> list[dict]:
     """Variants of a manifest's planner_sweep: none, both strategies with and without rerank (true), or a list. [P2]"""
     from lodeseek.plans.planner import check_strategy
@@ -136,7 +178,7 @@ def run(spark, manifest: dict, chunks: DataFrame, pages: DataFrame, k: int = 5,
     A manifest's document_id goes before a case's own documents; all cases of one scope are one batch.
     """
     from lodeseek.operators import evidence as M
-    from lodeseek.operators import merge
+    from lodeseek.operators import graph, merge
     from lodeseek.plans import retrieve
 
     for m in modes:
@@ -179,6 +221,19 @@ def run(spark, manifest: dict, chunks: DataFrame, pages: DataFrame, k: int = 5,
             report["sweep"].append({**v, "ordinal": n, **{x: y for x, y in got.asDict().items() if x != "mode"}})
         lead = lambda c: max(report["sweep"], key=lambda v: (v[c], -v["ordinal"]))["name"]
         report["best_by_mrr"], report["best_by_confidence"] = lead("mrr"), lead("average_confidence")
+    report["visual_diagnostics"] = visual_diagnostics(ids(evidence), len(cases)) if cases else {}
+    n = graph.nodes(chunks)
+    if cases and {"graph", "planner"} & set(modes):
+        report["graph_diagnostics"] = graph_diagnostics(ids(evidence), graph.relation_counts(chunks), chunks)
+    documents = pages.groupBy("document_id").agg(F.first("metadata").alias("metadata"))
+    facts = extraction_facts(n, tiers(documents, manifest.get("document_quality_tiers")))
+    report["graph_extraction"] = [r.asDict() for r in tier_rollup(facts).orderBy("tier").collect()]
+    report["expected"] = expected_by_tier(manifest)
+    if report["expected"]:
+        single = {"entities": "entity", "references": "reference", "sections": "section"}
+        want = spark.createDataFrame([(single[e["kind"]], v) for e in report["expected"] if e["tier"] is None for v in e["values"]], "kind string, name string")
+        found = facts.join(F.broadcast(want.select("kind").distinct()), "kind").select("kind", "name").distinct()
+        report["recall"] = [r.asDict(True) for r in recall(want, found).orderBy("kind").collect()]
     return report
 
 
@@ -192,5 +247,5 @@ def markdown(report: dict) -> str:
         show = lambda v: f"{v:.3f}" if isinstance(v, float) else ", ".join(map(str, v)) if isinstance(v, list) else str(v)
         return [f"## {title}", "", "| " + " | ".join(names) + " |", "|" + "---|" * len(names), *("| " + " | ".join(show(r[n]) for n in names) + " |" for r in rows), ""]
 
-    out = ["# Evaluation report", "", *table("Mode Metrics", list(report["modes"].values())), *table("Planner vs Static", report.get("planner_vs_static", [])), *table("Planner Sweep", report.get("sweep", [])), *table("Queries", report["cases"])]
+    out = ["# Evaluation report", "", *table("Mode Metrics", list(report["modes"].values())), *table("Planner vs Static", report.get("planner_vs_static", [])), *table("Planner Sweep", report.get("sweep", [])), *table("Visual Diagnostics", [report[n] for n in ("visual_diagnostics",) if report.get(n)]), *table("Graph Diagnostics", [report[n] for n in ("graph_diagnostics",) if report.get(n)]), *table("Graph Extraction", report.get("graph_extraction", [])), *table("Expected Values", report.get("expected", [])), *table("Recall", report.get("recall", [])), *table("Queries", report["cases"])]
     return "\n".join(out)

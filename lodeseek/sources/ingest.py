@@ -49,7 +49,12 @@ def lenient(column: str) -> Column:
 def history_pages(spark: SparkSession, path: str) -> DataFrame:
     """Pages of saved OCR runs, numbered through all files of a run; broken files are an error. [A2]"""
     rows = files(spark, path, (".json",)).withColumn("document_id", document_id(F.col("path"), F.col("content")))
-    rows = rows.withColumn("run", F.from_json(lenient("content"), HISTORY, {"mode": "FAILFAST"}))
+    return run_pages(rows.select("document_id", "title", "path", lenient("content").alias("json")))
+
+
+def run_pages(rows: DataFrame) -> DataFrame:
+    """Pages of runs given as document_id, title, path, json."""
+    rows = rows.withColumn("run", F.from_json("json", HISTORY, {"mode": "FAILFAST"}))
     rows = rows.select("document_id", "title", "path", F.posexplode("run.results").alias("f", "result")).select("document_id", "title", "path", "f", "result.filename", F.posexplode("result.pages").alias("p", "page"))
     number = F.row_number().over(Window.partitionBy("document_id").orderBy("f", "p"))
     rows = rows.withColumn("number", number)
@@ -118,6 +123,24 @@ def ingest(spark: SparkSession, path: str, engines: Callable | None = None, rast
     return pages
 
 
+def export_pages(pages: DataFrame, at: str) -> str:
+    """Markdown of a few documents' pages as a ZIP of <title>_page<number>.md in a local file. [B6]"""
+    import zipfile
+
+    with zipfile.ZipFile(at, "w", zipfile.ZIP_DEFLATED) as z:
+        for r in pages.select("title", "number", "text").orderBy("title", "number").toLocalIterator():
+            z.writestr(f"{r['title']}_page{r['number']}.md", r["text"] or "")
+    return at
+
+
+def history_rows(pages: DataFrame) -> DataFrame:
+    """document_id, json: pages as saved OCR runs, which history_pages reads again. [B6]"""
+    page = F.struct("number", F.struct(F.col("number").cast("int").alias("page"), F.coalesce(F.try_element_at("metadata", F.lit("glm_text")), F.col("text")).alias("glm"), F.col("text").alias("final")).alias("page"))
+    runs = pages.groupBy("document_id").agg(F.first("title").alias("title"), F.transform(F.array_sort(F.collect_list(page)), lambda x: x["page"]).alias("pages"))
+    run = F.struct(F.lit("").alias("timestamp"), F.lit("export").alias("mode"), F.array(F.struct(F.col("title").alias("filename"), "pages")).alias("results"))
+    return runs.select("document_id", F.to_json(run).alias("json"))
+
+
 def html_pages(table: DataFrame, key: str = "page_id") -> DataFrame:
     """Pages of raw HTML (key, url, html): scripts, styles and tags go, h1 to h6 become markdown headings."""
     text = F.regexp_replace("html", r"(?is)<(script|style|head)\b.*?</\1\s*>", " ")

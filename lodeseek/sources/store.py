@@ -1,16 +1,22 @@
-"""The catalog: documents' tables as Parquet, partitioned by document, and the runs. [A7-A11, B1-B4]
+"""The catalog: documents' tables as Parquet, partitioned by a bucket of the document's id, and the runs. [A7-A11, B1-B4]
 
-A write replaces the partitions of the documents it holds and leaves the others, so documents come and go alone.
+A write replaces the rows of the documents it holds and leaves the others: new rows are added as files of their own,
+and only files that hold older rows of the same documents are written again without them. The number of folders does
+not grow with the number of documents; a document's rows are found by its bucket and by the files' own statistics.
 """
 
 from __future__ import annotations
 
 import uuid
+import zlib
 from datetime import UTC, datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodeseek.session import settled
+
+BUCKETS = 256
 TABLES = ("pages", "profiles", "chunks", "index_bm25", "index_dense", "index_late", "index_visual", "index_graph", "kg_sections", "kg_entities", "kg_references")
 
 
@@ -23,29 +29,72 @@ class Store:
             raise ValueError(f"Unknown table: {table}")
         return f"{self.root}/{table}"
 
+    def _fs(self, path: str):
+        at = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        return at, at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+
     def exists(self, table: str) -> bool:
-        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.path(table))
-        return path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(path)
+        """Whether the table has rows; a table without any has no folders of buckets."""
+        path, fs = self._fs(self.path(table))
+        return fs.exists(path) and any(x.getPath().getName().startswith("bucket=") for x in fs.listStatus(path))
 
     def save(self, table: str, df: DataFrame) -> None:
-        """Rows of some documents: their partitions are replaced. [B1]"""
-        (df.withColumn("doc", F.col("document_id")).repartition("doc").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("doc").parquet(self.path(table)))
+        """Rows of some documents, which replace all they had. [B1] Older rows go only after the new ones are there."""
+        if table == "pages":
+            df = df.withColumn("created_at", F.current_timestamp())
+        df = settled(df.withColumn("bucket", F.pmod(F.crc32(F.col("document_id").cast("binary")), F.lit(BUCKETS)).cast("int")))
+        outdated: list[str] = []
+        if self.exists(table):
+            named = df.select("document_id", "bucket").distinct()
+            buckets = [r["bucket"] for r in named.select("bucket").distinct().collect()]  # at most BUCKETS
+            old = self.spark.read.parquet(self.path(table)).where(F.col("bucket").isin(buckets))
+            outdated = [r["f"] for r in old.select("document_id", F.col("_metadata.file_path").alias("f")).join(named.select("document_id"), "document_id", "left_semi").select("f").distinct().collect()] if buckets else []
+            if outdated:
+                others = self.spark.read.option("basePath", self.path(table)).parquet(*outdated).join(named.select("document_id"), "document_id", "left_anti")
+                df = df.unionByName(settled(others), allowMissingColumns=True)
+        df.hint("rebalance", "bucket").write.mode("append").partitionBy("bucket").parquet(self.path(table))
+        for f in outdated:
+            at, fs = self._fs(f)
+            fs.delete(at, False)
 
     def load(self, table: str, documents: list[str] | None = None) -> DataFrame:
-        """A table, pruned to the partitions of some documents; FileNotFoundError when it was never written. [A8]"""
+        """A table, pruned to the buckets of some documents; FileNotFoundError when it was never written. [A8]"""
         if not self.exists(table):
             raise FileNotFoundError(f"No table {table} in {self.root}")
-        df = self.spark.read.option("basePath", self.path(table)).parquet(self.path(table))
+        df = self.spark.read.parquet(self.path(table))
         if documents is not None:
-            df = df.where(F.col("doc").cast("string").isin(documents))
-        return df.drop("doc")
+            df = df.where(F.col("bucket").isin({zlib.crc32(d.encode()) % BUCKETS for d in documents}) & F.col("document_id").isin(documents))
+        return df.drop("bucket")
 
     def documents(self) -> DataFrame:
-        """document_id, title, source_type, source_path, page_count; by id. [A7]"""
+        """document_id, title, source_type, source_path, created_at, page_count; newest first. [A7, I7]"""
         if not self.exists("pages"):
-            return self.spark.createDataFrame([], "document_id string, title string, source_type string, source_path string, page_count long")
+            return self.spark.createDataFrame([], "document_id string, title string, source_type string, source_path string, created_at timestamp, page_count long")
         first = lambda c: F.first(c).alias(c)  # noqa: E731 the same on all pages of a document
-        return self.load("pages").groupBy("document_id").agg(first("title"), first("source_type"), first("source_path"), F.count("*").alias("page_count")).orderBy("document_id")
+        return self.load("pages").groupBy("document_id").agg(first("title"), first("source_type"), first("source_path"), F.max("created_at").alias("created_at"), F.count("*").alias("page_count")).orderBy(F.desc("created_at"), "document_id")
+
+    def index_tables(self, documents: list[str] | None = None) -> dict[str, DataFrame]:
+        """The stored indexes by name, for some documents or all. [A11]"""
+        return {t.removeprefix("index_"): self.load(t, documents) for t in TABLES if t.startswith("index_") and self.exists(t)}
+
+    def lacking(self, names: list[str], documents: list[str] | None = None) -> dict[str, list[str]]:
+        """For each of the indexes, the documents that have none, at most nine of them; only indexes that some document lacks."""
+        known = self.load("chunks", documents).select("document_id").distinct()
+        out = {}
+        for name in names:
+            held = self.load(f"index_{name}", documents).select("document_id").distinct() if self.exists(f"index_{name}") else None
+            gone = known if held is None else known.join(held, "document_id", "left_anti")
+            if found := [r["document_id"] for r in gone.orderBy("document_id").limit(9).collect()]:
+                out[name] = found
+        return out
+
+    def save_raw(self, path: str, document: str) -> str:
+        """The file as it was read, below raw/<document>; a file that lies there already stays as it is. [B2]"""
+        at, fs = self._fs(path)
+        to, there = self._fs(f"{self.root}/raw/{document}/{at.getName()}")
+        if at.toString() != to.toString():
+            self.spark.sparkContext._jvm.org.apache.hadoop.fs.FileUtil.copy(fs, at, there, to, False, True, self.spark.sparkContext._jsc.hadoopConfiguration())
+        return to.toString()
 
     def has_document(self, document: str) -> bool:
         return self.exists("pages") and not self.load("pages", [document]).isEmpty()
@@ -91,4 +140,4 @@ class Store:
                 held = self.load(t).select("document_id").distinct().withColumn(flag, F.lit(True)) if self.exists(t) else None
                 docs = docs.join(held, "document_id", "left") if held is not None else docs.withColumn(flag, F.lit(False))
                 docs = docs.withColumn(flag, F.coalesce(flag, F.lit(False)))
-        return docs
+        return docs.orderBy(F.desc("created_at"), "document_id")

@@ -247,16 +247,62 @@ def test_merge_against_the_naive_model(spark, seed):
 
 
 def test_merge_statistics(spark):
-    from lodeseek.queries import hits
-
-    r = merge.merge_statistics(*hits(spark), 5).first()
+    r = merge.merge_statistics(*example_hits(spark), 5).first()
     assert (r.candidates, r.redundant, r.conflicts) == (4, 0, 2) and len(r.conflict_pairs) == 2
 
 
+HITS = [("q", "a", "d", [1], "alpha only words here", 0.90, "bm25", 0), ("q", "b", "d", [2], "alpha beta", 0.86, "bm25", 1), ("q", "b", "d", [2], "alpha beta", 0.84, "dense", 10_000), ("q", "c", "d", [2], "alpha beta gamma", 0.80, "dense", 10_001), ("q", "e", "d", [2], "not alpha beta delta gamma eta", 0.70, "dense", 10_002)]
+
+
+def example_hits(spark):
+    h = spark.createDataFrame(HITS, "query_id string, chunk_id string, document_id string, page_numbers array<int>, text string, score double, retrieval_path string, ord long")
+    return h, spark.createDataFrame([("q", "alpha beta")], "query_id string, question string")
+
+
+@pytest.mark.parametrize(("settings", "expected"), [({}, [("a", 0.9), ("b", 0.86), ("c", 0.8), ("e", 0.7)]), ({"strategy": "route_vote"}, [("b", 0.94), ("a", 0.9), ("c", 0.8), ("e", 0.7)]), ({"rerank": True}, [("b", 0.96), ("a", 0.92), ("c", 0.866667), ("e", 0.733333)])])
+def test_merge_examples(spark, settings, expected):
+    got = merge.merged(*example_hits(spark), 5, **settings).orderBy("rank").collect()
+    assert [(r.chunk_id, round(r.score, 6)) for r in got] == expected
+    assert {r.chunk_id: (r.metadata["routes"], r.metadata["conflict_pairs"]) for r in got} == {"a": ("bm25", "0"), "b": ("bm25,dense", "1"), "c": ("dense", "1"), "e": ("dense", "2")}
+
+
 # --- graph ----------------------------------------------------------------------------------------------------
-def test_edge_counts_in_closed_form_equal_the_edges(spark):
-    from lodeseek.queries import graph_chunks
+GRAPH_CHUNKS = [
+    ("a", 0, 1, "2 Methods", "We use the Solver Engine as Table 1 shows"), ("a", 1, 1, "2.1 Setup", "Solver Engine setup follows section 2"), ("a", 2, 2, "3 Results", "Table 1 has results of page 1"),
+    ("b", 0, 1, None, "nothing of note here"), ("b", 1, 1, None, "the Solver Engine again"),
+]
+
+
+def graph_chunks(spark):
+    rows = [(f"{d}:chunk:{i}", d, [p], t, i, s) for d, i, p, s, t in GRAPH_CHUNKS]
+    return spark.createDataFrame(rows, "chunk_id string, document_id string, page_numbers array<int>, text string, chunk_index int, parent_section string")
 
+
+def test_graph_search_example(spark):
+    # two words of two and three entities make 1.9; the reference 0.75 of it, the next chunk 0.4 of it
+    got = graph.graph(graph_chunks(spark), asked(spark, "Solver Engine"), 5, "corpus").orderBy("rank").collect()
+    assert [(r.chunk_id, round(r.score, 6)) for r in got] == [("a:chunk:0", 1.9), ("a:chunk:1", 1.9), ("b:chunk:1", 1.9), ("a:chunk:2", 1.425), ("b:chunk:0", 0.76)]
+    assert "reference" in got[3].metadata["relations"] and got[3].metadata["parent_section"] == "3 Results"
+    cut = graph.graph(graph_chunks(spark), asked(spark, "Solver Engine"), 4, "corpus").orderBy("rank").collect()
+    assert [(r.chunk_id, r.metadata) for r in cut] == [(r.chunk_id, r.metadata) for r in got[:4]]
+
+
+EXAMPLES = [
+    (T.undo_misreadings, "see sectlon 3", "see section 3"), (T.undo_misreadings, "chapler 2, appendlx A", "chapter 2, appendix A"), (T.undo_misreadings, "f1g 1 and tab1e 2", "figure 1 and table 2"), (T.undo_misreadings, "equat1on 4 arx1v: 2401.00001", "equation 4 arXiv: 2401.00001"),
+    (T.entities, "the Support Vector Machine (SVM) works", ["SVM", "Machine", "Support", "Support Vector", "Support Vector Machine", "Vector", "Vector Machine"]), (T.entities, 'so-called "deep neural nets" are', ["deep neural nets"]),
+    (T.number_values, "A1-A3", ["a1", "a2", "a3"]), (T.number_values, "1.1-1.3", ["1.1", "1.3"]), (T.number_values, "5 to 8", ["5", "6", "7", "8"]),
+    (T.section_aliases, "3.2.1 Algorithm", ["3", "3.2", "3.2.1", "3.2.1 algorithm", "algorithm"]), (T.section_aliases, " Introduction: ", ["introduction"]),
+    (T.references, "see Figures 1-3 and Table 4", ["figure:1", "figure:2", "figure:3", "table:4"]), (T.references, "as [12] in 10.1234/ABC.d and arXiv: 2401.12345v2", ["arxiv:2401.12345v2", "citation:12", "doi:10.1234/abc.d"]),
+]
+
+
+@pytest.mark.parametrize(("function", "text", "expected"), EXAMPLES)
+def test_text_examples(spark, function, text, expected):
+    got = spark.createDataFrame([(text,)], "t string").select(function("t")).first()[0]
+    assert (sorted(got) if isinstance(got, list) else got) == (sorted(expected) if isinstance(expected, list) else expected)
+
+
+def test_edge_counts_in_closed_form_equal_the_edges(spark):
     for scope in ("document", "corpus"):
         c = graph_chunks(spark)
         counted = {(r.scope, r.relation): r.n for r in graph.relation_counts(c, scope).collect()}
@@ -265,8 +311,6 @@ def test_edge_counts_in_closed_form_equal_the_edges(spark):
 
 
 def test_graph_search_equals_expansion_over_all_edges(spark):
-    from lodeseek.queries import graph_chunks
-
     c, q = graph_chunks(spark), asked(spark, "Solver Engine setup")
     seeds = {r.chunk_id: r.score for r in graph.seed_scores(graph.index_rows(c).withColumn("scope", F.lit("")), q).collect()}
     edges = graph.edges(c, "corpus").collect()
@@ -296,8 +340,6 @@ def test_chunks_before(spark, scope):
 
 
 def test_knowledge_graph(spark):
-    from lodeseek.queries import graph_chunks
-
     c = graph_chunks(spark)
     entities = {r.entity: r for r in graph.knowledge_entities(c).collect()}
     assert entities["Solver Engine"].chunk_ids == ["a:chunk:0", "a:chunk:1", "b:chunk:1"] and entities["Solver Engine"].document_ids == ["a", "b"]
@@ -345,16 +387,19 @@ def test_sweep_variants():
         evaluate.sweep_variants([{"merge_strategy": "best"}])
 
 
-def test_evaluation_of_a_manifest(spark, tmp_path, monkeypatch):
-    # the routes have tests of their own; here one route's hits are enough
-    one_route = lambda chunks, pages, questions, k, scope: R.bm25(chunks, questions, 3 * k).withColumn("ord", F.col("rank").cast("long")).drop("rank")
-    monkeypatch.setattr(retrieve, "planner_hits", one_route)
-    pages = pages_of(spark, {"a": ["the solver converges quickly", "boundary terms vanish"], "b": ["unrelated words"]}).selectExpr("*", "'t' AS title", "'.md' AS source_type", "CAST(map() AS map<string,string>) AS metadata")
-    manifest = {"planner_sweep": True, "planner_rerank": "true", "queries": [{"query": "why does the solver converge", "expected_terms": ["SOLVER"], "expected_pages": [1]}, {"query": "boundary terms", "document_id": "a", "expected_terms": ["vanish", "missing"]}]}
+def test_evaluation_of_a_manifest(spark, tmp_path):
+    pages = pages_of(spark, {"a": ["the solver converges quickly, see Table 2", "boundary terms vanish in the Solver Engine"], "b": ["unrelated words"]}).selectExpr("*", "'t' AS title", "'.md' AS source_type", "CAST(map() AS map<string,string>) AS metadata")
+    manifest = {"planner_sweep": True, "planner_rerank": "true", "document_quality_tiers": {"a": "clean"}, "expected_entities": ["Solver Engine", "Nobody"], "expected_references_by_tier": {"clean": ["table:2"]}, "queries": [{"query": "why does the solver converge", "expected_terms": ["SOLVER"], "expected_pages": [1]}, {"query": "boundary terms", "document_id": "a", "expected_terms": ["vanish", "missing"]}]}
     (tmp_path / "m.json").write_text(json.dumps(manifest))
-    report = evaluate.run(spark, evaluate.load_manifest(str(tmp_path / "m.json")), chunk_pages(pages).persist(), pages, 3, ("bm25", "dense"))
+    report = evaluate.run(spark, evaluate.load_manifest(str(tmp_path / "m.json")), chunk_pages(pages), pages, 3, ("bm25", "dense", "planner", "graph"))
     assert report["modes"]["bm25"]["term_hit_rate"] == 0.5 and report["modes"]["bm25"]["mrr"] == 0.5 and report["modes"]["dense"]["cases"] == 2
-    assert len(report["sweep"]) == 4 and report["best_by_mrr"] == "score_max" and "## Planner Sweep" in evaluate.markdown(report)
+    assert len(report["sweep"]) == 4 and report["best_by_mrr"] == "score_max" and report["modes"]["planner"]["answerable_rate"] == 1.0
+    assert report["graph_diagnostics"]["cases"] == 2 and report["graph_diagnostics"]["nodes"] == 3 and report["graph_diagnostics"]["relations"]["next_chunk"] == 1 and report["visual_diagnostics"]["planner_contribution_rate"] == 0.0
+    assert {r["tier"]: (r["documents"], r["distinct_reference"]) for r in report["graph_extraction"]} == {None: (2, 1), "clean": (1, 1), "unlabeled": (1, 0)}
+    assert [(r["kind"], r["found"], r["missing"]) for r in report["recall"]] == [("entity", 1, ["Nobody"]), ("reference", 1, [])]
+    assert [(e["kind"], e["tier"], e["values"]) for e in report["expected"]] == [("entities", None, ["Nobody", "Solver Engine"]), ("references", None, ["table:2"]), ("references", "clean", ["table:2"])]
+    text = evaluate.markdown(report)
+    assert all(f"## {title}" in text for title in ("Mode Metrics", "Planner vs Static", "Planner Sweep", "Visual Diagnostics", "Graph Diagnostics", "Graph Extraction", "Recall", "Queries"))
     with pytest.raises(ValueError, match="Could not read manifest"):
         evaluate.load_manifest(str(tmp_path / "none.json"))
 

@@ -82,9 +82,30 @@ def test_engine(spark, tmp_path, capsys):
     for call, error in ((lambda: engine.query("q", "nope"), NotFoundError), (lambda: engine.query("q", top_k=99), ValueError), (lambda: engine.chunk(other, 5), ValueError), (lambda: engine.query("q", mode="x"), ValueError)):
         with pytest.raises(error):
             call()
+    # the second document was never indexed: nothing is built for a question, and the trace tells
+    alone = engine.query("plain words", other, mode="bm25")
+    assert alone["evidence"] == [] and not alone["card"]["answerable"] and alone["missing_indexes"] == {"bm25": [other]}
+    steps = engine.store.load_run(alone["run_id"])["retrieval_trace"].where("path = 'missing_index'").collect()
+    assert len(steps) == 1 and json.loads(steps[0].payload)["documents"] == [other]
+    both = engine.query("plain Solver words", mode="hybrid")
+    assert {e["document_id"] for e in both["evidence"]} == {made["document_id"]} and set(both["missing_indexes"]) == {"bm25", "dense"}
+    planned = engine.query("Where does the Solver Engine converge", made["document_id"])
+    paths = [r.path for r in engine.store.load_run(planned["run_id"])["retrieval_trace"].orderBy("step").collect()]
+    assert paths[0] == "planner" and paths[-1] == "planner_merge" and "planner_route" in paths and planned["missing_indexes"] == {}
+    assert planned["evidence"][0]["metadata"]["parent_section"] == "1 Solver" and "routes" in planned["evidence"][0]["metadata"]
+    engine.index(other, "bm25")
+    assert engine.query("plain words", other, mode="bm25")["evidence"][0]["document_id"] == other
+    # newest first, with profiles
+    listed = engine.documents().collect()
+    assert [r.document_id for r in listed] == [other, made["document_id"]] and listed[1].profile.headings == ["1 Solver", "2 Notes"]
+    one = engine.document(made["document_id"])
+    assert one["profile"]["page_count"] == 1 and one["knowledge_graph"]["sections"]["count"] == 2 and "Solver Engine" in one["knowledge_graph"]["entities"]["first"]
     # a second write of one document leaves the other
     engine.chunk(other, 20, 0)
     assert engine.store.load("chunks").count() == 3
+    engine.chunk(made["document_id"], 20, 0)
+    assert engine.store.load("chunks").count() == 3 and engine.store.load("chunks", [other]).count() == 1
+    assert len(list((tmp_path / "store" / "raw" / other).glob("b.md"))) == 1
     root = ["--store", str(tmp_path / "store")]
     assert cli.main([*root, "query", "Solver", "--top-k", "1", "--mode", "bm25"], spark) == 0
     assert json.loads(capsys.readouterr().out)["evidence"][0]["rank"] == 1
@@ -118,3 +139,29 @@ def test_jobs(spark, tmp_path):
     assert [r.job_id for r in queue.jobs("completed", 2).collect()] == [late, ids[1]]
     with pytest.raises(ValueError, match="Unknown job status"):
         queue.jobs("lost")
+
+
+def test_history_export_is_read_again(spark, tmp_path):
+    import zipfile
+
+    pages = ingest.table_pages(spark.createDataFrame([(1, "one", 0), (1, "two", 1)], "d long, t string, n long"), "d", "t", "n")
+    again = ingest.run_pages(ingest.history_rows(pages).selectExpr("document_id", "'x' AS title", "'p' AS path", "json"))
+    assert [(r.number, r.text) for r in again.orderBy("number").collect()] == [(1, "one"), (2, "two")]
+    with zipfile.ZipFile(ingest.export_pages(pages, str(tmp_path / "pages.zip"))) as z:
+        assert z.namelist() == ["1_page1.md", "1_page2.md"] and z.read("1_page2.md") == b"two"
+
+
+def test_log_and_exports(tmp_path, capsys):
+    import lodeseek
+    from lodeseek import log
+
+    logger = log.set_up("INFO", str(tmp_path / "x.log"))
+    log.set_up("INFO", str(tmp_path / "x.log")).info("hello")
+    assert (tmp_path / "x.log").read_text().count("hello") == 1 and "hello" in capsys.readouterr().out
+    for h in logger.handlers[:]:
+        logger.removeHandler(h)
+        h.close()
+    logger.propagate = True
+    assert lodeseek.Engine is Engine and "bm25" in lodeseek.__all__ and all(getattr(lodeseek, n) is not None for n in lodeseek.__all__)
+    with pytest.raises(AttributeError):
+        lodeseek.nothing  # noqa: B018

@@ -6,8 +6,9 @@ document that share an anchor form one *run*: (hash, first window, last window,
 one run for every half span of grams, which makes the index a few per cent of the windows.
 
 Windows can only be equal within the rows of one hash: whatever compares them, byte by byte, does so there. Hashes
-with more than ``MOST`` runs are not gathered: their windows are hashed whole, counted where they are read, and what
-is still open is dealt out by the windows' own hashes, in packed rows.
+with more than ``MOST`` runs are not gathered: their windows are told apart by their own bytes, first where they are
+read, and of what is still open one of each is dealt out, with its bytes, by a hash of these bytes; there bytes are
+compared again. So on either way only equal bytes make windows equal, and hashes only say where they meet.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ SEGMENT = 1 << 18
 #: Bytes of regions that are compared at a time, in whole groups.
 TOGETHER = 6 << 20
 #: Windows of hot hashes in a bucket.
-BUCKET = 400_000
+BUCKET = 100_000
 
 SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -175,12 +176,10 @@ def repeated_windows(docs: DataFrame, found: DataFrame, counts: DataFrame, windo
     work.tidy()
     n_hot = counts.where(F.col("n") > MOST).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     buckets = max(1, -(-int(n_hot) * (window // 2) // BUCKET))
-    hasher_window = window
 
     def cut(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        hasher = Hasher()
         names = ["kind", "h", "__ls_k", "__ls_t", "lo", "n", "off", "region"]
         kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary()]
 
@@ -192,20 +191,23 @@ def repeated_windows(docs: DataFrame, found: DataFrame, counts: DataFrame, windo
         n_open = 0
 
         def settle() -> Iterator:
-            """Hot windows: those that this task can decide go out as kind 1, the open ones in packed rows as kind 2."""
+            """Hot windows: those that this task can decide go out as kind 1, one of each open one, in packed rows, as kind 2."""
+            import xxhash
+
             nonlocal hot, n_open
             if not hot:
                 return
-            x, k, t, s = (np.concatenate(c) for c in zip(*hot, strict=True))
+            contents = [c for part in hot for c in part[0]]
+            k, t, s = (np.concatenate([part[i] for part in hot]) for i in (1, 2, 3))
             hot, n_open = [], 0
-            gone, still = decide(x, k, t, s, np.zeros(len(x), bool), open_rule)
+            gone, (left, many) = decide(numbers_of(contents), k, t, s, np.zeros(len(contents), bool), open_rule)
             yield rows([(1, 0, kk, tt, ss, n, 0, b"") for kk, tt, ss, n in starts_as_runs(k[gone], t[gone], s[gone])])
-            x, k, t, s, many = x[still[0]], k[still[0]], t[still[0]], s[still[0]], still[1]
-            bucket = (x >> np.uint64(1)) % np.uint64(buckets)
+            bucket = np.fromiter((xxhash.xxh64_intdigest(contents[i]) % buckets for i in left.tolist()), np.int64, len(left))
             order = np.argsort(bucket, kind="stable")
             for part in np.split(order, np.flatnonzero(np.diff(bucket[order])) + 1):
                 if len(part):
-                    blob = b"".join((x[part].tobytes(), k[part].tobytes(), t[part].tobytes(), s[part].astype(np.int64).tobytes(), many[part].astype(np.uint8).tobytes()))
+                    at = left[part]
+                    blob = packed_windows(k[at], t[at], s[at], many[part], [contents[i] for i in at.tolist()])
                     yield rows([(2, int(bucket[part[0]]), 0, 0, 0, len(part), 0, blob)])
 
         for b in batches:
@@ -214,28 +216,21 @@ def repeated_windows(docs: DataFrame, found: DataFrame, counts: DataFrame, windo
             for i, text in enumerate(b.column(2)):
                 data = text.as_buffer().to_pybytes()
                 where = range(offsets[i], offsets[i + 1])
-                edges = None
-                if words:
-                    starts, ends = word_spans(np.frombuffer(data, np.uint8))
-                    edges = starts.tolist(), ends.tolist()
-                    tokens = data.split()
+                tokens = data.split() if words else []
                 cold = [j for j in where if not is_hot[j]]
                 for j in cold:
                     first, last = int(lo[j]), int(hi[j])
                     region = b" ".join(tokens[first : last + window]) if words else data[first : last + window]
                     out.append((0, int(h[j]), ks[i], ts[i], first, last - first + 1, int(a[j]) - first, region))
                     size += len(region)
-                if len(cold) < len(where):
-                    units = units_of(hasher, np.frombuffer(data, np.uint8), words)
-                    whole = hasher.grams(hasher.prefix(units), hasher_window)
-                    for j in where:
-                        if is_hot[j]:
-                            s = np.arange(int(lo[j]), int(hi[j]) + 1)
-                            x = mix64(whole[s] ^ mix64(np.full(len(s), h[j], np.int64).view(np.uint64)))
-                            hot.append((x, np.full(len(s), ks[i], np.int64), np.full(len(s), ts[i], np.int64), s))
-                            n_open += len(s)
-                    if n_open >= BUCKET:
-                        yield from settle()
+                for j in where if len(cold) < len(where) else ():
+                    if is_hot[j]:
+                        s = np.arange(int(lo[j]), int(hi[j]) + 1)
+                        contents = [b" ".join(tokens[w : w + window]) if words else data[w : w + window] for w in s.tolist()]
+                        hot.append((contents, np.full(len(s), ks[i], np.int64), np.full(len(s), ts[i], np.int64), s))
+                        n_open += len(s)
+                        if n_open >= BUCKET:
+                            yield from settle()
                 if size >= 4 << 20:
                     yield rows(out)
                     out, size = [], 0
@@ -294,14 +289,9 @@ def repeated_windows(docs: DataFrame, found: DataFrame, counts: DataFrame, windo
         def resolve(pdf):
             import pandas as pd
 
-            parts: list = [[], [], [], [], []]
-            for blob, n in zip(pdf["region"], pdf["n"], strict=True):
-                n = int(n)
-                for c, (at, kind) in enumerate(((0, np.uint64), (8, np.int64), (16, np.int64), (24, np.int64))):
-                    parts[c].append(np.frombuffer(blob, kind, n, at * n))
-                parts[4].append(np.frombuffer(blob, np.uint8, n, 32 * n).astype(bool))
-            x, k, t, s, many = (np.concatenate(c) for c in parts)
-            gone, _ = decide(x, k, t, s, many, open_rule)
+            held = [unpacked_windows(blob, int(n)) for blob, n in zip(pdf["region"], pdf["n"], strict=True)]
+            k, t, s, many = (np.concatenate([x[i] for x in held]) for i in range(4))
+            gone, _ = decide(numbers_of([c for x in held for c in x[4]]), k, t, s, many, open_rule)
             gone &= ~many
             out = list(starts_as_runs(k[gone], t[gone], s[gone]))
             return pd.DataFrame({"__ls_k": [r[0] for r in out], "__ls_t": [r[1] for r in out], "lo": [r[2] for r in out], "hi": [r[2] + r[3] - 1 for r in out]}).astype({"__ls_k": "int64", "__ls_t": "int64", "lo": "int32", "hi": "int32"})
@@ -315,8 +305,26 @@ def repeated_windows(docs: DataFrame, found: DataFrame, counts: DataFrame, windo
     return spans
 
 
+def numbers_of(contents: list[bytes]) -> np.ndarray:
+    """A number for each window; windows have one number only if their bytes are equal."""
+    names: dict[bytes, int] = {}
+    return np.fromiter((names.setdefault(c, len(names)) for c in contents), np.int64, len(contents))
+
+
+def packed_windows(k: np.ndarray, t: np.ndarray, s: np.ndarray, many: np.ndarray, contents: list[bytes]) -> bytes:
+    lengths = np.fromiter(map(len, contents), np.int32, len(contents))
+    return b"".join((*(x.astype(np.int64).tobytes() for x in (k, t, s)), many.astype(np.uint8).tobytes(), lengths.tobytes(), *contents))
+
+
+def unpacked_windows(blob: bytes, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[bytes]]:
+    k, t, s = (np.frombuffer(blob, np.int64, n, 8 * n * i) for i in range(3))
+    many = np.frombuffer(blob, np.uint8, n, 24 * n).astype(bool)
+    ends = (29 * n + np.cumsum(np.frombuffer(blob, np.int32, n, 25 * n), dtype=np.int64)).tolist()
+    return k, t, s, many, [blob[a:z] for a, z in zip([29 * n, *ends[:-1]], ends, strict=True)]
+
+
 def decide(x: np.ndarray, k: np.ndarray, t: np.ndarray, s: np.ndarray, many: np.ndarray, rule: str) -> tuple[np.ndarray, tuple[np.ndarray, np.ndarray]]:
-    """Windows of hash x at (k, t, s): which of them go, and (places, flags) of those that stand for the open ones.
+    """Windows of number x at (k, t, s): which of them go, and (places, flags) of those that stand for the open ones.
 
     many marks a row that stands for several windows which went already (rule "other").
     """

@@ -10,11 +10,14 @@ and the work is linear in the bytes. A 200-byte window is repeated where a suffi
 neighbour in its column's order.
 
 The collections are the regions around one anchor (anchors.py): windows that might be equal lie in one collection,
-so each is built alone; Spark's sorted shuffle files are the external sequential files that feed the rounds.
+so each is built alone; Spark's sorted shuffle files are the external sequential files that feed the rounds. Whole
+documents in one collection would need as many rounds as the longest document has bytes, each a pass over all suffixes
+so far; README has the figures.
 
 Defined results: null texts are empty; texts shorter than a window lose nothing; matches never cross documents;
 copies of a row (same id and text) are separate occurrences, so both lose their repeated bytes; a null doc_id stays
-null; an empty table gives an empty result; further columns are ignored.
+null; a very long text is read in segments that overlap by a window, and never cut; ties do not arise, as all
+occurrences go; an empty table gives an empty result; further columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations

@@ -131,6 +131,38 @@ def test_suffix_dedup(docs, none, monkeypatch, most):
     same(suffix_dedup.repeated_bytes(none), [], columns)
 
 
+def test_hot_windows_are_told_apart_by_their_bytes():
+    windows = [b"a b", b"a c", b"a b", b"", b"x" * 300, b"a b"]
+    numbers = anchors.numbers_of(windows)
+    assert [[a == b for b in numbers] for a in numbers] == [[a == b for b in windows] for a in windows]
+    k, t, s, many = np.array([3, 1, 2, 9, 8, -(2**63)]), np.arange(6), np.arange(6) + 7, np.array([True, False, False, True, False, False])
+    got = anchors.unpacked_windows(anchors.packed_windows(k, t, s, many, windows), 6)
+    assert got[4] == windows and all((a == b).all() for a, b in zip(got, (k, t, s, many), strict=False))
+    gone, (left, _) = anchors.decide(numbers, k, t, s, many, "smaller")
+    assert gone.tolist() == [True, False, True, False, False, False] and sorted(left.tolist()) == [1, 3, 4, 5]
+    gone, (left, several) = anchors.decide(numbers, k, t, s, np.zeros(6, bool), "other")
+    assert gone.tolist() == [True, False, True, False, False, True] and several[left.tolist().index(1)] == False  # noqa: E712
+
+
+@pytest.mark.parametrize("most", [4096, 2])
+def test_texts_longer_than_a_segment(spark, monkeypatch, most):
+    """Repeats across the borders of segments (2**18 units), for words and for bytes."""
+    monkeypatch.setattr(anchors, "MOST", most)
+    draw = random.Random(12)
+    word = lambda: "".join(draw.choice("abcdefghij") for _ in range(4))
+    passage = [word() for _ in range(120)]
+    long = [word() for _ in range(anchors.SEGMENT + 500)]
+    long[anchors.SEGMENT - 60 : anchors.SEGMENT + 60] = passage
+    rows = [(1, " ".join(passage)), (2, " ".join(long)), (3, " ".join(long[-200:]))]
+    got = {r.doc_id: [(x["from"], x["to"]) for x in r.removed] for r in substring_dedup.drop_repeated_windows(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: [], 2: [(anchors.SEGMENT - 60, anchors.SEGMENT + 60)], 3: [(0, 200)]}
+    text = " ".join(long[: anchors.SEGMENT // 5 + 100])
+    part = text[anchors.SEGMENT - 300 : anchors.SEGMENT + 300]
+    rows = [(1, text), (2, "#" + part + "#")]
+    got = {r.doc_id: [(x["from"], x["to"]) for x in r.removed] for r in suffix_dedup.repeated_bytes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: [(anchors.SEGMENT - 300, anchors.SEGMENT + 300)], 2: [(1, 601)]}
+
+
 def test_column_wise_construction_against_all_pairs():
     draw = random.Random(3)
     for _ in range(60):

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import logging
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,6 +12,7 @@ from lodeseek.operators import evaluate as evaluation
 from lodeseek.operators import evidence as M
 from lodeseek.operators import profile as P
 from lodeseek.operators.chunking import chunk_pages
+from lodeseek.operators.images import EncoderUnavailableError
 from lodeseek.plans import retrieve as R
 from lodeseek.plans.planner import plan_query
 from lodeseek.session import settled
@@ -37,8 +39,10 @@ def check(**values) -> None:
 
 
 class Engine:
-    def __init__(self, spark: SparkSession, root: str | None = None):
-        self.spark, self.store = spark, Store(spark, root or settings().data_root)
+    """encoders(model, device) gives a page model: the factory of a worker's page encoder, and a function from a question to its vectors."""
+
+    def __init__(self, spark: SparkSession, root: str | None = None, encoders: Callable | None = None):
+        self.spark, self.store, self.encoders = spark, Store(spark, root or settings().data_root), encoders
         self.queue = Queue(spark, f"{self.store.root}/jobs")
 
     def health(self) -> dict:
@@ -64,12 +68,23 @@ class Engine:
         self._known(document)
         s = settings()
         self.store.save("chunks", chunk_pages(self.store.load("pages", [document]), max_words or s.chunk_max_words, s.chunk_overlap_words if overlap_words is None else overlap_words))
-        return self.store.load("chunks", [document]).count()
+        return self.chunks([document]).count()
 
-    def index(self, document: str, mode: str = "all") -> list[str]:
+    def model(self, backend: str | None = None, model: str | None = None, device: str | None = None) -> tuple:
+        """Page and question encoder of the backend; none for the baseline."""
+        s = settings()
+        if (backend or s.visual_backend) == "baseline":
+            return None, None
+        if self.encoders is None:
+            raise EncoderUnavailableError("No page encoder: pass the engine a function of model and device that gives one.")
+        return self.encoders(model or s.colpali_model, device or s.device)
+
+    def index(self, document: str, mode: str = "all", backend: str | None = None, compression: str | None = None, model: str | None = None, device: str | None = None) -> list[str]:
+        """Writes the indexes of a mode. backend, compression, model and device say how pages are encoded; settings stand in. [Q8]"""
         self._known(document)
         s = settings()
-        return R.build_indexes(self.store, self.store.load("chunks", [document]), self.store.load("pages", [document]), mode, s.dense_dimensions, s.late_dimensions, s.late_max_doc_tokens)
+        encoder, _ = self.model(backend, model, device)
+        return R.build_indexes(self.store, self.chunks([document]), self.store.load("pages", [document]), mode, s.dense_dimensions, s.late_max_doc_tokens, encoder, compression or s.visual_compression)
 
     def pipeline(self, path: str, mode: str = "all", max_words: int | None = None, overlap_words: int | None = None, **engines) -> dict:
         document = self.ingest(path, **engines)
@@ -93,7 +108,7 @@ class Engine:
         R.check_mode(mode)
         ids = self.scope(documents)
         q = R.one_question(self.spark, question)
-        found = settled(R.retrieve(mode, self.store.load("chunks", ids), self.store.load("pages", ids), q, k, indexes=self.store.index_tables(ids), **self.made(), **(self.planning() | planning if mode == "planner" else {})))
+        found = settled(R.retrieve(mode, self.chunks(ids), self.store.load("pages", ids), q, k, indexes=self.store.index_tables(ids), question_vectors=self.asked_vectors(question), **self.made(), **(self.planning() | planning if mode == "planner" else {})))
         needed = [i for m in (plan_query(question).routes if mode == "planner" else [mode]) for i in R.INDEXES[m]]
         lacking = self.store.lacking(list(dict.fromkeys(needed)), ids)
         for name, gone in lacking.items():
@@ -102,6 +117,15 @@ class Engine:
         run = self.store.save_run({"evidence_bundle": found, "knowledge_card": card, "retrieval_trace": R.trace(mode, q, found, k, lacking).withColumn("payload", F.to_json("payload"))}) if save else None
         return {"run_id": run, "evidence": [r.asDict(True) for r in found.orderBy("rank").collect()], "card": card.first().asDict(True), "missing_indexes": lacking}
 
+    def chunks(self, documents: list[str] | None = None) -> DataFrame:
+        """Stored chunks; none where no document has any words."""
+        return self.store.load("chunks", documents) if self.store.exists("chunks") else chunk_pages(self.store.load("pages", documents)).limit(0)
+
+    def asked_vectors(self, question: str) -> DataFrame | None:
+        """The question's vectors by the page model, where there is one."""
+        _, encode = self.model() if self.encoders else (None, None)
+        return self.spark.createDataFrame([("q", [[float(x) for x in v] for v in encode(question)])], "query_id string, vectors array<array<double>>") if encode else None
+
     def made(self) -> dict:
         """Settings that say how rows and scores are made."""
         s = settings()
@@ -116,7 +140,7 @@ class Engine:
         """planning: planner_* entries that go before the manifest's."""
         found = evaluation.load_manifest(manifest) if isinstance(manifest, str) else manifest
         check(top_k=top_k)
-        return evaluation.run(self.spark, found | planning, self.store.load("chunks"), self.store.load("pages"), top_k, modes)
+        return evaluation.run(self.spark, found | planning, self.chunks(), self.store.load("pages"), top_k, modes)
 
     def document(self, document: str) -> dict:
         """Catalog row, profile, and the numbers and names of the knowledge graph of a document. [Q5]"""

@@ -36,7 +36,7 @@ def factory(name: str):
 def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="lodeseek")
     p.add_argument("--store", help="root folder of the store")
-    p.add_argument("--log-file", help="a file for the log, beside standard error")
+    p.add_argument("--encoders", help="module:function from (model, device) to the page and question encoders of a page model")
     sub = p.add_subparsers(dest="command", required=True)
     add = lambda name, *positional: [(c := sub.add_parser(name)), [c.add_argument(a) for a in positional]][0]
     c = add("ingest", "path")
@@ -50,6 +50,10 @@ def parser() -> argparse.ArgumentParser:
     c.add_argument("--async", dest="later", action="store_true")
     c = add("index", "document_id")
     c.add_argument("--mode", choices=sorted(INDEXES), default="all")
+    c.add_argument("--visual-backend", choices=["baseline", "colpali"])
+    c.add_argument("--visual-compression", choices=["none", "int8"])
+    c.add_argument("--colpali-model")
+    c.add_argument("--device")
     c.add_argument("--async", dest="later", action="store_true")
     c = add("query", "question")
     c.add_argument("--document-id")
@@ -75,10 +79,10 @@ def main(argv: list[str] | None = None, spark=None) -> int:
     from lodeseek.operators.evaluate import markdown
     from lodeseek.session import session
 
-    engine = Engine(spark or session(), a.store)
+    engine = Engine(spark or session(), a.store, factory(a.encoders) if a.encoders else None)
     try:
         if getattr(a, "later", False):
-            params = {"path": a.path} if a.command == "ingest" else {k: v for k, v in vars(a).items() if k not in ("command", "store", "later")}
+            params = {"path": a.path} if a.command == "ingest" else {k: v for k, v in vars(a).items() if k not in ("command", "store", "later", "encoders")}
             print(engine.queue.submit(a.command, params))
         elif a.command == "ingest":
             given = {"engines": factory(a.ocr) if a.ocr else None, "mode": a.mode, "dpi": a.dpi}
@@ -86,7 +90,7 @@ def main(argv: list[str] | None = None, spark=None) -> int:
         elif a.command == "chunk":
             print(engine.chunk(a.document_id, a.max_words, a.overlap_words))
         elif a.command == "index":
-            print(*engine.index(a.document_id, a.mode), sep="\n")
+            print(*engine.index(a.document_id, a.mode, a.visual_backend, a.visual_compression, a.colpali_model, a.device), sep="\n")
         elif a.command == "query":
             given = {"strategy": a.planner_merge_strategy, "rerank": a.planner_rerank, "vote_bonus": a.planner_route_vote_bonus, "overlap_weight": a.planner_rerank_overlap_weight}
             print(json.dumps(engine.query(a.question, a.document_id, a.top_k, a.mode, **{k: v for k, v in given.items() if v is not None}), indent=2, ensure_ascii=False, default=str))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodeseek.functions.text import let
@@ -46,15 +46,33 @@ def quantize(values: Column) -> Column:
     return let(scale, lambda s: F.struct(F.lit("int8").alias("compression"), s.alias("scale"), whole(s).alias("values")))
 
 
+def quantize_rows(rows: Column) -> Column:
+    """The same of an array of arrays, under one scale."""
+    top = F.coalesce(F.array_max(F.transform(F.flatten(rows), lambda x: F.abs(x.cast("double")))), F.lit(0.0))
+    whole = lambda s: F.transform(rows, lambda r: F.transform(r, lambda x: F.least(F.lit(127.0), F.greatest(F.lit(-127.0), F.rint(x.cast("double") / s))).cast("tinyint")))
+    return let(F.when(top > 0, top / F.lit(127.0)).otherwise(F.lit(1.0)), lambda s: F.struct(F.lit("int8").alias("compression"), s.alias("scale"), whole(s).alias("values")))
+
+
+def dequantize_rows(packed: Column) -> Column:
+    numbers = F.transform(packed["values"], lambda r: F.transform(r, lambda x: x.cast("double") * packed["scale"]))
+    return F.when(packed["compression"] == "int8", numbers).otherwise(F.raise_error(F.concat(F.lit("Unsupported embedding compression: "), packed["compression"])))
+
+
 def dequantize(packed: Column) -> Column:
     """The numbers again; a compression of another kind is an error."""
     fine = packed["compression"] == "int8"
     return F.when(fine, F.transform(packed["values"], lambda x: x.cast("double") * packed["scale"])).otherwise(F.raise_error(F.concat(F.lit("Unsupported embedding compression: "), packed["compression"])))
 
 
-def maybe_compress(values: Column, compression: str) -> Column:
+def maybe_compress(values: Column, compression: str, rows: bool = False) -> Column:
     if compression in ("none", ""):
         return values
     if compression != "int8":
         raise ValueError(f"Unsupported embedding compression: {compression}")
-    return quantize(values)
+    return quantize_rows(values) if rows else quantize(values)
+
+
+def maybe_dequantize(df: DataFrame, name: str, rows: bool = False) -> Column:
+    """A column of df as numbers, whether it is compressed or not."""
+    packed = df.schema[name].dataType.typeName() == "struct"
+    return (dequantize_rows if rows else dequantize)(F.col(name)) if packed else F.col(name)

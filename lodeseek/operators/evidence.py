@@ -19,6 +19,8 @@ CLOSE_NOTE = "The top retrieval hits are closely scored, leaving ranking ambigui
 DEEPER = "Increase top_k and rerun in planner mode to gather more corroborating evidence."
 TRY_GRAPH = "Try graph mode for section, entity, or reference expansion around the current hits."
 TRY_VISUAL = "Try visual mode if the answer may depend on figures, tables, scans, or page layout."
+CONFIDENCE = "Evidence confidence is %.2f across top retrieval hits."
+QUERY, GROUNDED = "Query: ", "\n\nGrounded answer:\n"
 # --- end of fixed values --------------------------------------------------------------------------------------
 
 
@@ -57,10 +59,10 @@ def cards(evidence: DataFrame, questions: DataFrame) -> DataFrame:
     more = F.concat(F.array(F.when(sure < FOLLOW_UP, DEEPER), F.when(lacks("graph"), TRY_GRAPH), F.when(lacks("visual"), TRY_VISUAL)), look)
     present = lambda a: F.filter(a, lambda x: x.isNotNull())
     return rows.select(
-        "query_id", "query", F.when(some, F.concat(F.lit("Query: "), "query", F.lit("\n\nGrounded answer:\n"), F.array_join(lines, "\n"))).otherwise(F.lit(NO_EVIDENCE)).alias("answer"), some.alias("answerable"), F.round(sure, 9).alias("confidence"),
+        "query_id", "query", F.when(some, F.concat(F.lit(QUERY), "query", F.lit(GROUNDED), F.array_join(lines, "\n"))).otherwise(F.lit(NO_EVIDENCE)).alias("answer"), some.alias("answerable"), F.round(sure, 9).alias("confidence"),
         citations.alias("citations"), claims.alias("claims"), F.when(some, present(F.array(*notes))).otherwise(F.array(*map(F.lit, NO_SUPPORT))).alias("ambiguity"),
         F.when(some, F.slice(present(more), 1, MOST_FOLLOW_UPS)).otherwise(F.array(*map(F.lit, NO_HITS_FOLLOW_UPS))).alias("follow_ups"),
-        F.when(some, F.format_string("Evidence confidence is %.2f across top retrieval hits.", sure)).otherwise(F.lit(NO_HITS)).alias("reason"),
+        F.when(some, F.format_string(CONFIDENCE, sure)).otherwise(F.lit(NO_HITS)).alias("reason"),
     )
 
 

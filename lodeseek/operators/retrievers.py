@@ -190,6 +190,14 @@ def visual(pages: DataFrame, questions: DataFrame, k: int = 5, dimensions: int =
     return as_evidence(top(scores, k), shown, "visual")
 
 
+def page_vectors(pages: DataFrame, asked: DataFrame, index: DataFrame, k: int = 5) -> DataFrame:
+    """Page retrieval by model vectors. index: document_id, chunk_id, chunk_index, vectors (compressed or not); asked: query_id, vectors. [K9]"""
+    items = index.select(F.col("chunk_id").alias("item_id"), V.maybe_dequantize(index, "vectors", rows=True).alias("vectors"))
+    scores = multi_vector_scores(items, asked).withColumnRenamed("item_id", "chunk_id").join(index.select(*B.KEY), "chunk_id")
+    shown = pages.select(F.col("page_id").alias("chunk_id"), F.array(F.col("number").cast("int")).alias("page_numbers"), "text")
+    return as_evidence(top(scores, k), shown, "visual")
+
+
 # --- model vectors --------------------------------------------------------------------------------------------
 def multi_vector_scores(items: DataFrame, queries: DataFrame, block: int = 256) -> DataFrame:
     """query_id, item_id, score: the sum over query vectors of the best product with an item's vectors. [K9]

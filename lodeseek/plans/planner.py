@@ -15,28 +15,6 @@ from lodeseek.functions import text as T
 
 MERGE_STRATEGIES = ("score_max", "route_vote")
 
-# --- fixed values ---------------------------------------------------------------------------------------------
-TABLE_TERMS = """table tables tabular row rows column columns cell cells invoice invoices form forms total totals
-amount amounts spreadsheet spreadsheets ledger register financial metric metrics stat stats grid matrix receipt
-receipts schedule schedules roster rosters catalog catalogs catalogue inventory inventories budget budgets roi cost
-costs revenue revenues payroll balance transaction transactions checkbook""".split()
-VISUAL_TERMS = """figure figures diagram diagrams chart charts plot plots image images imagery screenshot screenshots
-flowchart flowcharts visual visually visualization visualizations layout layouts page pages scan scans scanning
-handwriting graph graphs drawing drawings sketch sketches photo photos photograph photographs illustration
-illustrations map maps ui interface interfaces mockup mockups wireframe wireframes thumbnail thumbnails logo logos
-icon icons blueprint blueprints render renders rendering infographic infographics painting paintings""".split()
-MULTIHOP_TERMS = """compare comparison comparing contrast relationship relationships across between cross corpus
-documents multi summarize summarizes summary synthesis synthesize aggregate among difference differences similar
-similarities similarly both vs versus common commonalities together relation relations correlation correlations
-trend trends pattern patterns merge merging combine combines combination intersection overlap overlaps overlapping
-align aligns alignment""".split()
-GRAPH_TERMS = """section sections reference references entity entities topic topics related neighbor neighbors
-neighborhood context contexts hierarchy hierarchical outline structure structures navigation routing citation
-citations cite cites bibliography bibliographic appendix appendices subsection subsections paragraph paragraphs
-clause clauses chapter chapters preface foreword index indexes glossary tableofcontents toc parent child sibling
-ancestor descendant subtree subgraph""".split()
-# --- end of fixed values --------------------------------------------------------------------------------------
-
 
 @dataclass(frozen=True)
 class Rule:
@@ -49,6 +27,35 @@ class Rule:
     explanation: str
 
 
+# --- fixed values ---------------------------------------------------------------------------------------------
+TABLE_TERMS = [
+    "table", "tables", "tabular", "row", "rows", "column", "columns", "cell", "cells", "invoice", "invoices", "form", "forms", "total", "totals",
+    "amount", "amounts", "spreadsheet", "spreadsheets", "ledger", "register", "financial", "metric", "metrics", "stat", "stats", "grid", "matrix",
+    "receipt", "receipts", "schedule", "schedules", "roster", "rosters", "catalog", "catalogs", "catalogue", "inventory", "inventories", "budget",
+    "budgets", "roi", "cost", "costs", "revenue", "revenues", "payroll", "balance", "transaction", "transactions", "checkbook",
+]
+VISUAL_TERMS = [
+    "figure", "figures", "diagram", "diagrams", "chart", "charts", "plot", "plots", "image", "images", "imagery", "screenshot", "screenshots",
+    "flowchart", "flowcharts", "visual", "visually", "visualization", "visualizations", "layout", "layouts", "page", "pages", "scan", "scans",
+    "scanning", "handwriting", "graph", "graphs", "drawing", "drawings", "sketch", "sketches", "photo", "photos", "photograph", "photographs",
+    "illustration", "illustrations", "map", "maps", "ui", "interface", "interfaces", "mockup", "mockups", "wireframe", "wireframes", "thumbnail",
+    "thumbnails", "logo", "logos", "icon", "icons", "blueprint", "blueprints", "render", "renders", "rendering", "infographic", "infographics",
+    "painting", "paintings",
+]
+MULTIHOP_TERMS = [
+    "compare", "comparison", "comparing", "contrast", "relationship", "relationships", "across", "between", "cross", "corpus", "documents", "multi",
+    "summarize", "summarizes", "summary", "synthesis", "synthesize", "aggregate", "among", "difference", "differences", "similar", "similarities",
+    "similarly", "both", "vs", "versus", "common", "commonalities", "together", "relation", "relations", "correlation", "correlations", "trend",
+    "trends", "pattern", "patterns", "merge", "merging", "combine", "combines", "combination", "intersection", "overlap", "overlaps", "overlapping",
+    "align", "aligns", "alignment",
+]
+GRAPH_TERMS = [
+    "section", "sections", "reference", "references", "entity", "entities", "topic", "topics", "related", "neighbor", "neighbors", "neighborhood",
+    "context", "contexts", "hierarchy", "hierarchical", "outline", "structure", "structures", "navigation", "routing", "citation", "citations",
+    "cite", "cites", "bibliography", "bibliographic", "appendix", "appendices", "subsection", "subsections", "paragraph", "paragraphs", "clause",
+    "clauses", "chapter", "chapters", "preface", "foreword", "index", "indexes", "glossary", "tableofcontents", "toc", "parent", "child", "sibling",
+    "ancestor", "descendant", "subtree", "subgraph",
+]
 GROUPS = {"visual": VISUAL_TERMS, "table": TABLE_TERMS, "multihop": MULTIHOP_TERMS, "graph": GRAPH_TERMS}
 #: In order; "identifier" and "prose" (any word outside all groups) are predicates of their own.
 RULES = (
@@ -62,6 +69,7 @@ RULES = (
     Rule("multi_hop", ("multihop",), ("hybrid", "dense"), "multi-hop terms detected", "Detected multi-hop/comparison terms, routing to hybrid and dense retrieval."),
     Rule("semantic", (), ("dense", "bm25"), "default semantic routing", "No specific visual/table/graph/identifier terms detected; using dense + BM25 hybrid."),
 )
+# --- end of fixed values --------------------------------------------------------------------------------------
 
 
 @dataclass(frozen=True)

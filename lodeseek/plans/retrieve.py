@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lodeseek.functions import vectors as V
 from lodeseek.operators import blocks as B
 from lodeseek.operators import graph as G
-from lodeseek.operators import merge
+from lodeseek.operators import images, merge
 from lodeseek.operators import retrievers as R
 from lodeseek.plans import planner
 from lodeseek.session import settled
@@ -38,14 +41,15 @@ def missing_indexes(mode: str, indexes: dict[str, DataFrame] | None) -> list[str
     return [] if indexes is None or mode == "planner" else [n for n in INDEXES[mode] if n not in indexes]
 
 
-def retrieve(mode: str, chunks: DataFrame, pages: DataFrame | None, questions: DataFrame, k: int = 5, scope: str = "document", indexes: dict[str, DataFrame] | None = None, k1: float = 1.5, b: float = 0.75, dense_dimensions: int = 384, late_dimensions: int = 128, **planning) -> DataFrame:
+def retrieve(mode: str, chunks: DataFrame, pages: DataFrame | None, questions: DataFrame, k: int = 5, scope: str = "document", indexes: dict[str, DataFrame] | None = None, k1: float = 1.5, b: float = 0.75, dense_dimensions: int = 384, late_dimensions: int = 128, question_vectors: DataFrame | None = None, **planning) -> DataFrame:
     """Evidence rows of all questions in one mode. Graph search treats several documents as one.
 
     indexes: stored tables by name. With them, nothing is built again: a mode whose index is not among them finds
-    nothing. Without them, each mode makes its rows from chunks and pages.
+    nothing. Without them, each mode makes its rows from chunks and pages. With question_vectors (query_id, vectors) and
+    an index of model vectors, page retrieval goes by these.
     """
     check_mode(mode)
-    made = {"k1": k1, "b": b, "dense_dimensions": dense_dimensions, "late_dimensions": late_dimensions}
+    made = {"k1": k1, "b": b, "dense_dimensions": dense_dimensions, "late_dimensions": late_dimensions, "question_vectors": question_vectors}
     if mode == "planner":
         return plan_and_merge(chunks, pages, questions, k, scope, indexes=indexes, **made, **planning)
     if missing_indexes(mode, indexes):
@@ -62,6 +66,8 @@ def retrieve(mode: str, chunks: DataFrame, pages: DataFrame | None, questions: D
     if mode == "visual":
         if pages is None:
             raise ValueError("Visual retrieval needs pages")
+        if question_vectors is not None and "vectors" in held:
+            return R.page_vectors(pages, question_vectors.join(questions.select("query_id"), "query_id", "left_semi"), held["vectors"], k)
         return R.visual(visual_pages(pages), questions, k, dense_dimensions, held.get("visual"))
     return R.hybrid(chunks, questions, k, scope, held.get("bm25"), held.get("dense"), k1, b, dense_dimensions)
 
@@ -94,10 +100,11 @@ def plan_and_merge(chunks: DataFrame, pages: DataFrame | None, questions: DataFr
     return got.select(*R.EVIDENCE)
 
 
-def build_indexes(store, chunks: DataFrame, pages: DataFrame, mode: str = "all", dense_dimensions: int = 384, late_dimensions: int = 128, late_words: int = 256) -> list[str]:
+def build_indexes(store, chunks: DataFrame, pages: DataFrame, mode: str = "all", dense_dimensions: int = 384, late_words: int = 256, encoder: Callable | None = None, compression: str = "none") -> list[str]:
     """Writes the tables that a mode reads; returns their names. [K13]
 
-    late_dimensions is not needed here: a word's own vector is a hash of the word, found when it is first met.
+    encoder: the factory of a page encoder (images.encode_pages); with it, the visual index has model vectors, too, of the
+    pages that have an image.
     """
     if mode not in INDEXES:
         raise ValueError(f"Unsupported index mode: {mode}")
@@ -117,6 +124,15 @@ def build_indexes(store, chunks: DataFrame, pages: DataFrame, mode: str = "all",
                 store.save(kind, rows.withColumnRenamed("scope", "document_id"))
         store.save(f"index_{name}", df)
         made.append(f"index_{name}")
+    if encoder and "visual" in INDEXES[mode]:
+        drawn = pages.select("document_id", F.col("page_id").alias("chunk_id"), F.col("number").alias("chunk_index"), F.col("metadata")["image_path"].alias("path")).where("path is not null")
+        paths = [r["path"] for r in drawn.select("path").distinct().collect()]  # the images of one document
+        if not paths:
+            raise ValueError("No page images to index")
+        pixels = store.spark.read.format("image").option("dropInvalid", "true").load(paths).select(F.regexp_replace("image.origin", "^file:/*", "/").alias("page_id"), "image")
+        vectors = images.encode_pages(pixels, encoder).select(F.col("item_id").alias("path"), V.maybe_compress(F.col("vectors"), compression, rows=True).alias("vectors"))
+        store.save("index_vectors", drawn.join(vectors, "path").drop("path"))
+        made.append("index_vectors")
     return made
 
 

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from lodeseek.session import settled
 
 BUCKETS = 256
-TABLES = ("pages", "profiles", "chunks", "index_bm25", "index_dense", "index_late", "index_visual", "index_graph", "kg_sections", "kg_entities", "kg_references")
+TABLES = ("pages", "profiles", "chunks", "index_bm25", "index_dense", "index_late", "index_visual", "index_vectors", "index_graph", "kg_sections", "kg_entities", "kg_references")
 
 
 class Store:
@@ -79,7 +79,7 @@ class Store:
 
     def lacking(self, names: list[str], documents: list[str] | None = None) -> dict[str, list[str]]:
         """For each of the indexes, the documents that have none, at most nine of them; only indexes that some document lacks."""
-        known = self.load("chunks", documents).select("document_id").distinct()
+        known = self.load("chunks" if self.exists("chunks") else "pages", documents).select("document_id").distinct()
         out = {}
         for name in names:
             held = self.load(f"index_{name}", documents).select("document_id").distinct() if self.exists(f"index_{name}") else None

@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 
 from lodeseek import cli
-from lodeseek.api import Engine, NotFoundError
+from lodeseek.api import EncoderUnavailableError, Engine, NotFoundError
 from lodeseek.sources import ingest
 from lodeseek.sources.config import Settings, read_settings
 from lodeseek.streaming.jobs import Queue
@@ -54,6 +54,31 @@ def test_images_and_pdf(spark, tmp_path):
     assert [(r.number, r.text) for r in rows] == [(1, "one@99"), (2, "two@99")]
 
 
+def brightness(model, device):
+    """A page model of two vectors: how bright and how dark a page is; questions ask for either."""
+    return (lambda: lambda image: [[float(image.mean()), 0.0], [0.0, 255.0 - float(image.mean())]]), (lambda question: [[1.0, 0.0]] if "bright" in question else [[0.0, 1.0]])
+
+
+@pytest.mark.parametrize("compression", ["none", "int8"])
+def test_page_vectors_as_a_mode(spark, tmp_path, monkeypatch, compression):
+    from dataclasses import replace
+
+    from lodeseek import api
+
+    monkeypatch.setattr(api, "settings", lambda: replace(Settings(), visual_backend="colpali"))
+    engine = Engine(spark, str(tmp_path / "store"), brightness)
+    ids = {}
+    for name, level in (("light", 250), ("dark", 5)):
+        png(tmp_path / f"{name}.png", np.full((20, 20, 3), level, np.uint8))
+        ids[name] = engine.ingest(str(tmp_path / f"{name}.png"))
+        assert engine.index(ids[name], "visual", compression=compression) == ["index_visual", "index_vectors"]
+    for word, name in (("bright", "light"), ("black", "dark")):
+        got = engine.query(f"a {word} page", mode="visual", save=False)["evidence"]
+        assert [e["document_id"] for e in got] == [ids[name], ids["dark" if name == "light" else "light"]] and got[0]["retrieval_path"] == "visual"
+    with pytest.raises(EncoderUnavailableError):
+        Engine(spark, str(tmp_path / "store")).index(ids["dark"], "visual")
+
+
 def test_html(spark):
     rows = spark.createDataFrame([(1, "u", "<html><head><title>t</title></head><body><h1>Top &amp; all</h1><script>x<y</script><p>One</p><p>Two &lt;3</p></body>")], "page_id long, url string, html string")
     assert ingest.html_pages(rows).first().text.split() == ["#", "Top", "&", "all", "One", "Two", "<3"]

@@ -293,13 +293,18 @@ def repeated_windows(docs: DataFrame, found: DataFrame, counts: DataFrame, windo
             k, t, s, many = (np.concatenate([x[i] for x in held]) for i in range(4))
             gone, _ = decide(numbers_of([c for x in held for c in x[4]]), k, t, s, many, open_rule)
             gone &= ~many
-            out = list(starts_as_runs(k[gone], t[gone], s[gone]))
-            return pd.DataFrame({"__ls_k": [r[0] for r in out], "__ls_t": [r[1] for r in out], "lo": [r[2] for r in out], "hi": [r[2] + r[3] - 1 for r in out]}).astype({"__ls_k": "int64", "__ls_t": "int64", "lo": "int32", "hi": "int32"})
+            # a bucket has windows from all over a document: one row for each document, not for each window
+            out: dict[tuple[int, int], list[dict]] = {}
+            for kk, tt, ss, n in starts_as_runs(k[gone], t[gone], s[gone]):
+                out.setdefault((kk, tt), []).append({"lo": ss, "hi": ss + n - 1})
+            return pd.DataFrame({"__ls_k": pd.Series([kk for kk, _ in out], dtype="int64"), "__ls_t": pd.Series([tt for _, tt in out], dtype="int64"), "spans": pd.Series(list(out.values()), dtype="object")})
 
-        opened = regions.where("kind = 2").select("h", "n", "region").groupBy("h").applyInPandas(resolve, "__ls_k long, __ls_t long, lo int, hi int")
+        opened = regions.where("kind = 2").select("h", "n", "region").groupBy("h").applyInPandas(resolve, "__ls_k long, __ls_t long, spans array<struct<lo:int,hi:int>>")
         near = regions.where("kind = 1").select("__ls_k", "__ls_t", "lo", (F.col("lo") + F.col("n") - 1).alias("hi"))
-        gone = gone.unionByName(opened).unionByName(near)
-    spans = work.table(gone.groupBy("__ls_k", "__ls_t").agg(F.collect_set(F.struct("lo", "hi")).alias("spans")), "spans")
+        gone = gone.unionByName(near)
+    gone = gone.select("__ls_k", "__ls_t", F.array(F.struct("lo", "hi")).alias("spans"))
+    gone = gone.unionByName(opened) if n_hot else gone
+    spans = work.table(gone.groupBy("__ls_k", "__ls_t").agg(F.array_distinct(F.flatten(F.collect_list("spans"))).alias("spans")), "spans")
     work.drop("per-doc", "regions")
     work.tidy()
     return spans

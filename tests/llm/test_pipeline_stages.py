@@ -97,3 +97,32 @@ def test_the_trie_of_operator_4_links_first_and_its_links_are_verified(spark):
     assert {frozenset((p.a, p.b)) for p in pairs} == {frozenset((by[1], by[2]))}
     first = {r["__ls_k"]: r["first"]["__ls_k"] for r in near_copies.first_of_groups(rows).collect()}
     assert first == {1: 1, 2: 1, 3: 3, 4: 4, 5: 4, 6: 4}
+
+
+def test_no_similar_pair_is_left_out_among_many_that_are_almost_similar(spark):
+    draw, base = random.Random(12), words(random.Random(11), 150)
+    rows = [(0, " ".join(base))]
+    for i in range(1, 501):
+        # four changed words: about 0.77 to the base and less to most others; a partner with three more
+        v = list(base)
+        for at in draw.sample(range(150), 4):
+            v[at] = words(draw, 1)[0]
+        u = list(v)
+        for at in draw.sample(range(150), 3):
+            u[at] = words(draw, 1)[0]
+        rows += [(10 * i, " ".join(v)), (10 * i + 1, " ".join(u))]
+    sets = [(d, {tuple(w[i : i + 5]) for i in range(len(w) - 4)}) for d, t in rows for w in [t.split()]]
+    group = {d: d for d, _ in rows}
+    for i, (a, x) in enumerate(sets):
+        for b, y in sets[i + 1 :]:
+            common = len(x & y)
+            if common >= near_copies.SIMILARITY * (len(x) + len(y) - common):
+                old, new = max(group[a], group[b]), min(group[a], group[b])
+                group = {d: new if g == old else g for d, g in group.items()}
+    assert 400 < sum(d != g for d, g in group.items()) < 600
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)  # so that the rows of a shingle go on in the next batch
+    try:
+        found = near_copies.first_of_groups(spark.createDataFrame(rows, SCHEMA)).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert {r["__ls_k"]: r["first"]["__ls_k"] for r in found} == group

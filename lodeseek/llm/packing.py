@@ -15,7 +15,7 @@ normaliser or pre-tokenizer is an error.
 from __future__ import annotations
 
 import struct
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -45,39 +45,47 @@ class Ids:
     def __init__(self, vocabulary: str, without: frozenset[bytes] = frozenset()):
         import regex
 
-        self.t, self.known = load(vocabulary), {}
+        self.t, self.known = load(vocabulary), Known(self.encode)
         self.merge, self.split = bpe.encoder(vocabulary, without), regex.compile(self.PATTERN).findall
         self.special = [x.content for x in self.t.get_added_tokens_decoder().values()]
 
-    def learn(self, words: list[bytes]) -> None:
-        rest = []
-        for w in words:
-            x = w.decode()
-            if max(x) < "\u0100" and "<|" not in x:
-                ids: list[int] = []
-                x = x.lower()
-                for p in (x,) if x.isalpha() else self.split(x):
-                    ids += self.merge(p.encode() + bpe.MARK)
-                self.known[w] = pack_ids(ids)
-            else:
-                rest.append(w)
-        for x, e in zip(rest, self.t.encode_batch([w.decode() for w in rest], add_special_tokens=False), strict=True):
-            self.known[x] = pack_ids(e.ids)
+    def encode(self, w: bytes) -> bytes:
+        if w.isalpha():  # ASCII letters only: one pre-token
+            return pack_ids(self.merge(w.lower() + bpe.MARK))
+        x = w.decode()
+        if (w.isascii() or max(x) < "\u0100") and "<|" not in x:
+            ids: list[int] = []
+            x = x.lower()
+            for p in (x,) if x.isalpha() else self.split(x):
+                ids += self.merge(p.encode() + bpe.MARK)
+            return pack_ids(ids)
+        return pack_ids(self.t.encode(x, add_special_tokens=False).ids)
 
     def of(self, texts: list[bytes]) -> list[bytes]:
-        cut = [x.split() for x in texts]
-        new: set[bytes] = set()
-        for words in cut:
-            new.update(words)
-        if len(self.known) + len(new) > REMEMBERED:
-            self.known = {}
-        self.learn(list(new - self.known.keys()))
         get = self.known.__getitem__
-        return [b"".join(map(get, words)) for words in cut]
+        return [b"".join(map(get, x.split())) for x in texts]
+
+
+class Known(dict):
+    """What encode gives for each string, asked once as long as the string is remembered."""
+
+    def __init__(self, encode: Callable[[bytes], bytes]):
+        super().__init__()
+        self.encode = encode
+
+    def __missing__(self, w: bytes) -> bytes:
+        if len(self) >= REMEMBERED:
+            self.clear()
+        self[w] = ids = self.encode(w)
+        return ids
+
+
+#: By number of ids; longer lists are rare.
+PACKS = [struct.Struct(f"<{n}I").pack for n in range(32)]
 
 
 def pack_ids(ids: list[int]) -> bytes:
-    return struct.pack(f"<{len(ids)}I", *ids)
+    return PACKS[len(ids)](*ids) if len(ids) < len(PACKS) else struct.pack(f"<{len(ids)}I", *ids)
 
 
 def pack_lengths(lengths: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:

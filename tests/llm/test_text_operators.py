@@ -244,6 +244,17 @@ def test_packing(docs, none):
     assert packing.pack(none).count() == 0
 
 
+def test_remembered_strings_are_encoded_once_and_a_limit_changes_no_ids(monkeypatch):
+    texts = [b"one two three four", b"four three, two one", b"five six seven one two"]
+    whole = packing.Ids("word_bpe_49k.json").of(texts)
+    monkeypatch.setattr(packing, "REMEMBERED", 6)
+    ids, asked = packing.Ids("word_bpe_49k.json"), []
+    merge = ids.merge
+    ids.merge = lambda p: asked.append(p) or merge(p)
+    assert ids.of(texts[:1]) == ids.of(texts[:1]) == whole[:1] and len(asked) == 4
+    assert ids.of(texts) == whole and len(ids.known) <= 6
+
+
 def test_first_fit_decreasing():
     draw = np.random.default_rng(2)
     for n in (1, 2, 3, 50, 300):

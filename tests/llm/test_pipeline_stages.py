@@ -126,3 +126,30 @@ def test_no_similar_pair_is_left_out_among_many_that_are_almost_similar(spark):
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     assert {r["__ls_k"]: r["first"]["__ls_k"] for r in found} == group
+
+
+def test_nodes_of_a_large_group_meet_its_centres_and_not_each_other(spark, monkeypatch):
+    draw, base = random.Random(14), words(random.Random(13), 150)
+    rows = [(0, " ".join(base))]
+    for i in range(1, 401):
+        # one or two changed words: similar to the base, hardly to each other; and texts that are similar to none, with a passage of it
+        v = list(base)
+        for at in draw.sample(range(5, 145), 1 + i % 2):
+            v[at] = words(draw, 1)[0]
+        rows.append((i, " ".join(v)))
+        rows.append((1000 + i, " ".join(base[20:130] + words(draw, 40))))
+    sets = {d: {tuple(w[i : i + 5]) for i in range(len(w) - 4)} for d, t in rows for w in [t.split()]}
+    assert all(len(x & sets[0]) >= near_copies.SIMILARITY * len(x | sets[0]) for d, x in sets.items() if d <= 400)
+    apart = [x for d, x in sets.items() if d > 400]
+    assert all(len(x & y) < near_copies.SIMILARITY * len(x | y) for x in apart for y in sets.values() if x is not y)
+    compared, possible = [], near_copies.possible
+
+    def counting(pairs, *args):
+        compared.append(pairs.count())
+        return possible(pairs, *args)
+
+    monkeypatch.setattr(near_copies, "possible", counting)
+    found = near_copies.first_of_groups(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert {r["__ls_k"]: r["first"]["__ls_k"] for r in found} == {d: 0 if d <= 400 else d for d, _ in rows}
+    # the pairs grow with the nodes, not with their square (some 320,000)
+    assert sum(compared) < 12 * len(rows), compared

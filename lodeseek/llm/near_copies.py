@@ -5,8 +5,9 @@ of five-word shingles, are joined with themselves in the binary trie (simhash.py
 candidates: the centre of a star may be unlike a node whose true partner is another node of the star, and at 0.8 some 5 to
 13 bits differ, where no trie search can prune. So an exact net follows for all that is not linked yet.
 
-All shingles have one order: those that a sample of rows shows to be frequent last, all others by their hash. Of n shingles
-the n - ceil(0.8 n) + 1 first are a node's prefix. Two nodes at 0.8 share a shingle of their prefixes, and so many of them
+All shingles have one order: the rarer first, by hashed counters that all rows have filled (``rarity``), equal ones by their
+hash. Of n shingles the n - ceil(0.8 n) + 1 first are a node's prefix. The counters are a fixed number: shingles that share one
+look more frequent than they are, which costs time and never a pair. Two nodes at 0.8 share a shingle of their prefixes, and so many of them
 that the rest of either set can make up what their sizes ask for (``enough``); both are theorems, whatever the order is, so
 the sample decides on costs only. A sketch of each set, its number of shingles in each of 256 parts, bounds what two sets have
 in common and drops most pairs that remain (``possible``). Shingles in one prefix only go at once. First each node meets one pivot of each of its
@@ -44,8 +45,8 @@ from lodeseek.llm.simhash import links as trie_links
 
 SHINGLE = 5
 SIMILARITY = 0.8
-#: For the order of shingles: rows in the sample, how many of them make a shingle frequent, frequent shingles that are told apart.
-SAMPLE, FREQUENT, KNOWN = 10_000, 8, 100_000
+#: Bits of a shingle's hash that choose its counter; counters in a block.
+COUNTER_BITS, BLOCK = 24, 1 << 16
 #: Parts of a sketch.
 PARTS = 256
 #: Rounds with centres are made while there are so many pairs a row and the last round ended a tenth of them; centres of a shingle in a round.
@@ -57,16 +58,15 @@ def shingles(data: bytes, shingle: int = SHINGLE) -> np.ndarray:
     return np.unique(shingle_hashes(data, shingle))
 
 
-def prefix(h: np.ndarray, frequent: tuple[np.ndarray, np.ndarray], similarity: float) -> np.ndarray:
-    """The first n - ceil(similarity * n) + 1 of n distinct sorted hashes, in the order of all shingles."""
+def slot(h: np.ndarray, counters: int) -> np.ndarray:
+    """The counter of each hash, of a power of two of them."""
+    return (h >> np.uint64(65 - counters.bit_length())).astype(np.int64)
+
+
+def prefix(h: np.ndarray, rare: np.ndarray, similarity: float) -> np.ndarray:
+    """The first n - ceil(similarity * n) + 1 of n distinct sorted hashes, in the order of all shingles; rare: a class for each counter, the rarest 0."""
     size = len(h) - int(np.ceil(similarity * len(h) - 1e-9)) + 1
-    known, times = frequent
-    if not len(h) or not len(known):
-        return h[:size]
-    at = np.minimum(np.searchsorted(known, h), len(known) - 1)
-    often = np.where(known[at] == h, times[at], 0)
-    rare = h[often == 0]
-    return rare[:size] if len(rare) >= size else h[np.lexsort((h, often))[:size]]
+    return h[np.lexsort((h, rare[slot(h, len(rare))]))[:size]] if len(h) else h
 
 
 def sketch(h: np.ndarray) -> bytes:
@@ -105,29 +105,58 @@ def jaccard(a: np.ndarray, b: np.ndarray) -> float:
     return common / (len(a) + len(b) - common)
 
 
-def frequent_shingles(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """At most KNOWN shingles (sorted) that are frequent in a sample of about SAMPLE rows, and their numbers of rows."""
-    every = rows.count()
+def rarity(rows: DataFrame, bits: int = COUNTER_BITS) -> np.ndarray:
+    """For each of 2**bits counters one of 256 classes, by the number of rows that hold a shingle of the counter, the fewest first.
 
-    def run(batches: Iterator) -> Iterator:
+    Each task counts the shingles of its rows; the counts meet block by block and are added up as they come. 2 bytes a counter reach the driver.
+    """
+    counters, parts = 1 << bits, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    block = min(BLOCK, counters)
+
+    def count(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
+        held = np.zeros(counters, np.uint32)
         for b in batches:
-            sets = [shingles(t) for t in b.column(0).to_pylist()]
-            h, c = np.unique(np.concatenate([*sets, np.zeros(0, np.uint64)]), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(c.astype(np.int64))], names=["h", "c"])
+            for t in b.column(0).to_pylist():
+                np.add.at(held, slot(shingles(t), counters), np.uint32(1))
+        for at in range(0, counters, block):
+            # a task tells no more than 255 rows apart; what is more frequent comes last anyway
+            part = np.minimum(held[at : at + block], 255).astype(np.uint8)
+            if part.any():
+                yield pa.RecordBatch.from_arrays([pa.array([at // block], pa.int32()), pa.array([part.tobytes()], pa.binary())], names=["block", "counts"])
+
+    def add(batches: Iterator) -> Iterator:
+        import pyarrow as pa
 
-    some = rows.where(F.pmod(F.xxhash64("__ls_k", "__ls_t", F.lit(11)), F.lit(max(1, every // SAMPLE))) == 0)
-    counts = some.select(F.col("text").cast("binary").alias("text")).mapInArrow(run, "h long, c long").groupBy("h").agg(F.sum("c").alias("c"))
-    most = counts.where(F.col("c") >= FREQUENT).orderBy(F.desc("c"), "h").limit(KNOWN).toArrow()  # at most KNOWN rows
-    h, c = (most.column(x).combine_chunks().to_numpy(zero_copy_only=False).astype(np.int64) for x in ("h", "c"))
-    order = np.argsort(h.view(np.uint64))
-    return h.view(np.uint64)[order], c[order]
+        def done() -> pa.RecordBatch:
+            coded = np.floor(2048 * np.log2(1.0 + np.minimum(total, 2.0**31))).astype("<u2")
+            return pa.RecordBatch.from_arrays([pa.array([last], pa.int32()), pa.array([coded.tobytes()], pa.binary())], names=["block", "counts"])
+
+        last, total = None, None
+        for b in batches:
+            for at, data in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                if at != last:
+                    if last is not None:
+                        yield done()
+                    last, total = at, np.zeros(block, np.int64)
+                total += np.frombuffer(data.as_buffer(), np.uint8)
+        if last is not None:
+            yield done()
+
+    each = rows.select(F.col("text").cast("binary").alias("text")).mapInArrow(count, "block int, counts binary")
+    coded = np.zeros(counters, np.uint16)
+    for at, data in each.repartition(parts, "block").sortWithinPartitions("block").mapInArrow(add, "block int, counts binary").collect():  # 2**bits numbers
+        coded[at * block : (at + 1) * block] = np.frombuffer(bytes(data), "<u2")
+    # a class holds the same share of the counters that are in use, or a single number
+    uses = np.bincount(coded, minlength=1 << 16)
+    uses[0] = 0
+    return (np.cumsum(uses) * 255 // max(1, uses.sum())).astype(np.uint8)[coded]
 
 
 def prints(rows: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """__ls_k, __ls_t, node (a hash of the words), __ls_f (SimHash fingerprint), n (distinct shingles), prefix and sketch for every row of rows."""
-    frequent = rows.sparkSession.sparkContext.broadcast(frequent_shingles(rows))
+    rare = rows.sparkSession.sparkContext.broadcast(rarity(rows))
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -141,7 +170,7 @@ def prints(rows: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
                 h = np.unique(h)
                 nodes.append(xxhash.xxh64_intdigest(b" ".join(t.translate(LOWER).split()), 42))
                 sizes.append(len(h))
-                all_.append(prefix(h, frequent.value, similarity).view(np.int64))
+                all_.append(prefix(h, rare.value, similarity).view(np.int64))
                 parts.append(sketch(h))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array(np.array(x, np.uint64).view(np.int64)) for x in (nodes, marks)), pa.array(sizes, pa.int64()), pa.array(all_, pa.list_(pa.int64())), pa.array(parts, pa.binary())], names=["__ls_k", "__ls_t", "node", "__ls_f", "n", "prefix", "sketch"])
 

@@ -6,6 +6,7 @@ import random
 
 import corpus_pipeline
 from lodeseek.llm import near_copies
+from lodeseek.llm.common import keyed
 
 SCHEMA = "doc_id long, text string"
 
@@ -153,3 +154,22 @@ def test_nodes_of_a_large_group_meet_its_centres_and_not_each_other(spark, monke
     assert {r["__ls_k"]: r["first"]["__ls_k"] for r in found} == {d: 0 if d <= 400 else d for d, _ in rows}
     # the pairs grow with the nodes, not with their square (some 320,000)
     assert sum(compared) < 12 * len(rows), compared
+
+
+def test_a_shingle_of_many_rows_enters_no_prefix_and_few_counters_change_no_group(spark, monkeypatch):
+    draw = random.Random(15)
+    passage, rows = words(draw, 8), []
+    for i in range(12_000):
+        w = words(draw, 20)
+        rows.append((i, " ".join(w[:10] + passage + w[10:] if i % 100 == 0 else w)))
+    docs = spark.createDataFrame(rows, SCHEMA).repartition(4)
+    common = set(near_copies.shingles(" ".join(passage).encode()).view("int64").tolist())
+    assert len(common) == 4
+    for r in near_copies.prints(keyed(docs).select("__ls_k", "__ls_t", "text")).where("__ls_k % 100 = 0").select("prefix").collect():
+        assert r.prefix and not common & set(r.prefix)
+    # copies with one other word of 40 at the end: 35 of 37 shingles; whatever the counters, the groups are the same
+    rows = [(10 * i + c, " ".join([*w[:39], x])) for i in range(60) for w in [words(draw, 40)] for c, x in enumerate(words(draw, 3))]
+    for bits in (3, 24):
+        monkeypatch.setattr(near_copies.rarity, "__defaults__", (bits,))
+        found = near_copies.first_of_groups(spark.createDataFrame(rows, SCHEMA)).collect()
+        assert {r["__ls_k"]: r["first"]["__ls_k"] for r in found} == {d: d // 10 * 10 for d, _ in rows}

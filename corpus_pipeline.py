@@ -37,7 +37,8 @@ def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     """One row of each group of near copies (operator 4 with five-word shingles, widened to a similarity of 0.8): the one with the smallest id, then text hash."""
     found = near_copies.first_of_groups(docs.select("doc_id", "text"))
     keep = found.where(F.struct("__ls_k", "__ls_t") == F.col("first")).select("__ls_k", "__ls_t")
-    kept = packed(docs).join(keep, ROW, "left_semi")
+    # merge joins at every size: what is kept or dropped grows with the documents
+    kept = packed(docs).join(keep.hint("merge"), ROW, "left_semi")
     # rows that agree in id and text are copies; this costs a shuffle of texts only where there are such rows
     twice = packed(docs).groupBy(*ROW).count().where("count > 1")
     if not twice.isEmpty():
@@ -51,7 +52,7 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     # a number for each distinct row stands for its id, so that rows that share an id are told apart
     rows = packed(docs.select("doc_id", "text")).select(F.xxhash64(*ROW).alias("doc_id"), "row.text")
     drop = decontamination.decontaminate(rows, benchmark).where("contaminated").select(F.col("doc_id").alias("__ls_r")).distinct()
-    return packed(docs).withColumn("__ls_r", F.xxhash64(*ROW)).join(drop, "__ls_r", "left_anti").select("row.*")
+    return packed(docs).withColumn("__ls_r", F.xxhash64(*ROW)).join(drop.hint("merge"), "__ls_r", "left_anti").select("row.*")
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,6 +1,6 @@
 """DuckDB SQL for the queries of this subpackage that SQL can express; plain restatements, for tables of moderate size.
 
-There is none for tokenizers (2, 3), XXH64 (4) and trained models (10).
+There is none for tokenizers (2, 3, 11), XXH64 (4), trained models (10) and CRC-32 (13).
 """
 
 from __future__ import annotations
@@ -108,6 +108,24 @@ SELECT doc_id, 'documents/' || doc_id || '/text' AS path, name AS license, score
 FROM documents LEFT JOIN (SELECT * FROM one WHERE r = 1) USING (doc_id)
 """
 
+#: Phrases of two and three words by their weakest cut; a pair goes if a frequent triple holds half of its occurrences.
+COLLOCATIONS = rf"""
+WITH piece AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array({_LOWER.format("coalesce(text, '')")}, '[.,;:!?\x0A-\x0D]')) AS p FROM documents),
+worded AS (SELECT lang, regexp_extract_all(p, '[^\x20\x09]+') AS w FROM piece),
+gram AS (SELECT lang, m, array_to_string(w[i:i + m - 1], ' ') AS phrase FROM (SELECT lang, w, m, unnest(range(1, len(w) - m + 2)) AS i FROM worded, (VALUES (1), (2), (3)) t(m) WHERE len(w) >= m)),
+f AS (SELECT lang, m, phrase, count(*) AS f FROM gram GROUP BY lang, m, phrase),
+size AS (SELECT lang, sum(f)::BIGINT AS n FROM f WHERE m = 1 GROUP BY lang),
+cut AS (SELECT lang, m, phrase, f AS a, k, array_to_string(string_split(phrase, ' ')[1:k], ' ') AS head, array_to_string(string_split(phrase, ' ')[k + 1:], ' ') AS tail
+  FROM f, (VALUES (1), (2)) t(k) WHERE m > k AND f >= 10),
+scored AS (SELECT cut.lang, cut.m, cut.phrase, a, k, x.f AS l, y.f AS r, (1000000::HUGEINT * a * a) // (x.f::HUGEINT * y.f) AS score
+  FROM cut JOIN f x ON x.lang = cut.lang AND x.m = k AND x.phrase = head JOIN f y ON y.lang = cut.lang AND y.m = cut.m - k AND y.phrase = tail),
+weakest AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, m, phrase ORDER BY score, k) = 1),
+inside AS (SELECT lang, part, max(f) AS most FROM (SELECT lang, f, unnest([array_to_string(string_split(phrase, ' ')[1:2], ' '), array_to_string(string_split(phrase, ' ')[2:3], ' ')]) AS part FROM f WHERE m = 3 AND f >= 10) GROUP BY lang, part),
+kept AS (SELECT w.* FROM weakest w LEFT JOIN inside ON w.m = 2 AND inside.lang = w.lang AND inside.part = w.phrase WHERE most IS NULL OR 100::HUGEINT * most < 50::HUGEINT * a),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase)) AS rank FROM kept)
+SELECT lang, rank, phrase, a, l, r, n, score::BIGINT AS score FROM ranked JOIN size USING (lang) WHERE rank <= 2000
+"""
+
 ORACLES = {
     "op1_substring_dedup": SUBSTRING_DEDUP,
     "op5_suffix_dedup": SUFFIX_DEDUP,
@@ -115,4 +133,5 @@ ORACLES = {
     "op7_line_dedup": LINE_DEDUP,
     "op8_licenses": LICENSES,
     "op9_decontamination": DECONTAMINATION,
+    "op12_collocations": COLLOCATIONS,
 }

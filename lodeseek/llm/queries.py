@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodeseek.llm import decontamination, licenses, line_dedup, packing, quality, simhash, substring_dedup, suffix_dedup, token_counts, topk
+from lodeseek.llm import best_fit, collocations, decontamination, licenses, line_dedup, packing, quality, resampling, simhash, substring_dedup, suffix_dedup, token_counts, topk
 from lodeseek.llm.oracles import ORACLES
 
 
@@ -57,8 +57,20 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return best_fit.pack(table(spark, sf_dir, "documents"))
+
+
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
+def op13_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_substring_dedup, op2_token_counts, op3_packing, op4_simhash, op5_suffix_dedup, op6_topk, op7_line_dedup, op8_licenses, op9_decontamination, op10_quality)}
+    return {f.__name__: f for f in (op1_substring_dedup, op2_token_counts, op3_packing, op4_simhash, op5_suffix_dedup, op6_topk, op7_line_dedup, op8_licenses, op9_decontamination, op10_quality, op11_best_fit, op12_collocations, op13_resampling)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -86,6 +86,18 @@ class Engine:
         encoder, _ = self.model(backend, model, device)
         return R.build_indexes(self.store, self.chunks([document]), self.store.load("pages", [document]), mode, s.dense_dimensions, s.late_max_doc_tokens, encoder, compression or s.visual_compression)
 
+    def seal(self) -> None:
+        """Orders the BM25 index of all documents by term, so that a question to all reads its own words only."""
+        s = settings()
+        if not self.store.exists("index_bm25"):
+            raise NotFoundError("No document has a BM25 index")
+        self.store.seal("document", s.bm25_k1, s.bm25_b)
+
+    def indexes(self, documents: list[str] | None) -> dict:
+        """The stored indexes of some documents; of all, with the index by term, if there is one."""
+        by_term = self.store.sealed() if documents is None else None
+        return self.store.index_tables(documents) | ({"bm25_by_term": by_term} if by_term else {})
+
     def pipeline(self, path: str, mode: str = "all", max_words: int | None = None, overlap_words: int | None = None, **engines) -> dict:
         document = self.ingest(path, **engines)
         return {"document_id": document, "chunk_count": self.chunk(document, max_words, overlap_words), "indexes": self.index(document, mode)}
@@ -108,7 +120,7 @@ class Engine:
         R.check_mode(mode)
         ids = self.scope(documents)
         q = R.one_question(self.spark, question)
-        found = settled(R.retrieve(mode, self.chunks(ids), self.store.load("pages", ids), q, k, indexes=self.store.index_tables(ids), question_vectors=self.asked_vectors(question), **self.made(), **(self.planning() | planning if mode == "planner" else {})))
+        found = settled(R.retrieve(mode, self.chunks(ids), self.store.load("pages", ids), q, k, indexes=self.indexes(ids), question_vectors=self.asked_vectors(question), **self.made(), **(self.planning() | planning if mode == "planner" else {})))
         needed = [i for m in (plan_query(question).routes if mode == "planner" else [mode]) for i in R.INDEXES[m]]
         lacking = self.store.lacking(list(dict.fromkeys(needed)), ids)
         for name, gone in lacking.items():

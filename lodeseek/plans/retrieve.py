@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from lodeseek.functions import vectors as V
 from lodeseek.operators import blocks as B
 from lodeseek.operators import graph as G
-from lodeseek.operators import images, merge
+from lodeseek.operators import images, merge, postings
 from lodeseek.operators import retrievers as R
 from lodeseek.plans import planner
 from lodeseek.session import settled
@@ -46,7 +46,8 @@ def retrieve(mode: str, chunks: DataFrame, pages: DataFrame | None, questions: D
 
     indexes: stored tables by name. With them, nothing is built again: a mode whose index is not among them finds
     nothing. Without them, each mode makes its rows from chunks and pages. With question_vectors (query_id, vectors) and
-    an index of model vectors, page retrieval goes by these.
+    an index of model vectors, page retrieval goes by these. An index by term (bm25_by_term, an object of postings.py) of the
+    same scope and settings goes before the table bm25.
     """
     check_mode(mode)
     made = {"k1": k1, "b": b, "dense_dimensions": dense_dimensions, "late_dimensions": late_dimensions, "question_vectors": question_vectors}
@@ -56,6 +57,9 @@ def retrieve(mode: str, chunks: DataFrame, pages: DataFrame | None, questions: D
         return chunks.sparkSession.createDataFrame([], EVIDENCE_SCHEMA)
     held = indexes or {}
     if mode == "bm25":
+        by_term = held.get("bm25_by_term")
+        if by_term is not None and (by_term.scope, by_term.k1, by_term.b) == (scope, k1, b):
+            return postings.bm25(by_term, chunks, questions, k)
         return R.bm25(chunks, questions, k, scope=scope, k1=k1, b=b, index=held.get("bm25"))
     if mode == "dense":
         return R.dense(chunks, questions, k, dense_dimensions, held.get("dense"))

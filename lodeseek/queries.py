@@ -14,11 +14,11 @@ from pyspark.sql import functions as F
 
 from lodeseek.functions import text as T
 from lodeseek.functions import vectors as V
-from lodeseek.operators import evaluate, evidence, graph, merge, profile, sensitive
+from lodeseek.operators import evaluate, evidence, graph, merge, postings, profile, sensitive
 from lodeseek.operators import retrievers as R
 from lodeseek.operators.chunking import chunk_pages, segments
 from lodeseek.plans import planner, retrieve
-from lodeseek.session import settled
+from lodeseek.session import settled, shared_folder
 from lodeseek.sources import ingest
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -304,6 +304,13 @@ def k1_bm25_corpus(spark, sf):
     return shown(R.bm25(doc_chunks(spark, sf), questions(spark, sf), 5, scope="corpus"))
 
 
+@query(f"WITH {CHUNKS}, {ASKED}, {TERMS}, {bm25_sql('')}, {best_sql('bm')}")
+def k1_bm25_stored(spark, sf):
+    """The same through an index that is built, written and read by term."""
+    index = postings.build(doc_chunks(spark, sf), f"{shared_folder(spark)}/bm25-{uuid.uuid4().hex}")
+    return shown(postings.bm25(index, doc_chunks(spark, sf), questions(spark, sf), 5))
+
+
 @query(f"WITH {CHUNKS}, {ASKED}, {TERMS}, {DENSE}, {best_sql('de')}")
 def k2_dense(spark, sf):
     return shown(R.dense(doc_chunks(spark, sf), questions(spark, sf), 5))

@@ -14,6 +14,7 @@ from datetime import UTC, datetime
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodeseek.operators import postings
 from lodeseek.session import settled
 
 BUCKETS = 256
@@ -40,6 +41,8 @@ class Store:
 
     def save(self, table: str, df: DataFrame) -> None:
         """Rows of some documents, which replace all they had. [B1] Older rows go only after the new ones are there."""
+        if table in ("chunks", "index_bm25"):
+            self.unseal()
         if table == "pages":
             df = df.withColumn("created_at", F.current_timestamp())
         df = settled(df.withColumn("bucket", F.pmod(F.crc32(F.col("document_id").cast("binary")), F.lit(BUCKETS)).cast("int")))
@@ -77,6 +80,25 @@ class Store:
         """The stored indexes by name, for some documents or all. [A11]"""
         return {t.removeprefix("index_"): self.load(t, documents) for t in TABLES if t.startswith("index_") and self.exists(t)}
 
+    def seal(self, scope: str, k1: float, b: float) -> None:
+        """Builds the index by term of all chunks whose documents have a BM25 index; the next write of either ends its use."""
+        chunks = self.load("chunks").join(self.load("index_bm25").select("document_id").distinct(), "document_id", "left_semi")
+        name = uuid.uuid4().hex
+        postings.build(chunks, f"{self.root}/bm25_by_term/{name}", scope, k1, b)
+        at, fs = self._fs(f"{self.root}/bm25_by_term/current")
+        out = fs.create(at, True)
+        out.write(bytearray(name.encode()))
+        out.close()
+
+    def unseal(self) -> None:
+        at, fs = self._fs(f"{self.root}/bm25_by_term")
+        fs.delete(at, True)
+
+    def sealed(self) -> postings.Index | None:
+        """The index by term, while it holds what is stored."""
+        at, fs = self._fs(f"{self.root}/bm25_by_term/current")
+        return postings.Index(self.spark, f"{self.root}/bm25_by_term/{self.spark.read.text(at.toString()).first()[0]}") if fs.exists(at) else None
+
     def lacking(self, names: list[str], documents: list[str] | None = None) -> dict[str, list[str]]:
         """For each of the indexes, the documents that have none, at most nine of them; only indexes that some document lacks."""
         known = self.load("chunks" if self.exists("chunks") else "pages", documents).select("document_id").distinct()

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from lodeseek.functions import text as T
 from lodeseek.functions import vectors as V
 from lodeseek.operators import blocks as B
+from lodeseek.operators import page_vectors as M
 
 EVIDENCE = ["query_id", "chunk_id", "document_id", "page_numbers", "text", "score", "retrieval_path", "rank", "metadata"]
 
@@ -191,23 +192,8 @@ def visual(pages: DataFrame, questions: DataFrame, k: int = 5, dimensions: int =
 
 
 def page_vectors(pages: DataFrame, asked: DataFrame, index: DataFrame, k: int = 5) -> DataFrame:
-    """Page retrieval by model vectors. index: document_id, chunk_id, chunk_index, vectors (compressed or not); asked: query_id, vectors. [K9]"""
-    items = index.select(F.col("chunk_id").alias("item_id"), V.maybe_dequantize(index, "vectors", rows=True).alias("vectors"))
-    scores = multi_vector_scores(items, asked).withColumnRenamed("item_id", "chunk_id").join(index.select(*B.KEY), "chunk_id")
+    """Page retrieval by model vectors. index: document_id, chunk_id, chunk_index, vectors (compressed or not) and, if it has them, centres and radii; asked: query_id, vectors. [K9]"""
+    items = index.withColumn("vectors", V.maybe_dequantize(index, "vectors", rows=True))
+    best, _ = M.search(items if "centres" in index.columns else M.summarised(items.select(*B.KEY, "vectors")), asked, k, ("document_id", "chunk_index", "chunk_id"))
     shown = pages.select(F.col("page_id").alias("chunk_id"), F.array(F.col("number").cast("int")).alias("page_numbers"), "text")
-    return as_evidence(top(scores, k), shown, "visual")
-
-
-# --- model vectors --------------------------------------------------------------------------------------------
-def multi_vector_scores(items: DataFrame, queries: DataFrame, block: int = 256) -> DataFrame:
-    """query_id, item_id, score: the sum over query vectors of the best product with an item's vectors. [K9]
-
-    items has item_id, vectors (array of arrays); queries has query_id, vectors. Queries come in blocks of about
-    ``block`` rows; every item meets every block once, by an equi-join on the block's number. All items are kept,
-    whatever their scores.
-    """
-    n = max(1, -(-queries.count() // block))
-    held = queries.groupBy(F.pmod(F.xxhash64("query_id"), F.lit(n)).cast("int").alias("block")).agg(F.collect_list(F.struct("query_id", "vectors")).alias("queries"))
-    best = lambda q, item: F.aggregate(F.transform(q, lambda a: F.coalesce(F.array_max(F.transform(item, lambda d: V.dot(a, d))), F.lit(0.0))), F.lit(0.0), lambda s, x: s + x)
-    rows = items.select("item_id", "vectors", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("block")).join(held, "block").select("item_id", "vectors", F.explode("queries").alias("q"))
-    return rows.select(F.col("q.query_id").alias("query_id"), "item_id", F.round(best(F.col("q.vectors"), F.col("vectors")), 9).alias("score"))
+    return as_evidence(ranked(best, k, ["query_id"]), shown, "visual")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from lodeseek.functions import vectors as V
 from lodeseek.operators import blocks as B
 from lodeseek.operators import graph as G
-from lodeseek.operators import images, merge, postings
+from lodeseek.operators import images, merge, page_vectors, postings
 from lodeseek.operators import retrievers as R
 from lodeseek.plans import planner
 from lodeseek.session import settled
@@ -135,7 +135,10 @@ def build_indexes(store, chunks: DataFrame, pages: DataFrame, mode: str = "all",
             raise ValueError("No page images to index")
         pixels = store.spark.read.format("image").option("dropInvalid", "true").load(paths).select(F.regexp_replace("image.origin", "^file:/*", "/").alias("page_id"), "image")
         vectors = images.encode_pages(pixels, encoder).select(F.col("item_id").alias("path"), V.maybe_compress(F.col("vectors"), compression, rows=True).alias("vectors"))
-        store.save("index_vectors", drawn.join(vectors, "path").drop("path"))
+        rows = drawn.join(vectors, "path").drop("path")
+        # summaries are of the numbers that are stored; kept under their own key, so that compression stays as it is
+        made_of = page_vectors.summarised(rows.select(*B.KEY, V.maybe_dequantize(rows, "vectors", rows=True).alias("vectors"))).drop("vectors")
+        store.save("index_vectors", rows.join(made_of, B.KEY))
         made.append("index_vectors")
     return made
 

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from lodeseek.functions import text as T
 from lodeseek.functions import vectors as V
-from lodeseek.operators import evaluate, evidence, graph, merge, postings, profile, sensitive
+from lodeseek.operators import evaluate, evidence, graph, merge, page_vectors, postings, profile, sensitive
 from lodeseek.operators import retrievers as R
 from lodeseek.operators.chunking import chunk_pages, segments
 from lodeseek.plans import planner, retrieve
@@ -359,18 +359,24 @@ def k6_visual_text(spark, sf):
 @query("""WITH q AS (SELECT vec_id AS query_id, embedding AS e FROM embeddings WHERE vec_id % 20 = 0), s AS (SELECT query_id, vec_id AS item_id, round(list_dot_product(list_transform(e, lambda x: x::DOUBLE), list_transform(embedding, lambda x: x::DOUBLE)), 6) AS score FROM q, embeddings)
 SELECT query_id, item_id, rank, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, item_id) AS rank FROM s) WHERE rank <= 5""")
 def emb_dot_topk(spark, sf):
-    e = table(spark, sf, "embeddings").select(F.col("vec_id").alias("item_id"), F.array("embedding").alias("vectors"))
-    s = R.multi_vector_scores(e, e.where("item_id % 20 = 0").withColumnRenamed("item_id", "query_id")).withColumn("score", F.round("score", 6))
-    return s.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "item_id")).cast("bigint")).where("rank <= 5")
+    e = table(spark, sf, "embeddings").select(F.col("vec_id").alias("item_id"), F.array(F.col("embedding").cast("array<double>")).alias("vectors"))
+    return five_best(e, e.where("item_id % 20 = 0").withColumnRenamed("item_id", "query_id"))
+
+
+def five_best(items: DataFrame, asked: DataFrame) -> DataFrame:
+    best, _ = page_vectors.search(settled(page_vectors.summarised(items)), asked, 5)
+    best = best.withColumn("score", F.round("score", 6))
+    return best.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "item_id")).cast("bigint"))
 
 
 @query("""WITH d AS (SELECT vec_id // 25 AS item_id, vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS d FROM embeddings), a AS (SELECT item_id AS query_id, vec_id, d AS a FROM d WHERE vec_id % 20 = 0),
-m AS (SELECT query_id, item_id, a.vec_id, max(list_dot_product(a, d)) AS m FROM a, d GROUP BY ALL) SELECT query_id, item_id, round(sum(m), 6) AS score FROM m GROUP BY ALL""")
+m AS (SELECT query_id, item_id, a.vec_id, max(list_dot_product(a, d)) AS m FROM a, d GROUP BY ALL), s AS (SELECT query_id, item_id, round(sum(m), 6) AS score FROM m GROUP BY ALL)
+SELECT query_id, item_id, rank, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, item_id) AS rank FROM s) WHERE rank <= 5""")
 def k9_multi_vector(spark, sf):
-    """Items of 25 vectors each; the vectors with an id divisible by 20 ask, item by item."""
+    """Items of 25 vectors each; the vectors with an id divisible by 20 ask, item by item; the five best of each."""
     e = table(spark, sf, "embeddings").withColumn("item_id", F.expr("vec_id div 25"))
-    gathered = lambda df, name: df.groupBy(F.col("item_id").alias(name)).agg(F.transform(F.array_sort(F.collect_list(F.struct("vec_id", "embedding"))), lambda x: x["embedding"]).alias("vectors"))
-    return R.multi_vector_scores(gathered(e, "item_id"), gathered(e.where("vec_id % 20 = 0"), "query_id")).withColumn("score", F.round("score", 6))
+    gathered = lambda df, name: df.groupBy(F.col("item_id").alias(name)).agg(F.transform(F.array_sort(F.collect_list(F.struct("vec_id", F.col("embedding").cast("array<double>").alias("embedding")))), lambda x: x["embedding"]).alias("vectors"))
+    return five_best(gathered(e, "item_id"), gathered(e.where("vec_id % 20 = 0"), "query_id"))
 
 
 # --- graph ----------------------------------------------------------------------------------------------------

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from lodeseek.functions import text as T
 from lodeseek.functions import vectors as V
-from lodeseek.operators import evaluate, evidence, graph, images, merge, profile, sensitive
+from lodeseek.operators import evaluate, evidence, graph, images, merge, page_vectors, profile, sensitive
 from lodeseek.operators import retrievers as R
 from lodeseek.operators.chunking import chunk_pages
 from lodeseek.plans import planner, retrieve
@@ -422,6 +422,7 @@ def test_image_profiles_and_ocr():
 def test_encoders_score_by_best_vectors(spark):
     items = spark.createDataFrame([("a", [[1.0, 0.0], [0.0, 1.0]]), ("b", [[0.5, 0.5]]), ("c", [])], "item_id string, vectors array<array<double>>")
     q = spark.createDataFrame([("q", [[1.0, 0.0], [0.0, 2.0]])], "query_id string, vectors array<array<double>>")
-    assert {r.item_id: r.score for r in R.multi_vector_scores(items, q).collect()} == {"a": 3.0, "b": 1.5, "c": 0.0}
+    best, share = page_vectors.search(page_vectors.summarised(items), q, 3)
+    assert {r.item_id: r.score for r in best.collect()} == {"a": 3.0, "b": 1.5, "c": 0.0} and share == 1
     with pytest.raises(images.EncoderUnavailableError, match="No page encoder"):
         images.encode_pages(items, None)

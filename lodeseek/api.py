@@ -164,6 +164,8 @@ class Engine:
         for kind, name in (("kg_sections", "section"), ("kg_entities", "entity"), ("kg_references", "ref")):
             rows = self.store.load(kind, [document]) if self.store.exists(kind) else None
             out["knowledge_graph"][kind.removeprefix("kg_")] = {"count": rows.count() if rows is not None else 0, "first": [r[name] for r in rows.orderBy(name).limit(50).collect()] if rows is not None else []}
+        stats = self.store.load("kg_stats", [document]).drop("document_id").first() if self.store.exists("kg_stats") else None
+        out["knowledge_graph"]["stats"] = stats.asDict(True) if stats else None
         return out
 
     def handle(self, kind: str, params: dict) -> dict:

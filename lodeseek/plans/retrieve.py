@@ -124,7 +124,7 @@ def build_indexes(store, chunks: DataFrame, pages: DataFrame, mode: str = "all",
             df = B.dense_rows(R.visual_items(visual_pages(pages)), dense_dimensions, ("has_image",))
         else:
             df = G.index_rows(chunks).drop("scope")
-            for kind, rows in (("kg_sections", G.knowledge_sections(chunks, "document")), ("kg_entities", G.knowledge_entities(chunks, "document")), ("kg_references", G.knowledge_references(chunks, "document"))):
+            for kind, rows in (("kg_sections", G.knowledge_sections(chunks, "document")), ("kg_entities", G.knowledge_entities(chunks, "document")), ("kg_references", G.knowledge_references(chunks, "document")), ("kg_stats", G.knowledge_stats(chunks, "document"))):
                 store.save(kind, rows.withColumnRenamed("scope", "document_id"))
         store.save(f"index_{name}", df)
         made.append(f"index_{name}")

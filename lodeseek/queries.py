@@ -448,6 +448,22 @@ def k11_graph_search(spark, sf):
     return found.select("query_id", "chunk_id", F.round("score", 6).alias("score"), F.col("rank").cast("bigint").alias("rank"))
 
 
+@query(f"""WITH {SAYING}, m AS (SELECT document_id, b, count(*) AS m, string_agg(chunk_id, ',' ORDER BY chunk_id) AS ids FROM g GROUP BY ALL)
+SELECT document_id AS scope, 'table:' || b AS ref, ids AS sources, CASE WHEN m > 1 THEN ids ELSE '' END AS targets, document_id AS documents FROM m""")
+def k12_references(spark, sf):
+    rows = graph.knowledge_references(graph_chunks(spark, sf), "document")
+    joined = lambda c, name: F.array_join(c, ",").alias(name)
+    return rows.select("scope", "ref", joined("source_chunk_ids", "sources"), joined("target_chunk_ids", "targets"), joined("document_ids", "documents"))
+
+
+@query(f"""WITH {SAYING}, c AS (SELECT document_id AS scope, count(*) AS chunks, count(DISTINCT a) AS entities, count(DISTINCT b) AS refs FROM g GROUP BY 1),
+e AS (SELECT scope, sum(m * (m - 1)) AS n FROM (SELECT document_id AS scope, count(*) AS m FROM g GROUP BY document_id, a) GROUP BY 1), r AS (SELECT scope, sum(m * (m - 1)) AS n FROM (SELECT document_id AS scope, count(*) AS m FROM g GROUP BY document_id, b) GROUP BY 1)
+SELECT scope, chunks, 1::BIGINT AS documents, 0::BIGINT AS sections, entities, refs AS "references", (2 * (chunks - 1) + e.n + 2 * r.n)::BIGINT AS edges, r.n::BIGINT AS "referring" FROM c JOIN e USING (scope) JOIN r USING (scope)""")
+def k12_graph_stats(spark, sf):
+    rows = graph.knowledge_stats(graph_chunks(spark, sf), "document")
+    return rows.withColumn("referring", F.coalesce(F.try_element_at("relations", F.lit("reference")), F.lit(0).cast("long"))).drop("relations")
+
+
 # --- planner, merge, cards ------------------------------------------------------------------------------------
 TALK = ["show the diagram of", "figure", "compare the totals in the tables of", "which rows hold the", "compare related sections on", "what does the appendix cite on", "what is common to both", "why is there a", "invoice 4711 for", "summaries across documents on", "page layout of the form for", "states of matter in"]
 

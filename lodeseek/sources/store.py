@@ -18,7 +18,7 @@ from lodeseek.operators import postings
 from lodeseek.session import settled
 
 BUCKETS = 256
-TABLES = ("pages", "profiles", "chunks", "index_bm25", "index_dense", "index_late", "index_visual", "index_vectors", "index_graph", "kg_sections", "kg_entities", "kg_references")
+TABLES = ("pages", "profiles", "chunks", "index_bm25", "index_dense", "index_late", "index_visual", "index_vectors", "index_graph", "kg_sections", "kg_entities", "kg_references", "kg_stats")
 
 
 class Store:

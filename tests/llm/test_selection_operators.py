@@ -41,8 +41,9 @@ def by_key(rows) -> list[tuple]:
 # -- best-fit packing
 
 
-def test_best_fit_packing(docs):
-    got = best_fit.pack(docs, size=256, group=40).collect()
+@pytest.mark.parametrize(("group", "over"), [(40, 2), (2000, 0)])
+def test_best_fit_packing(docs, group, over):
+    got = best_fit.pack(docs, size=256, group=group).collect()
     library, expected, ids = load("byte_bpe_50k.json"), Counter(), Counter()
     for doc, text, *_ in rows_of():
         data = [*library.encode(text or "", add_special_tokens=False).ids, 0]
@@ -59,21 +60,21 @@ def test_best_fit_packing(docs):
         spans.sort()
         assert spans[0][0] == 0 and all(a + n == b for (a, n), (b, _) in zip(spans, spans[1:], strict=False)) and sum(spans[-1]) <= 256
     # the least number of sequences that the tokens allow is 76
-    assert len(places) <= -(-sum(r.length for r in got) // 256) + 1
+    assert len(places) <= -(-sum(r.length for r in got) // 256) + over
     assert best_fit.pack(docs.limit(0)).collect() == []
 
 
 @pytest.mark.parametrize(("low", "high", "over"), [(1, 300, 0), (100, 900, 1), (200, 1900, 24)])
 def test_local_search_only_improves_and_keeps_every_item(low, high, over):
     lengths = np.random.default_rng(low).integers(low, high, 700)
-    start = best_fit.best_fit(lengths, list(range(700)), 2048)
+    start = best_fit.best_fit(lengths, 2048)
     search = best_fit.Search(lengths, [list(b) for b in start], 2048)
-    before = sum(x * x for x in search.fill)
+    before = (search.fill**2).sum()
     search.run()
     assert sorted(i for b in search.bins for i in b) == list(range(700))
     assert all(sum(int(lengths[i]) for i in b) == f <= 2048 for b, f in zip(search.bins, search.fill, strict=True))
-    assert sum(x * x for x in search.fill) >= before and search.used() <= len(start) and (search.used() < len(start) or len(start) == search.least)
-    bins, offsets, free = best_fit.pack_lengths(lengths, 2048)
+    assert (search.fill**2).sum() >= before and search.used() <= len(start) and (search.used() < len(start) or len(start) == search.least)
+    bins, offsets, free = best_fit.pack_lengths(lengths, 2048, 16)
     assert len(set(bins.tolist())) <= max(-(-int(lengths.sum()) // 2048), int((lengths > 1024).sum())) + over
     for b in set(bins.tolist()):
         inside = np.flatnonzero(bins == b)
@@ -84,11 +85,11 @@ def test_exchanges_one_for_one_two_for_one_and_moves():
     # a move, one for one, two for one and one for two: the fill of the first bin, which the second one gives to
     for lengths, bins, filled in (([6, 3, 1], [[0], [1, 2]], 9), ([6, 2, 4], [[0, 1], [2]], 10), ([3, 2, 3, 7], [[0, 1, 2], [3]], 10), ([5, 4, 3, 3], [[0, 1], [2, 3]], 10)):
         s = best_fit.Search(np.array(lengths), [list(b) for b in bins], 10)
-        squares = sum(x * x for x in s.fill)
-        assert s.take(0, [1]) and s.fill[0] == filled and sum(x * x for x in s.fill) > squares
+        squares = (s.fill**2).sum()
+        assert s.take(0) and s.fill[0] == filled and (s.fill**2).sum() > squares
     # two of its own for one of the other: 3 + 2 go for 6
     s = best_fit.Search(np.array([3, 2, 4, 6, 1]), [[0, 1, 2], [3, 4]], 10)
-    assert s.take(0, [1]) and s.fill[0] == 10
+    assert s.take(0) and s.fill.tolist() == [10, 6] and [sorted(b) for b in s.bins] == [[2, 3], [0, 1, 4]]
 
 
 def test_ids_of_best_fit_equal_the_library():

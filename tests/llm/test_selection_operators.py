@@ -88,8 +88,8 @@ def test_exchanges_one_for_one_two_for_one_and_moves():
         squares = (s.fill**2).sum()
         assert s.take(0) and s.fill[0] == filled and (s.fill**2).sum() > squares
     # two of its own for one of the other: 3 + 2 go for 6
-    s = best_fit.Search(np.array([3, 2, 4, 6, 1]), [[0, 1, 2], [3, 4]], 10)
-    assert s.take(0) and s.fill.tolist() == [10, 6] and [sorted(b) for b in s.bins] == [[2, 3], [0, 1, 4]]
+    s = best_fit.Search(np.array([3, 2, 4, 6, 2]), [[0, 1, 2], [3, 4]], 10)
+    assert s.take(0) and s.fill.tolist() == [10, 7] and [sorted(b) for b in s.bins] == [[2, 3], [0, 1, 4]]
 
 
 def test_ids_of_best_fit_equal_the_library():

@@ -152,7 +152,10 @@ class Engine:
         """planning: planner_* entries that go before the manifest's."""
         found = evaluation.load_manifest(manifest) if isinstance(manifest, str) else manifest
         check(top_k=top_k)
-        return evaluation.run(self.spark, found | planning, self.chunks(), self.store.load("pages"), top_k, modes)
+        _, encode = self.model() if self.encoders else (None, None)
+        vectors = (lambda question: [[float(x) for x in v] for v in encode(question)]) if encode else None
+        stored = evaluation.Stored(self.indexes, self.store.lacking, vectors, **self.made())
+        return evaluation.run(self.spark, found | planning, self.chunks(), self.store.load("pages"), top_k, modes, stored, self.planning())
 
     def document(self, document: str) -> dict:
         """Catalog row, profile, and the numbers and names of the knowledge graph of a document. [Q5]"""

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodeseek.session import settled as written
+
 CASE = "case_id string, query string, expected_terms array<string>, expected_pages array<int>"
 
 
@@ -91,15 +93,44 @@ def recall(expected: DataFrame, observed: DataFrame) -> DataFrame:
     return rows.groupBy("kind").agg(F.count("*").alias("expected"), F.count_if("seen").alias("found"), F.round(F.count_if("seen") / F.count("*"), 9).alias("recall"), F.array_sort(F.collect_list(F.when(F.col("seen").isNull(), F.col("name")))).alias("missing"))
 
 
+def recall_by_tier(expected: DataFrame, observed: DataFrame) -> DataFrame:
+    """tier (null: all documents), kind, expected, found, recall, missing. expected: tier, kind, name; observed: tier, kind, name. [F17, G20]
+
+    A name that is expected of a tier must be seen in that tier; one that is expected of all, anywhere.
+    """
+    want = expected.select("tier", "kind", "name", F.lower("name").alias("key")).distinct()
+    have = observed.select(F.explode(F.array("tier", F.lit(None).cast("string"))).alias("t"), F.col("kind").alias("k"), F.lower("name").alias("n")).distinct().withColumn("seen", F.lit(True))
+    rows = want.join(have, F.col("tier").eqNullSafe(F.col("t")) & (F.col("kind") == F.col("k")) & (F.col("key") == F.col("n")), "left")
+    return rows.groupBy("tier", "kind").agg(F.count("*").alias("expected"), F.count_if(F.coalesce("seen", F.lit(False))).alias("found"), F.round(F.count_if(F.coalesce("seen", F.lit(False))) / F.count("*"), 9).alias("recall"), F.array_sort(F.collect_list(F.when(F.col("seen").isNull(), F.col("name")))).alias("missing"))
+
+
+SIZES = {"nodes": "chunk", "sections": "section", "entities": "entity", "references": "reference"}
+
+
+def extraction_by_tier(facts: DataFrame, relations: DataFrame) -> DataFrame:
+    """tier (null: all), documents, the totals of SIZES and edges over documents, their averages (average_...), relations (map). [G19, P4]
+
+    facts: rows of extraction_facts; relations: document_id, tier, relation, n.
+    """
+    per = facts.groupBy("document_id", "tier").agg(*[F.count_distinct(F.when(F.col("kind") == kind, F.col("name"))).alias(name) for name, kind in SIZES.items()])
+    per = per.join(relations.groupBy("document_id").agg(F.sum("n").alias("edges")), "document_id", "left").withColumn("edges", F.coalesce("edges", F.lit(0).cast("long")))
+    names = [*SIZES, "edges"]
+    sums = per.rollup("tier").agg(F.count("*").alias("documents"), *[F.sum(c).alias(c) for c in names], *[F.round(F.avg(c), 9).alias(f"average_{c}") for c in names])
+    said = relations.select(F.explode(F.array("tier", F.lit(None).cast("string"))).alias("of"), "relation", "n").groupBy("of", "relation").agg(F.sum("n").alias("n"))
+    said = said.groupBy("of").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("relation", "n")))).alias("relations"))
+    return sums.join(said, F.col("tier").eqNullSafe(F.col("of")), "left").drop("of")
+
+
 def expected_by_tier(manifest: dict) -> list[dict]:
     """kind, tier (null: all), values: the distinct values that a manifest and its queries expect. [G20]"""
     out = []
+    parts = [manifest, *manifest.get("queries", [])]
     for kind in ("entities", "references", "sections"):
-        every = set(manifest.get(f"expected_{kind}") or ())
-        for q in manifest.get("queries", []):
-            every |= set(q.get(f"expected_{kind}") or ())
-        by = {t: set(v) for t, v in (manifest.get(f"expected_{kind}_by_tier") or {}).items()}
-        every = every.union(*by.values())
+        every = {str(v) for p in parts for v in p.get(f"expected_{kind}") or ()}
+        by: dict[str, set] = {}
+        for p in parts:
+            for tier, values in (p.get(f"expected_{kind}_by_tier") or {}).items():
+                by.setdefault(str(tier), set()).update(map(str, values))
         out += [{"kind": kind, "tier": t, "values": sorted(v)} for t, v in [(None, every), *sorted(by.items())] if v]
     return out
 
@@ -172,68 +203,133 @@ def settled(df: DataFrame) -> DataFrame:
     return df.sparkSession.createDataFrame(df.collect(), df.schema)
 
 
-def run(spark, manifest: dict, chunks: DataFrame, pages: DataFrame, k: int = 5, modes: tuple[str, ...] = ("bm25", "dense", "hybrid", "planner")) -> dict:
+PARAMETERS = {"strategy": "planner_merge_strategy", "rerank": "planner_rerank", "vote_bonus": "planner_route_vote_bonus", "overlap_weight": "planner_rerank_overlap_weight"}
+
+
+def parameters(given: dict, defaults: dict) -> dict:
+    """The planner's parameters of a manifest or a case; what it does not name is as in defaults. [F15]"""
+    from lodeseek.plans.planner import check_strategy
+
+    out = {name: type(defaults[name])(given[key]) if key in given and name != "rerank" else boolean(given.get(key, defaults[name])) if name == "rerank" else defaults[name] for name, key in PARAMETERS.items()}
+    check_strategy(out["strategy"])
+    return out
+
+
+def scope_of(case: dict, manifest: dict) -> tuple[str, ...]:
+    """The documents of a case: its own document, the manifest's, its own list, the manifest's list; an error without any. [F15]"""
+    one = case.get("document_id") or manifest.get("document_id")
+    found = (one,) if one else tuple(case.get("document_ids") or manifest.get("document_ids") or ())
+    if not found:
+        raise ValueError("Each case needs document_id or document_ids, or the manifest must have them")
+    return found
+
+
+class Stored:
+    """What evaluation reads of a store: indexes(documents), lacking(names, documents), vectors(question) and the settings that made them."""
+
+    def __init__(self, indexes, lacking, vectors=None, **made):
+        self.indexes, self.lacking, self.vectors, self.made = indexes, lacking, vectors, made
+
+
+def swept(hits: DataFrame, variants: list[dict], cases: DataFrame, k: int) -> DataFrame:
+    """mode_metrics with ordinal, of each variant, in one plan: variants are rows of the questions. [F16, P3]
+
+    hits: of all cases, found once; cases: CASE.
+    """
+    from lodeseek.operators import evidence as M
+    from lodeseek.operators import merge
+
+    row = lambda n, v: F.struct(F.lit(n).alias("ordinal"), F.lit(v["merge_strategy"]).alias("strategy"), F.lit(v["rerank"]).alias("rerank"), F.lit(v["route_vote_bonus"]).alias("vote_bonus"), F.lit(v["rerank_overlap_weight"]).alias("overlap_weight"))
+    asked = cases.select("case_id", F.col("query").alias("question"), F.inline(F.array(*[row(n, v) for n, v in enumerate(variants)])))
+    asked = asked.withColumn("query_id", F.concat(F.col("ordinal").cast("string"), F.lit(":"), F.col("case_id")))
+    each = hits.withColumnRenamed("query_id", "case_id").join(asked.select("query_id", "case_id"), "case_id").drop("case_id")
+    found = written(merge.merged(each, asked, k))  # at most k rows a question
+    cards = M.cards(found, asked)
+    cards = cards.join(M.supported(cards), "query_id").select("query_id", "answerable", "supported", "confidence")
+    part = lambda df: df.join(asked.select("query_id", "case_id", "ordinal"), "query_id").drop("query_id")
+    return mode_metrics(case_metrics(cases, part(found), part(cards), ("ordinal",)), ("ordinal",))
+
+
+def run(spark, manifest: dict, chunks: DataFrame, pages: DataFrame, k: int = 5, modes: tuple[str, ...] = ("bm25", "dense", "hybrid", "planner"), stored: Stored | None = None, defaults: dict | None = None) -> dict:
     """A report over a manifest's queries: per-mode metrics, planner against the others, and its sweep. [P1, P3]
 
-    A manifest's document_id goes before a case's own documents; all cases of one scope are one batch.
+    All cases of one scope are one batch. With stored, every mode reads the store's indexes by its settings, as a
+    query does; an index that documents lack leaves its mode or route without hits there, and the report names it
+    (missing_indexes). Without it, rows are made from chunks and pages.
     """
     from lodeseek.operators import evidence as M
     from lodeseek.operators import graph, merge
+    from lodeseek.operators import retrievers as R
     from lodeseek.plans import retrieve
 
     for m in modes:
         retrieve.check_mode(m)
-    cases, by_scope = [], {}
+    plan = parameters(manifest, defaults or {"strategy": "score_max", "rerank": True, "vote_bonus": 0.08, "overlap_weight": 0.10})
+    cases, own, by_scope = [], {}, {}
     for i, q in enumerate(manifest.get("queries", [])):
-        one = manifest.get("document_id") or q.get("document_id")
-        scope = (one,) if one else tuple(q.get("document_ids") or manifest.get("document_ids") or ())
         cases.append((str(i), q["query"], q.get("expected_terms", []), q.get("expected_pages", [])))
-        by_scope.setdefault(scope, []).append((str(i), q["query"]))
+        own[str(i)] = parameters(q, plan)
+        by_scope.setdefault(scope_of(q, manifest), []).append((str(i), q["query"]))
     table = spark.createDataFrame(cases, CASE)
-    plan = {"strategy": manifest.get("planner_merge_strategy", "score_max"), "rerank": boolean(manifest.get("planner_rerank", True)), "vote_bonus": float(manifest.get("planner_route_vote_bonus", 0.08)), "overlap_weight": float(manifest.get("planner_rerank_overlap_weight", 0.10))}
     evidence = cards = hits = None
     variants = sweep_variants(manifest.get("planner_sweep"), plan["vote_bonus"], plan["overlap_weight"])
     add = lambda a, b: b if a is None else a.unionByName(b)
+    report: dict = {"missing_indexes": []}
+    made = stored.made if stored else {}
     for scope, rows in by_scope.items():
-        questions = spark.createDataFrame(rows, "query_id string, question string")
-        own = (chunks.where(F.col("document_id").isin(*scope)), pages.where(F.col("document_id").isin(*scope))) if scope else (chunks, pages)
+        questions = spark.createDataFrame([(*r, *(own[r[0]][c] for c in PARAMETERS)) for r in rows], "query_id string, question string, strategy string, rerank boolean, vote_bonus double, overlap_weight double")
+        plain = questions.select("query_id", "question")
+        here = chunks.where(F.col("document_id").isin(*scope)), pages.where(F.col("document_id").isin(*scope))
+        indexes = stored.indexes(list(scope)) if stored else None
+        vectors = [(i, v) for i, q in rows if (v := stored.vectors(q))] if stored and stored.vectors else []
+        asked = {"question_vectors": spark.createDataFrame(vectors, "query_id string, vectors array<array<double>>")} if vectors else {}
+        planned = None
+        if variants or "planner" in modes:
+            planned = settled(retrieve.planner_hits(*here, plain, k, "document", indexes=indexes, **made, **asked))  # once for the mode and all variants
+            hits = add(hits, planned)
         for m in modes:
-            e = settled(retrieve.retrieve(m, *own, questions, k, **(plan if m == "planner" else {})))
-            c = M.cards(e, questions)
+            e = settled(merge.merged(planned, questions, k).select(*R.EVIDENCE) if m == "planner" else retrieve.retrieve(m, *here, plain, k, indexes=indexes, **made, **asked))
+            c = M.cards(e, plain)
             evidence = add(evidence, e.withColumn("mode", F.lit(m)))
             cards = add(cards, c.join(M.supported(c), "query_id").select("query_id", "answerable", "supported", "confidence", F.lit(m).alias("mode")))
-        if variants:
-            hits = add(hits, settled(retrieve.planner_hits(*own, questions, k, "document")))  # once for all variants
+        if stored:
+            for name, gone in stored.lacking(sorted({x for m in modes for x in retrieve.INDEXES[m]}), list(scope)).items():
+                report["missing_indexes"].append({"index": name, "documents": gone, "modes": [m for m in modes if name in retrieve.INDEXES[m]], "cases": [i for i, _ in rows]})
     ids = lambda df: df.withColumnRenamed("query_id", "case_id")
     metrics = settled(case_metrics(table, ids(evidence), ids(cards)))
     by_mode = mode_metrics(metrics)
-    report = {"cases": [r.asDict(True) for r in metrics.orderBy("case_id", "mode").collect()], "modes": {r["mode"]: r.asDict() for r in by_mode.collect()}}
+    report |= {"cases": [r.asDict(True) | ({"planner": own[r["case_id"]]} if r["mode"] == "planner" else {}) for r in metrics.orderBy("case_id", "mode").collect()], "modes": {r["mode"]: r.asDict() for r in by_mode.collect()}}
     if "planner" in modes and len(modes) > 1:
         report["planner_vs_static"] = [r.asDict(True) for r in planner_against_static(by_mode).orderBy("metric").collect()]
     if variants:
-        asked = spark.createDataFrame([(c[0], c[1]) for c in cases], "query_id string, question string")
-        report["sweep"] = []
-        for n, v in enumerate(variants):
-            e = merge.merged(hits, asked, k, strategy=v["merge_strategy"], rerank=v["rerank"], vote_bonus=v["route_vote_bonus"], overlap_weight=v["rerank_overlap_weight"])
-            c = M.cards(e, asked)
-            c = c.join(M.supported(c), "query_id").select("query_id", "answerable", "supported", "confidence", F.lit(v["name"]).alias("mode"))
-            got = mode_metrics(case_metrics(table, ids(e.withColumn("mode", F.lit(v["name"]))), ids(c))).first()
-            report["sweep"].append({**v, "ordinal": n, **{x: y for x, y in got.asDict().items() if x != "mode"}})
-        lead = lambda c: max(report["sweep"], key=lambda v: (v[c], -v["ordinal"]))["name"]
-        report["best_by_mrr"], report["best_by_confidence"] = lead("mrr"), lead("average_confidence")
+        got = settled(swept(hits, variants, table, k))
+        told = {r["ordinal"]: r.asDict() for r in got.collect()}
+        report["sweep"] = [{**v, **told[n]} for n, v in enumerate(variants)]
+        names = spark.createDataFrame([(n, v["name"]) for n, v in enumerate(variants)], "ordinal int, variant string")
+        report |= sweep_best(got.join(names, "ordinal")).first().asDict()
     report["visual_diagnostics"] = visual_diagnostics(ids(evidence), len(cases)) if cases else {}
-    n = graph.nodes(chunks)
+    named = sorted({d for scope in by_scope for d in scope})
+    inside = chunks.where(F.col("document_id").isin(*named)) if named else chunks.limit(0)
+    n = graph.nodes(inside)
+    relations = settled(graph.relation_counts(inside))  # at most eleven rows a document
     if cases and {"graph", "planner"} & set(modes):
-        report["graph_diagnostics"] = graph_diagnostics(ids(evidence), graph.relation_counts(chunks), chunks)
-    documents = pages.groupBy("document_id").agg(F.first("metadata").alias("metadata"))
-    facts = extraction_facts(n, tiers(documents, manifest.get("document_quality_tiers")))
-    report["graph_extraction"] = [r.asDict() for r in tier_rollup(facts).orderBy("tier").collect()]
+        report["graph_diagnostics"] = graph_diagnostics(ids(evidence), relations, inside)
+    documents = pages.where(F.col("document_id").isin(*named)).groupBy("document_id").agg(F.first("metadata").alias("metadata")) if named else pages.limit(0).select("document_id", "metadata")
+    labelled: dict[str, str] = {}
+    for part in (manifest, *manifest.get("queries", [])):
+        labelled |= {str(d): str(t) for d, t in (part.get("document_quality_tiers") or {}).items()}
+    tier_of = settled(tiers(documents, labelled))
+    facts = extraction_facts(n, tier_of)
+    counts = relations.withColumnRenamed("scope", "document_id").join(F.broadcast(tier_of), "document_id").select("document_id", "tier", "relation", "n")
+    report["graph_extraction"] = [r.asDict(True) for r in extraction_by_tier(facts, counts).orderBy("tier").collect()]
+    there = {r["document_id"] for r in n.select("document_id").distinct().collect()}  # of those that the manifest names
+    report["missing_documents"] = [d for d in named if d not in there]
     report["expected"] = expected_by_tier(manifest)
     if report["expected"]:
         single = {"entities": "entity", "references": "reference", "sections": "section"}
-        want = spark.createDataFrame([(single[e["kind"]], v) for e in report["expected"] if e["tier"] is None for v in e["values"]], "kind string, name string")
-        found = facts.join(F.broadcast(want.select("kind").distinct()), "kind").select("kind", "name").distinct()
-        report["recall"] = [r.asDict(True) for r in recall(want, found).orderBy("kind").collect()]
+        want = spark.createDataFrame([(e["tier"], single[e["kind"]], v) for e in report["expected"] for v in e["values"]], "tier string, kind string, name string")
+        found = facts.join(F.broadcast(want.select("kind").distinct()), "kind").select("tier", "kind", "name").distinct()
+        report["recall"] = [r.asDict(True) for r in recall_by_tier(want, found).orderBy("kind", "tier").collect()]
     return report
 
 
@@ -247,5 +343,5 @@ def markdown(report: dict) -> str:
         show = lambda v: f"{v:.3f}" if isinstance(v, float) else ", ".join(map(str, v)) if isinstance(v, list) else str(v)
         return [f"## {title}", "", "| " + " | ".join(names) + " |", "|" + "---|" * len(names), *("| " + " | ".join(show(r[n]) for n in names) + " |" for r in rows), ""]
 
-    out = ["# Evaluation report", "", *table("Mode Metrics", list(report["modes"].values())), *table("Planner vs Static", report.get("planner_vs_static", [])), *table("Planner Sweep", report.get("sweep", [])), *table("Visual Diagnostics", [report[n] for n in ("visual_diagnostics",) if report.get(n)]), *table("Graph Diagnostics", [report[n] for n in ("graph_diagnostics",) if report.get(n)]), *table("Graph Extraction", report.get("graph_extraction", [])), *table("Expected Values", report.get("expected", [])), *table("Recall", report.get("recall", [])), *table("Queries", report["cases"])]
+    out = ["# Evaluation report", "", *table("Mode Metrics", list(report["modes"].values())), *table("Planner vs Static", report.get("planner_vs_static", [])), *table("Planner Sweep", report.get("sweep", [])), *table("Visual Diagnostics", [report[n] for n in ("visual_diagnostics",) if report.get(n)]), *table("Graph Diagnostics", [report[n] for n in ("graph_diagnostics",) if report.get(n)]), *table("Graph Extraction", report.get("graph_extraction", [])), *table("Expected Values", report.get("expected", [])), *table("Recall", report.get("recall", [])), *table("Missing Indexes", report.get("missing_indexes", [])), *table("Queries", report["cases"])]
     return "\n".join(out)

@@ -18,19 +18,23 @@ REDUNDANT, CONFLICTING, WINDOW, LISTED = 0.72, 0.28, 8, 8
 
 
 def scored(hits: DataFrame, questions: DataFrame, strategy: str = "score_max", rerank: bool = False, vote_bonus: float = 0.08, overlap_weight: float = 0.10, keys: tuple[str, ...] = ("query_id",)) -> DataFrame:
-    """One row for each question and chunk: best score, first of equals; routes; rank_score; rank. [G6, L4]"""
+    """One row for each question and chunk: best score, first of equals; routes; rank_score; rank. [G6, L4]
+
+    Columns of questions that are named like these parameters go before them, so that questions can have their own.
+    """
     check_strategy(strategy)
+    given = {"strategy": strategy, "rerank": rerank, "vote_bonus": vote_bonus, "overlap_weight": overlap_weight}
+    own = [c for c in given if c in questions.columns]
+    setting = lambda c: F.col(f"own_{c}") if c in own else F.lit(given[c])
     first = F.struct(F.col("score"), -F.col("ord"))
     best = hits.groupBy(*keys, "chunk_id").agg(
         F.max_by(F.struct("document_id", "page_numbers", "text", "score", "retrieval_path", *(("metadata",) if "metadata" in hits.columns else ())), first).alias("e"), F.array_sort(F.collect_set("retrieval_path")).alias("routes"), F.min("ord").alias("ord")
     )
-    rows = best.select(*keys, "chunk_id", "e.*", "routes", "ord").join(questions.select("query_id", "question"), "query_id")
-    value = F.col("score")
-    if strategy == "route_vote":
-        value = value + F.lit(vote_bonus) * (F.size("routes") - 1)
-    if rerank:
-        value = value + F.lit(overlap_weight) * T.jaccard(T.token_set("question"), T.token_set("text"))
-    rows = rows.withColumn("rank_score", F.round(value, 9)).drop("question")
+    rows = best.select(*keys, "chunk_id", "e.*", "routes", "ord").join(questions.select("query_id", "question", *[F.col(c).alias(f"own_{c}") for c in own]), "query_id")
+    votes = F.when(setting("strategy") == "route_vote", setting("vote_bonus") * (F.size("routes") - 1)).otherwise(0.0)
+    shared = F.when(setting("rerank"), setting("overlap_weight") * T.jaccard(T.token_set("question"), T.token_set("text"))).otherwise(0.0)
+    value = F.col("score") + votes + shared
+    rows = rows.withColumn("rank_score", F.round(value, 9)).drop("question", *[f"own_{c}" for c in own])
     return rows.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("rank_score"), "ord", "document_id", "chunk_id")))
 
 

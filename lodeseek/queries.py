@@ -632,12 +632,17 @@ def g19_tier_rollup(spark, sf):
 MODES = ("bm25", "dense", "planner")
 
 
-def judged(spark, sf) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Cases (expected terms: the question's third word; expected pages: the first, for items with an even id), and evidence and cards of three modes."""
-    asked = questions(spark, sf)
+def judged_cases(asked: DataFrame) -> DataFrame:
+    """Expected terms: the question's third word; expected pages: the first, for items with an even id."""
     term = F.get(F.split("question", " "), F.lit(2))
     pages = F.when(F.col("query_id").cast("bigint") % 2 == 0, F.array(F.lit(1))).otherwise(F.array(F.lit(2)))
-    cases = asked.select(F.col("query_id").alias("case_id"), F.col("question").alias("query"), F.array(term).alias("expected_terms"), pages.alias("expected_pages"))
+    return asked.select(F.col("query_id").alias("case_id"), F.col("question").alias("query"), F.array(term).alias("expected_terms"), pages.alias("expected_pages"))
+
+
+def judged(spark, sf) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Cases, and evidence and cards of three modes."""
+    asked = questions(spark, sf)
+    cases = judged_cases(asked)
     chunks, e, c = settled(doc_chunks(spark, sf)), None, None
     for mode in MODES:
         rows = settled(retrieve.retrieve(mode, chunks, doc_pages(spark, sf), asked, 5))
@@ -686,6 +691,46 @@ def f17_recall(spark, sf):
     return evaluate.recall(want, have).select("kind", "expected", "found", F.round("recall", 6).alias("recall"), F.array_join("missing", ",").alias("missing"))
 
 
+BY_VARIANT = "(CASE WHEN query_id[1] IN ('2', '3') THEN 0.08 * (votes - 1) ELSE 0 END + CASE WHEN query_id[1] IN ('1', '3') THEN 0.10 * jac ELSE 0 END)"
+SWEPT = merged_sql(f"SELECT v || ':' || query_id AS query_id, * EXCLUDE (query_id, v) FROM ({BOTH}), range(4) r(v)", BY_VARIANT).replace("JOIN q USING", "JOIN vq USING")
+
+
+@query(f"""{TWENTY}, vq AS (SELECT v || ':' || query_id AS query_id, question FROM q, range(4) r(v)), {SWEPT},
+t AS (SELECT query_id[1]::INT AS ordinal, query_id[3:] AS case_id, rank, score, text, string_split(question, ' ')[3] AS term, query_id[3:]::BIGINT % 2 = 0 AS paged FROM mg JOIN chunks USING (chunk_id) JOIN vq USING (query_id)),
+v AS (SELECT ordinal, case_id, bool_or(contains(lower(text), lower(term))) AS term_hit, bool_or(paged) AS page_hit, avg(CASE WHEN rank <= 3 THEN least(1, greatest(0, score)) END) AS confidence, 1.0 / min(CASE WHEN paged OR contains(lower(text), lower(term)) THEN rank END) AS rr FROM t GROUP BY ALL),
+x AS (SELECT r.v::INT AS ordinal, q.query_id AS case_id, coalesce(term_hit, false) AS term_hit, coalesce(page_hit, false) AS page_hit, coalesce(confidence, 0) AS confidence, coalesce(rr, 0) AS rr FROM q, range(4) r(v) LEFT JOIN v ON v.ordinal = r.v AND v.case_id = q.query_id)
+SELECT ordinal, count(*) AS cases, round(avg(term_hit::INT), 6) AS term_hit_rate, round(avg(page_hit::INT), 6) AS page_hit_rate, round(avg(confidence), 4) AS average_confidence, round(avg(rr), 6) AS mrr FROM x GROUP BY ordinal""")
+def p3_sweep(spark, sf):
+    """The four variants of a sweep over all benchmark items, as rows of one plan."""
+    found, asked = hits(spark, sf)
+    got = evaluate.swept(settled(found), evaluate.sweep_variants(True), judged_cases(asked), 5)
+    return got.select("ordinal", "cases", F.round("term_hit_rate", 6).alias("term_hit_rate"), F.round("page_hit_rate", 6).alias("page_hit_rate"), F.round("average_confidence", 4).alias("average_confidence"), F.round("mrr", 6).alias("mrr"))
+
+
+@query("""WITH o AS (SELECT p_brand AS tier, p_type AS kind, lower(p_name) AS key FROM part WHERE p_size > 25), w AS (SELECT DISTINCT CASE WHEN p_size % 3 > 0 THEN p_brand END AS tier, p_type AS kind, p_name AS name, lower(p_name) AS key FROM part WHERE p_size % 2 = 0),
+s AS (SELECT w.*, EXISTS (SELECT 1 FROM o WHERE (w.tier IS NULL OR o.tier = w.tier) AND o.kind = w.kind AND o.key = w.key) AS seen FROM w)
+SELECT coalesce(tier, 'all') AS tier, kind, count(*) AS expected, count(*) FILTER (seen) AS found, round(count(*) FILTER (seen) / count(*), 6) AS recall, coalesce(string_agg(CASE WHEN NOT seen THEN name END, ',' ORDER BY name), '') AS missing FROM s GROUP BY s.tier, kind""")
+def g20_recall_by_tier(spark, sf):
+    """Names of parts by type, expected of their brand or of all; names of large parts are seen, in capitals."""
+    part = table(spark, sf, "part")
+    want = part.where("p_size % 2 = 0").select(F.when(F.col("p_size") % 3 > 0, F.col("p_brand")).alias("tier"), F.col("p_type").alias("kind"), F.col("p_name").alias("name"))
+    have = part.where("p_size > 25").select(F.col("p_brand").alias("tier"), F.col("p_type").alias("kind"), F.upper("p_name").alias("name"))
+    rows = evaluate.recall_by_tier(want, have)
+    return rows.select(F.coalesce("tier", F.lit("all")).alias("tier"), "kind", "expected", "found", F.round("recall", 6).alias("recall"), F.array_join("missing", ",").alias("missing"))
+
+
+@query(f"""WITH {SAYING}, d AS (SELECT document_id, count(*) AS nodes, count(DISTINCT a) AS entities, count(DISTINCT b) AS refs FROM g GROUP BY 1), t AS (SELECT d.*, CASE WHEN right(document_id, 1) IN ('1', '3') THEN 'odd' ELSE 'even' END AS tier,
+  2 * (nodes - 1) + (SELECT sum(m * (m - 1)) FROM (SELECT count(*) AS m FROM g WHERE g.document_id = d.document_id GROUP BY a)) + 2 * (SELECT sum(m * (m - 1)) FROM (SELECT count(*) AS m FROM g WHERE g.document_id = d.document_id GROUP BY b)) AS edges FROM d)
+SELECT coalesce(tier, 'all') AS tier, count(*) AS documents, sum(nodes)::BIGINT AS nodes, sum(entities)::BIGINT AS entities, sum(refs)::BIGINT AS "references", sum(edges)::BIGINT AS edges, round(avg(nodes), 6) AS average_nodes, round(avg(edges), 6) AS average_edges FROM t GROUP BY ROLLUP (tier)""")
+def p4_extraction_by_tier(spark, sf):
+    chunks = graph_chunks(spark, sf)
+    tier = F.when(F.right("document_id", F.lit(1)).isin("1", "3"), "odd").otherwise("even")
+    of = chunks.select("document_id", tier.alias("tier")).distinct()
+    counts = graph.relation_counts(chunks).withColumnRenamed("scope", "document_id").join(of, "document_id").select("document_id", "tier", "relation", "n")
+    rows = evaluate.extraction_by_tier(evaluate.extraction_facts(graph.nodes(chunks), of), counts)
+    return rows.select(F.coalesce("tier", F.lit("all")).alias("tier"), "documents", "nodes", "entities", "references", "edges", F.round("average_nodes", 6).alias("average_nodes"), F.round("average_edges", 6).alias("average_edges"))
+
+
 # --- sources, catalog, jobs, scanner --------------------------------------------------------------------------
 @query("""WITH r AS (SELECT conv_id, turn, CASE WHEN turn % 3 = 0 THEN '' ELSE text END AS final, text AS glm FROM conversations) SELECT conv_id::VARCHAR AS document_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS number, coalesce(nullif(final, ''), nullif(glm, ''), '') AS text FROM r""")
 def a2_history_explode(spark, sf):

@@ -389,15 +389,15 @@ def test_sweep_variants():
 
 def test_evaluation_of_a_manifest(spark, tmp_path):
     pages = pages_of(spark, {"a": ["the solver converges quickly, see Table 2", "boundary terms vanish in the Solver Engine"], "b": ["unrelated words"]}).selectExpr("*", "'t' AS title", "'.md' AS source_type", "CAST(map() AS map<string,string>) AS metadata")
-    manifest = {"planner_sweep": True, "planner_rerank": "true", "document_quality_tiers": {"a": "clean"}, "expected_entities": ["Solver Engine", "Nobody"], "expected_references_by_tier": {"clean": ["table:2"]}, "queries": [{"query": "why does the solver converge", "expected_terms": ["SOLVER"], "expected_pages": [1]}, {"query": "boundary terms", "document_id": "a", "expected_terms": ["vanish", "missing"]}]}
+    manifest = {"document_ids": ["a", "b"], "planner_sweep": True, "planner_rerank": "true", "document_quality_tiers": {"a": "clean"}, "expected_entities": ["Solver Engine", "Nobody"], "expected_references_by_tier": {"clean": ["table:2"]}, "queries": [{"query": "why does the solver converge", "expected_terms": ["SOLVER"], "expected_pages": [1]}, {"query": "boundary terms", "document_id": "a", "expected_terms": ["vanish", "missing"]}]}
     (tmp_path / "m.json").write_text(json.dumps(manifest))
     report = evaluate.run(spark, evaluate.load_manifest(str(tmp_path / "m.json")), chunk_pages(pages), pages, 3, ("bm25", "dense", "planner", "graph"))
     assert report["modes"]["bm25"]["term_hit_rate"] == 0.5 and report["modes"]["bm25"]["mrr"] == 0.5 and report["modes"]["dense"]["cases"] == 2
     assert len(report["sweep"]) == 4 and report["best_by_mrr"] == "score_max" and report["modes"]["planner"]["answerable_rate"] == 1.0
     assert report["graph_diagnostics"]["cases"] == 2 and report["graph_diagnostics"]["nodes"] == 3 and report["graph_diagnostics"]["relations"]["next_chunk"] == 1 and report["visual_diagnostics"]["planner_contribution_rate"] == 0.0
-    assert {r["tier"]: (r["documents"], r["distinct_reference"]) for r in report["graph_extraction"]} == {None: (2, 1), "clean": (1, 1), "unlabeled": (1, 0)}
-    assert [(r["kind"], r["found"], r["missing"]) for r in report["recall"]] == [("entity", 1, ["Nobody"]), ("reference", 1, [])]
-    assert [(e["kind"], e["tier"], e["values"]) for e in report["expected"]] == [("entities", None, ["Nobody", "Solver Engine"]), ("references", None, ["table:2"]), ("references", "clean", ["table:2"])]
+    assert {r["tier"]: (r["documents"], r["nodes"], r["references"], r["average_nodes"]) for r in report["graph_extraction"]} == {None: (2, 3, 1, 1.5), "clean": (1, 2, 1, 2.0), "unlabeled": (1, 1, 0, 1.0)}
+    assert [(r["tier"], r["kind"], r["found"], r["missing"]) for r in report["recall"]] == [(None, "entity", 1, ["Nobody"]), ("clean", "reference", 1, [])]
+    assert [(e["kind"], e["tier"], e["values"]) for e in report["expected"]] == [("entities", None, ["Nobody", "Solver Engine"]), ("references", "clean", ["table:2"])] and report["missing_documents"] == []
     text = evaluate.markdown(report)
     assert all(f"## {title}" in text for title in ("Mode Metrics", "Planner vs Static", "Planner Sweep", "Visual Diagnostics", "Graph Diagnostics", "Graph Extraction", "Recall", "Queries"))
     with pytest.raises(ValueError, match="Could not read manifest"):

@@ -37,7 +37,7 @@ from lodeseek.llm.common import Work, id_key, keyed, mix64
 
 WINDOW, GRAM = 50, 12
 #: Batches of a load, in the order of the ids; runs that are merged into one.
-BATCHES, FANOUT = 3, 3
+BATCHES, FANOUT = 2, 2
 
 
 class FingerprintIndex:

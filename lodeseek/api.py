@@ -16,7 +16,7 @@ from lodeseek.operators.images import EncoderUnavailableError
 from lodeseek.plans import retrieve as R
 from lodeseek.plans.planner import plan_query
 from lodeseek.session import settled
-from lodeseek.sources.config import settings
+from lodeseek.sources.config import factory, settings
 from lodeseek.sources.ingest import ingest as read_pages
 from lodeseek.sources.store import Store
 from lodeseek.streaming.jobs import Queue
@@ -39,10 +39,11 @@ def check(**values) -> None:
 
 
 class Engine:
-    """encoders(model, device) gives a page model: the factory of a worker's page encoder, and a function from a question to its vectors."""
+    """encoders(model, device) gives a page model: the factory of a worker's page encoder, and a function from a question to its vectors.
+    ocr: the factory of the OCR engines of jobs that ask for OCR."""
 
-    def __init__(self, spark: SparkSession, root: str | None = None, encoders: Callable | None = None):
-        self.spark, self.store, self.encoders = spark, Store(spark, root or settings().data_root), encoders
+    def __init__(self, spark: SparkSession, root: str | None = None, encoders: Callable | None = None, ocr: Callable | None = None):
+        self.spark, self.store, self.encoders, self.ocr = spark, Store(spark, root or settings().data_root), encoders, ocr
         self.queue = Queue(spark, f"{self.store.root}/jobs")
 
     def health(self) -> dict:
@@ -172,17 +173,32 @@ class Engine:
         return out
 
     def handle(self, kind: str, params: dict) -> dict:
-        """One job. [N4]"""
+        """One job; its parameters are those of the verb it stands for. A pipeline takes ingest and index parts, or a path and a mode. [N4]"""
         if kind == "ingest":
-            return {"document_id": self.ingest(params["path"])}
+            return {"document_id": self.ingest(params["path"], **self.reading(params))}
         if kind == "chunk":
             return {"document_id": params["document_id"], "chunk_count": self.chunk(params["document_id"], params.get("max_words"), params.get("overlap_words"))}
         if kind == "index":
-            return {"document_id": params["document_id"], "indexes": self.index(params["document_id"], params.get("mode", "all"))}
+            return {"document_id": params["document_id"], "indexes": self.index(params["document_id"], *self.indexing(params))}
         if kind == "pipeline":
-            return self.pipeline(params["path"], params.get("mode", "all"), params.get("max_words"), params.get("overlap_words"))
+            read, indexed = params.get("ingest") or {k: v for k, v in params.items() if k != "mode"}, params.get("index") or params
+            document = self.ingest(read["path"], **self.reading(read))
+            return {"document_id": document, "chunk_count": self.chunk(document, params.get("max_words"), params.get("overlap_words")), "indexes": self.index(document, *self.indexing(indexed))}
         raise ValueError(f"Unknown job type: {kind}")
 
+    def reading(self, params: dict) -> dict:
+        """How a job's file is read: mode, dpi and the OCR engines, by the name of their factory or, if it only asks for OCR, this engine's own."""
+        ocr = params.get("ocr")
+        if ocr and not isinstance(ocr, str) and self.ocr is None:
+            raise ValueError("This job asks for OCR: pass the engine the factory of its OCR engines")
+        given = {"engines": factory(ocr) if isinstance(ocr, str) and ocr else self.ocr if ocr else None, "mode": params.get("mode"), "dpi": params.get("dpi")}
+        return {k: v for k, v in given.items() if v}
+
+    @staticmethod
+    def indexing(params: dict) -> tuple:
+        """mode, backend, compression, model and device of a job."""
+        return params.get("mode") or "all", *(params.get(k) or None for k in ("visual_backend", "visual_compression", "colpali_model", "device"))
+
     def work(self, interval: float | None = None):
         """Starts the worker on this engine's store."""
         return self.queue.start(self.handle, interval)

@@ -25,14 +25,6 @@ def planner_flags(c: argparse.ArgumentParser) -> None:
     c.add_argument("--planner-rerank-overlap-weight", type=float)
 
 
-def factory(name: str):
-    """What module:name names."""
-    import importlib
-
-    module, _, attribute = name.partition(":")
-    return getattr(importlib.import_module(module), attribute)
-
-
 def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="lodeseek")
     p.add_argument("--store", help="root folder of the store")
@@ -66,7 +58,8 @@ def parser() -> argparse.ArgumentParser:
     c.add_argument("--planner-sweep", action="store_true")
     planner_flags(c)
     c = add("worker")
-    c.add_argument("--poll-interval", type=float, default=None)
+    c.add_argument("--poll-interval", type=float, default=None, help="seconds between two looks at the queue; the setting stands in")
+    c.add_argument("--once", action="store_true", help="ends when the jobs that are there have run")
     c = add("jobs")
     c.add_argument("--status")
     add("job-status", "job_id")
@@ -78,12 +71,13 @@ def main(argv: list[str] | None = None, spark=None) -> int:
     from lodeseek.api import Engine, NotFoundError
     from lodeseek.operators.evaluate import markdown
     from lodeseek.session import session
+    from lodeseek.sources.config import factory, settings
 
     engine = Engine(spark or session(), a.store, factory(a.encoders) if a.encoders else None)
     try:
         if getattr(a, "later", False):
-            params = {"path": a.path} if a.command == "ingest" else {k: v for k, v in vars(a).items() if k not in ("command", "store", "later", "encoders")}
-            print(engine.queue.submit(a.command, params))
+            # every flag that was given travels with the job; names of factories are looked up by the worker
+            print(engine.queue.submit(a.command, {k: v for k, v in vars(a).items() if v is not None and k not in ("command", "store", "later", "encoders")}))
         elif a.command == "ingest":
             given = {"engines": factory(a.ocr) if a.ocr else None, "mode": a.mode, "dpi": a.dpi}
             print(engine.ingest(a.path, **{k: v for k, v in given.items() if v is not None}))
@@ -98,7 +92,7 @@ def main(argv: list[str] | None = None, spark=None) -> int:
             given = {"planner_merge_strategy": a.planner_merge_strategy, "planner_rerank": a.planner_rerank, "planner_route_vote_bonus": a.planner_route_vote_bonus, "planner_rerank_overlap_weight": a.planner_rerank_overlap_weight, "planner_sweep": a.planner_sweep or None}
             print(markdown(engine.evaluate(a.manifest, a.top_k, tuple(a.modes), **{k: v for k, v in given.items() if v is not None})))
         elif a.command == "worker":
-            query = engine.work(a.poll_interval)
+            query = engine.work(None if a.once else a.poll_interval or settings().job_poll_interval)
             stop = lambda *_: query.stop()  # noqa: E731 the job that runs ends first
             before = {s: signal.signal(s, stop) for s in (signal.SIGINT, signal.SIGTERM)}
             query.awaitTermination()

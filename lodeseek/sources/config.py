@@ -74,3 +74,11 @@ def read_settings(environment: dict[str, str], dotenv: str = "") -> Settings:
 def settings() -> Settings:
     at = Path(".env")
     return read_settings(dict(os.environ), at.read_text(encoding="utf-8", errors="replace") if at.is_file() else "")
+
+
+def factory(name: str):
+    """What module:name names."""
+    import importlib
+
+    module, _, attribute = name.partition(":")
+    return getattr(importlib.import_module(module), attribute)

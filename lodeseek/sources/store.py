@@ -1,16 +1,24 @@
-"""The catalog: documents' tables as Parquet, partitioned by a bucket of the document's id, and the runs. [A7-A11, B1-B4]
+"""The catalog: documents' tables as Parquet, in buckets of the document's id, and the runs. [A7-A11, B1-B4]
 
 A write replaces the rows of the documents it holds and leaves the others: new rows are added as files of their own,
-and only files that hold older rows of the same documents are written again without them. The number of folders does
-not grow with the number of documents; a document's rows are found by its bucket and by the files' own statistics.
+and only files that hold older rows of the same documents are written again without them.
+
+What a table holds is said by numbered manifests, lists of its files. A write ends by renaming its manifest to the next
+number, which fails if another writer took that number first; then it looks again which files are outdated, and tries
+the next one (``CONFLICTS`` times). So every reader sees one version, before or after a write and never between, and keeps
+it for as long as it reads: files that no version of the last ``KEPT`` seconds names are deleted by later writes. A
+document's rows are found by its bucket, which is in the files' paths, and by the files' own statistics.
 """
 
 from __future__ import annotations
 
+import json
+import time
 import uuid
 import zlib
 from datetime import UTC, datetime
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,6 +26,8 @@ from lodeseek.operators import postings
 from lodeseek.session import settled
 
 BUCKETS = 256
+#: Seconds for which a version stays readable after the next one; how often a write gives way to others.
+KEPT, CONFLICTS = 3600, 16
 TABLES = ("pages", "profiles", "chunks", "index_bm25", "index_dense", "index_late", "index_visual", "index_vectors", "index_graph", "kg_sections", "kg_entities", "kg_references", "kg_stats")
 
 
@@ -34,40 +44,112 @@ class Store:
         at = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
         return at, at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
 
+    def versions(self, table: str) -> list[tuple[int, float]]:
+        """(number, seconds since it was written) of a table's manifests, the last one first."""
+        path, fs = self._fs(f"{self.path(table)}/versions")
+        found = [(int(x.getPath().getName()), time.time() - x.getModificationTime() / 1000) for x in fs.listStatus(path) if x.getPath().getName().isdigit()] if fs.exists(path) else []
+        return sorted(found, reverse=True)
+
+    def manifest(self, table: str, version: int) -> list[str]:
+        path, fs = self._fs(f"{self.path(table)}/versions/{version}")
+        stream = fs.open(path)
+        text = self.spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+        stream.close()
+        return json.loads(text)
+
+    def snapshot(self, table: str) -> tuple[int, list[str]]:
+        """The last version of a table and its files, below data/; 0 and none before the first write."""
+        found = self.versions(table)
+        return (found[0][0], self.manifest(table, found[0][0])) if found else (0, [])
+
     def exists(self, table: str) -> bool:
-        """Whether the table has rows; a table without any has no folders of buckets."""
-        path, fs = self._fs(self.path(table))
-        return fs.exists(path) and any(x.getPath().getName().startswith("bucket=") for x in fs.listStatus(path))
+        """Whether the table has rows."""
+        return bool(self.snapshot(table)[1])
+
+    def _read(self, table: str, files: list[str]) -> DataFrame:
+        return self.spark.read.parquet(*[f"{self.path(table)}/data/{f}" for f in files])
+
+    def _write(self, table: str, df: DataFrame) -> list[str]:
+        """Writes rows (with bucket) into a folder of their own; returns its files."""
+        name = uuid.uuid4().hex
+        df.hint("rebalance", "bucket").write.partitionBy("bucket").parquet(f"{self.path(table)}/data/{name}")
+        path, fs = self._fs(f"{self.path(table)}/data/{name}")
+        found, out = fs.listFiles(path, True), []
+        while found.hasNext():
+            at = found.next().getPath()
+            if at.getName().startswith("part-"):
+                out.append(f"{name}/{at.getParent().getName()}/{at.getName()}")
+        return sorted(out)
+
+    def _commit(self, table: str, version: int, files: list[str]) -> bool:
+        """Takes a version's number with its manifest, which appears whole; False if another writer has it."""
+        jvm, conf = self.spark.sparkContext._jvm, self.spark.sparkContext._jsc.hadoopConfiguration()
+        (draft, fs), (to, _) = self._fs(f"{self.path(table)}/versions/_{uuid.uuid4().hex}"), self._fs(f"{self.path(table)}/versions/{version}")
+        out = fs.create(draft)
+        out.write(bytearray(json.dumps(files).encode()))
+        out.close()
+        try:
+            # unlike FileSystem.rename, this one never replaces a file
+            jvm.org.apache.hadoop.fs.FileContext.getFileContext(draft.toUri() if draft.toUri().getScheme() else fs.getUri(), conf).rename(draft, to, self.spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 0))
+        except Py4JJavaError as e:
+            if "FileAlreadyExists" not in e.java_exception.getClass().getName():
+                raise
+            fs.delete(draft, False)
+            return False
+        return True
+
+    def outdated(self, table: str, files: list[str], named: DataFrame) -> list[str]:
+        """Those of files that hold rows of named (document_id, bucket)."""
+        buckets = {f"bucket={r['bucket']}" for r in named.select("bucket").distinct().collect()}  # at most BUCKETS
+        some = [f for f in files if f.split("/")[1] in buckets]
+        if not some:
+            return []
+        held = self._read(table, some).select("document_id", F.col("_metadata.file_path").alias("f")).join(named.select("document_id"), "document_id", "left_semi")
+        return sorted(r["f"].rpartition("/data/")[2] for r in held.select("f").distinct().collect())
 
     def save(self, table: str, df: DataFrame) -> None:
-        """Rows of some documents, which replace all they had. [B1] Older rows go only after the new ones are there."""
+        """Rows of some documents, which replace all they had. [B1]"""
         if table in ("chunks", "index_bm25"):
             self.unseal()
         if table == "pages":
             df = df.withColumn("created_at", F.current_timestamp())
-        df = settled(df.withColumn("bucket", F.pmod(F.crc32(F.col("document_id").cast("binary")), F.lit(BUCKETS)).cast("int")))
-        outdated: list[str] = []
-        if self.exists(table):
-            named = df.select("document_id", "bucket").distinct()
-            buckets = [r["bucket"] for r in named.select("bucket").distinct().collect()]  # at most BUCKETS
-            old = self.spark.read.parquet(self.path(table)).where(F.col("bucket").isin(buckets))
-            outdated = [r["f"] for r in old.select("document_id", F.col("_metadata.file_path").alias("f")).join(named.select("document_id"), "document_id", "left_semi").select("f").distinct().collect()] if buckets else []
-            if outdated:
-                others = self.spark.read.option("basePath", self.path(table)).parquet(*outdated).join(named.select("document_id"), "document_id", "left_anti")
-                df = df.unionByName(settled(others), allowMissingColumns=True)
-        df.hint("rebalance", "bucket").write.mode("append").partitionBy("bucket").parquet(self.path(table))
-        for f in outdated:
-            at, fs = self._fs(f)
-            fs.delete(at, False)
+        bucket = F.pmod(F.crc32(F.col("document_id").cast("binary")), F.lit(BUCKETS)).cast("int")
+        df = settled(df.withColumn("bucket", bucket))
+        named, fresh = df.select("document_id", "bucket").distinct(), self._write(table, df)
+        for _ in range(CONFLICTS):
+            version, files = self.snapshot(table)
+            gone = self.outdated(table, files, named)
+            again = []
+            if gone:
+                others = self._read(table, gone).join(named.select("document_id"), "document_id", "left_anti")
+                again = self._write(table, settled(others.withColumn("bucket", bucket)))
+            if self._commit(table, version + 1, sorted({*files, *fresh, *again} - set(gone))):
+                self.clean(table)
+                return
+        raise RuntimeError(f"Other writers took {CONFLICTS} versions of {table} one after the other")
+
+    def clean(self, table: str) -> None:
+        """Deletes the manifests that were followed by another one more than KEPT seconds ago, and the files that only they name."""
+        found = self.versions(table)
+        old = [v for (v, _), (_, since) in zip(found[1:], found, strict=False) if since > KEPT]
+        if old:
+            kept = {f for v, _ in found if v not in old for f in self.manifest(table, v)}
+            for f in {f for v in old for f in self.manifest(table, v)} - kept:
+                at, fs = self._fs(f"{self.path(table)}/data/{f}")
+                fs.delete(at, False)
+            for v in old:
+                at, fs = self._fs(f"{self.path(table)}/versions/{v}")
+                fs.delete(at, False)
 
     def load(self, table: str, documents: list[str] | None = None) -> DataFrame:
-        """A table, pruned to the buckets of some documents; FileNotFoundError when it was never written. [A8]"""
-        if not self.exists(table):
+        """One version of a table, pruned to the buckets of some documents; FileNotFoundError when it was never written. [A8]"""
+        _, files = self.snapshot(table)
+        if not files:
             raise FileNotFoundError(f"No table {table} in {self.root}")
-        df = self.spark.read.parquet(self.path(table))
-        if documents is not None:
-            df = df.where(F.col("bucket").isin({zlib.crc32(d.encode()) % BUCKETS for d in documents}) & F.col("document_id").isin(documents))
-        return df.drop("bucket")
+        if documents is None:
+            return self._read(table, files)
+        wanted = {f"bucket={zlib.crc32(d.encode()) % BUCKETS}" for d in documents}
+        return self._read(table, [f for f in files if f.split("/")[1] in wanted] or files[:1]).where(F.col("document_id").isin(documents))
 
     def documents(self) -> DataFrame:
         """document_id, title, source_type, source_path, created_at, page_count; newest first. [A7, I7]"""

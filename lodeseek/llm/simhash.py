@@ -5,7 +5,9 @@ bits agree wholly in at least two of six parts of their bits. So the trie is dea
 pair of parts: fingerprints with one value of the pair are a trie of their own, with their bits in the order of the
 fingerprint, and pairs that differ there meet in another dealing. In a trie, pairs of nodes go down together, one bit a step; the
 bits in which they differ are added up and a pair over the error budget is dropped, as is a pair whose fingerprints
-are all linked already. Small pairs are compared directly. What a subtrie yields is a star per group, so a group of n
+are all linked already. Before that, neighbours in eight rotated sorts of a group that lie within the budget are linked, which
+connects most groups at once; the trie then finds every link that is still missing, so the components are the same with
+or without these sorts. Small pairs are compared directly. What a subtrie yields is a star per group, so a group of n
 near copies gives n links, not n * n. Subtries over ``most`` fingerprints are cut into chunks and every pair of
 chunks is joined by a task of its own. Components of the links are found by large-star and small-star rounds.
 

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from lodeseek.functions import text as T
 from lodeseek.functions import vectors as V
 from lodeseek.operators import blocks as B
+from lodeseek.operators import fused as H
 from lodeseek.operators import page_vectors as M
 
 EVIDENCE = ["query_id", "chunk_id", "document_id", "page_numbers", "text", "score", "retrieval_path", "rank", "metadata"]
@@ -152,14 +153,17 @@ def fuse(left: DataFrame, right: DataFrame, k: int, per: list[str], left_weight:
 
 
 def hybrid(chunks: DataFrame, questions: DataFrame, k: int = 5, scope: str = "document", bm25_index: DataFrame | None = None, dense_index: DataFrame | None = None, k1: float = 1.5, b: float = 0.75, dimensions: int = 384) -> DataFrame:
-    """BM25 and dense lists of at least ten, fused inside each document (or over the corpus). [K5]"""
-    per = ["query_id", *scope_columns(scope)]
-    many = max(k, 10)
-    cut = None if scope == "document" else many
-    words = bm25_scores(chunks, questions, cut, scope=scope, index=bm25_index, k1=k1, b=b)
-    fused = fuse(ranked(words, many, per), ranked(dense_scores(chunks, questions, dimensions, dense_index, cut), many, per), k, per)
+    """BM25 and dense lists of at least ten, fused inside each document, in one pass (fused.py), or over the corpus. [K5]"""
     by = Window.partitionBy("query_id").orderBy(F.desc("score"), "document_id", "seen", "chunk_index")
-    best = fused.drop("rank").withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k)
+    if scope_columns(scope):
+        stored = bm25_index is not None and dense_index is not None
+        rows = H.stored_rows(bm25_index, dense_index, small(question_terms(questions).select("term").distinct())) if stored else H.chunk_rows(chunks)
+        fused = H.fused_scores(rows, questions, k, k1, b, dimensions)
+    else:
+        many = max(k, 10)
+        words = bm25_scores(chunks, questions, many, scope=scope, index=bm25_index, k1=k1, b=b)
+        fused = fuse(ranked(words, many, ["query_id"]), ranked(dense_scores(chunks, questions, dimensions, dense_index, many), many, ["query_id"]), k, ["query_id"]).drop("rank")
+    best = fused.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k)
     return as_evidence(best, chunks, "hybrid")
 
 

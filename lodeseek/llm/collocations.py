@@ -39,8 +39,8 @@ from lodeseek.llm.decontamination import unpacked
 FOLD = bytes(c + 32 if 65 <= c <= 90 else 32 if c == 9 else 10 if 10 <= c <= 13 or c in b".,;:!?" else c for c in range(256))
 #: Words after which a segment ends with its document; occurrences of phrases of one first word that meet in a task.
 SEGMENT_WORDS, GROUP = 2_000_000, 500_000
-#: Rows of a batch that leaves a task.
-ROWS = 50_000
+#: Rows of a batch that leaves a task; rows whose phrases are counted at a time, in whole words.
+ROWS, TOGETHER = 50_000, 20_000
 
 
 class Numbers:
@@ -177,7 +177,7 @@ class Segment:
         self.lengths.append(lengths)
         self.places.append(sums_of(numbers_of(b.column("places")), begins_of(lengths), lengths))
 
-    def met(self, segment: int, keep: bool) -> Iterator:
+    def met(self, segment: int, keep: bool, group: int) -> Iterator:
         """MET rows of the phrases that the lists make with each other."""
         import pyarrow as pa
 
@@ -190,7 +190,7 @@ class Segment:
         if not len(left):
             return
         # the phrases of a common first word are dealt out by their last part
-        parts = 1 + f[left] // GROUP
+        parts = 1 + f[left] // group
         part = np.where(parts > 1, (mix64(ids[right].astype(np.uint64)) % parts.astype(np.uint64)).astype(np.int64), 0)
         order = np.lexsort((at, ids[right], ids[left], part, first[left]))
         left, right, at, part = left[order], right[order], at[order], part[order]
@@ -225,27 +225,27 @@ def runs_of(batches: Iterator, keys: list[str]) -> Iterator:
 
 def longer(lists: DataFrame, keep: bool) -> DataFrame:
     """MET of the phrases that one word more makes of lists (LISTS); places are null, unless kept."""
-    parts = int(lists.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts, group = int(lists.sparkSession.conf.get("spark.sql.shuffle.partitions")), GROUP
 
     def run(batches: Iterator) -> Iterator:
         last, held = None, None
         for (segment,), b in runs_of(batches, ["segment"]):
             if segment != last:
                 if held:
-                    yield from held.met(last, keep)
+                    yield from held.met(last, keep, group)
                 last, held = segment, Segment()
             held.add(b)
         if held:
-            yield from held.met(last, keep)
+            yield from held.met(last, keep, group)
 
     return lists.repartition(parts, "segment").sortWithinPartitions("segment").mapInArrow(run, MET)
 
 
-class Group:
-    """Phrases of one first word from all segments."""
+class Groups:
+    """Phrases from all segments; a phrase of a first word and part has all its lists here."""
 
-    def __init__(self):
-        self.batches = []
+    def __init__(self, batches: list):
+        self.batches = batches
 
     def counted(self, least: int, keep: bool, number) -> Iterator:
         """COUNTED rows; number gives so many new ids."""
@@ -290,7 +290,7 @@ class Group:
 
 def counted(met: DataFrame, least: int, keep: bool) -> DataFrame:
     """COUNTED of all MET rows; ids are numbers of their own for every phrase."""
-    parts = int(met.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts, together = int(met.sparkSession.conf.get("spark.sql.shuffle.partitions")), TOGETHER
 
     def run(batches: Iterator) -> Iterator:
         from pyspark import TaskContext
@@ -302,15 +302,23 @@ def counted(met: DataFrame, least: int, keep: bool) -> DataFrame:
             made += k
             return (np.arange(made - k, made, dtype=np.int64)) * parts + own
 
-        last, held = None, None
-        for key, b in runs_of(batches, ["first", "part"]):
-            if key != last:
-                if held:
-                    yield from held.counted(least, keep, number)
-                last, held = key, Group()
-            held.batches.append(b)
+        held, lists = [], 0
+        for b in batches:
+            if not b.num_rows:
+                continue
+            first, part = b.column("first").to_numpy(), b.column("part").to_numpy()
+            if lists >= together:
+                # the words before the last one are complete, here or with the last batch
+                new = np.flatnonzero((first[1:] != first[:-1]) | (part[1:] != part[:-1])) + 1
+                before = held[-1]
+                cut = 0 if (before.column("first")[-1].as_py(), before.column("part")[-1].as_py()) != (int(first[0]), int(part[0])) else int(new[0]) if len(new) else None
+                if cut is not None:
+                    yield from Groups([*held, b.slice(0, cut)]).counted(least, keep, number)
+                    b, held, lists = b.slice(cut), [], 0
+            held.append(b)
+            lists += b.num_rows
         if held:
-            yield from held.counted(least, keep, number)
+            yield from Groups(held).counted(least, keep, number)
 
     return met.repartition(parts, "first", "part").sortWithinPartitions("first", "part").mapInArrow(run, COUNTED)
 
@@ -340,18 +348,21 @@ def levels(docs: DataFrame, longest: int, least: int, work: Work, segment_words:
     # written first: a segment's number must stand for the same documents wherever it is read
     lists = work.table(word_lists(rows, segment_words), "lists")
     counts = work.table(lists.groupBy("lang", "word").agg(F.sum("n").alias("f")), "counts")
+    work.tidy()
     sizes = work.table(counts.groupBy("lang").agg(F.sum("f").alias("n")), "sizes")
     none, mark = F.array().cast("array<long>"), F.monotonically_increasing_id()
     # small numbers: the place in the partition first
     number = mark.bitwiseAND(F.lit((1 << 33) - 1)) * parts + F.shiftright(mark, 33)
     often = counts.where(F.col("f") >= least).repartition(parts, "lang", "word")
     found = work.table(often.select("lang", F.array("word").alias("words"), number.alias("id"), F.lit(-1).cast("long").alias("left"), F.lit(-1).cast("long").alias("right"), "f", none.alias("heads"), none.alias("tails")), "found-1")
-    kept = one_list(lists.join(found.select("lang", F.col("words")[0].alias("word"), "id", "f").hint("merge"), ["lang", "word"]))
+    kept = work.table(one_list(lists.join(found.select("lang", F.col("words")[0].alias("word"), "id", "f").hint("merge"), ["lang", "word"])), "counted-1")
+    work.drop("lists")
+    work.tidy()
     out = [found]
     for m in range(2, longest + 1):
         keep = m < longest
         met = work.table(longer(kept, keep), f"met-{m}")
-        work.drop("lists", f"counted-{m - 1}")
+        work.drop(f"counted-{m - 1}")
         work.tidy()
         both = work.table(counted(met, least, keep), f"counted-{m}")
         work.drop(f"met-{m}")

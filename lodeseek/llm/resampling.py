@@ -62,8 +62,8 @@ def counts_of(text: bytes | None, longest: int, buckets: int) -> tuple[int, np.n
 class Block:
     """CSR rows, gathered until they are handed on."""
 
-    def __init__(self, wide: bool):
-        self.kind = np.dtype("<u4" if wide else "<u2")
+    def __init__(self, wide: bool, rows: int):
+        self.kind, self.rows = np.dtype("<u4" if wide else "<u2"), rows
         self.clear()
 
     def clear(self) -> None:
@@ -77,7 +77,7 @@ class Block:
         self.stored += len(indices)
 
     def full(self) -> bool:
-        return len(self.ids) >= BLOCK_ROWS or self.stored >= BLOCK_COUNTS
+        return len(self.ids) >= self.rows or self.stored >= BLOCK_COUNTS
 
     def batch(self):
         import pyarrow as pa
@@ -91,9 +91,10 @@ class Block:
 
 def csr_blocks(rows: DataFrame, longest: int, buckets: int) -> DataFrame:
     """CSR blocks of all rows (__ls_k, text as bytes)."""
+    most = BLOCK_ROWS
 
     def run(batches: Iterator) -> Iterator:
-        block = Block(buckets > 1 << 16)
+        block = Block(buckets > 1 << 16, most)
         for b in batches:
             for key, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
                 block.add(key, *counts_of(text.as_py(), longest, buckets))

@@ -127,8 +127,15 @@ def collocations_expected(rows, longest: int, least: int, share: int, top: int)
 
 
 @pytest.mark.parametrize(("longest", "least", "top", "segment"), [(3, 10, 2000, 2_000_000), (3, 2, 7, 300), (5, 3, 40, 500)])
-def test_collocations(docs, longest, least, top, segment):
-    got = by_key(collocations.collocations(docs, longest, least, 50, top, segment).collect())
+def test_collocations(spark, docs, monkeypatch, longest, least, top, segment):
+    if segment < 1000:  # parts of common words, several rounds of counting, and words that go on in the next batch
+        monkeypatch.setattr(collocations, "GROUP", 20)
+        monkeypatch.setattr(collocations, "TOGETHER", 30)
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        got = by_key(collocations.collocations(docs, longest, least, 50, top, segment).collect())
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     expected = collocations_expected(rows_of(), longest, least, 50, top)
     assert got == expected and len(got) > 10
 

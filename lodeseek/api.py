@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from lodeseek.operators import evaluate as evaluation
 from lodeseek.operators import evidence as M
+from lodeseek.operators import filters
 from lodeseek.operators import profile as P
 from lodeseek.operators.chunking import chunk_pages
 from lodeseek.operators.images import EncoderUnavailableError
@@ -172,6 +173,18 @@ class Engine:
         out["knowledge_graph"]["stats"] = stats.asDict(True) if stats else None
         return out
 
+    def graph_rows(self, document: str, kind: str, text: str = "") -> DataFrame:
+        """Rows of one part of a document's knowledge graph (sections, entities, references) that hold a text. [E10]"""
+        if kind not in ("sections", "entities", "references"):
+            raise ValueError(f"Unknown part of a knowledge graph: {kind}")
+        self._known(document)
+        return filters.holding(self.store.load(f"kg_{kind}", [document]), text)
+
+    def inventory(self, document: str, text: str = "") -> DataFrame:
+        """Kinds of references of a document's profile, with those that hold a text. [E10]"""
+        self._known(document)
+        return filters.inventory(self.store.load("profiles", [document]), text).orderBy("kind")
+
     def handle(self, kind: str, params: dict) -> dict:
         """One job; its parameters are those of the verb it stands for. A pipeline takes ingest and index parts, or a path and a mode. [N4]"""
         if kind == "ingest":

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodeseek.operators.filters import first_rows
 from lodeseek.session import settled as written
 
 CASE = "case_id string, query string, expected_terms array<string>, expected_pages array<int>"
@@ -153,7 +154,8 @@ def graph_diagnostics(evidence: DataFrame, relations: DataFrame, chunks: DataFra
     seen = {r["x"]: r["count"] for r in rows.select(F.explode("r").alias("x")).where("x <> 'seed'").groupBy("x").count().orderBy(F.desc("count"), "x").collect()}
     size = chunks.agg(F.count("*").alias("n"), F.count_distinct("document_id").alias("d")).first()
     built = {r["relation"]: r["n"] for r in relations.groupBy("relation").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "relation").collect()}
-    return {"cases": means["cases"], "average_seeds": means["seeds"] or 0.0, "average_expanded": means["expanded"] or 0.0, "nodes": size["n"], "edges": sum(built.values()), "documents": size["d"], "relations": built, "relations_in_evidence": seen}
+    shown = [r.asDict() for r in first_rows(case.withColumn("n", F.col("case_id").cast("int")), "n", "case_id", "mode").drop("n").collect()]  # [I8]
+    return {"rows": shown, "cases": means["cases"], "average_seeds": means["seeds"] or 0.0, "average_expanded": means["expanded"] or 0.0, "nodes": size["n"], "edges": sum(built.values()), "documents": size["d"], "relations": built, "relations_in_evidence": seen}
 
 
 def visual_diagnostics(evidence: DataFrame, cases: int) -> dict:
@@ -343,5 +345,5 @@ def markdown(report: dict) -> str:
         show = lambda v: f"{v:.3f}" if isinstance(v, float) else ", ".join(map(str, v)) if isinstance(v, list) else str(v)
         return [f"## {title}", "", "| " + " | ".join(names) + " |", "|" + "---|" * len(names), *("| " + " | ".join(show(r[n]) for n in names) + " |" for r in rows), ""]
 
-    out = ["# Evaluation report", "", *table("Mode Metrics", list(report["modes"].values())), *table("Planner vs Static", report.get("planner_vs_static", [])), *table("Planner Sweep", report.get("sweep", [])), *table("Visual Diagnostics", [report[n] for n in ("visual_diagnostics",) if report.get(n)]), *table("Graph Diagnostics", [report[n] for n in ("graph_diagnostics",) if report.get(n)]), *table("Graph Extraction", report.get("graph_extraction", [])), *table("Expected Values", report.get("expected", [])), *table("Recall", report.get("recall", [])), *table("Missing Indexes", report.get("missing_indexes", [])), *table("Queries", report["cases"])]
+    out = ["# Evaluation report", "", *table("Mode Metrics", list(report["modes"].values())), *table("Planner vs Static", report.get("planner_vs_static", [])), *table("Planner Sweep", report.get("sweep", [])), *table("Visual Diagnostics", [report[n] for n in ("visual_diagnostics",) if report.get(n)]), *table("Graph Diagnostics", [{x: y for x, y in report[n].items() if x != "rows"} for n in ("graph_diagnostics",) if report.get(n)]), *table("Graph Extraction", report.get("graph_extraction", [])), *table("Expected Values", report.get("expected", [])), *table("Recall", report.get("recall", [])), *table("Missing Indexes", report.get("missing_indexes", [])), *table("Queries", report["cases"])]
     return "\n".join(out)

@@ -54,13 +54,18 @@ def merged(hits: DataFrame, questions: DataFrame, k: int = 5, keys: tuple[str, .
     """The k best that no better one makes redundant: evidence rows with source_score and routes. [F11, I5]"""
     rows = scored(hits, questions, keys=keys, **settings)
     near = pairs(rows, k, keys)
-    ends = near.select(*keys, F.inline(F.array(F.struct(F.col("chunk_id_a").alias("chunk_id"), F.lit(False).alias("loses")), F.struct(F.col("chunk_id_b").alias("chunk_id"), F.lit(True).alias("loses")))), "redundant", "conflict")
-    # at most max(k, 8) rows a question: which of them go, and how many pairs each is in
-    said = ends.groupBy(*keys, "chunk_id").agg(F.bool_or(F.col("redundant") & F.col("loses")).alias("gone"), F.count_if("redundant").alias("redundant"), F.count_if("conflict").alias("conflicts"))
+    pair = F.struct("chunk_id_a", "chunk_id_b", "overlap")
+    ends = near.select(*keys, F.inline(F.array(F.struct(F.col("chunk_id_a").alias("chunk_id"), F.lit(False).alias("loses")), F.struct(F.col("chunk_id_b").alias("chunk_id"), F.lit(True).alias("loses")))), "redundant", "conflict", pair.alias("pair"))
+    # at most max(k, 8) rows a question: which of them go, how many pairs each is in, and the first of those that it leads
+    led = lambda flag: F.slice(F.array_sort(F.collect_list(F.when(F.col(flag) & ~F.col("loses"), F.col("pair")))), 1, LISTED)
+    said = ends.groupBy(*keys, "chunk_id").agg(F.bool_or(F.col("redundant") & F.col("loses")).alias("gone"), F.count_if("redundant").alias("redundant"), F.count_if("conflict").alias("conflicts"), led("redundant").alias("redundant_list"), led("conflict").alias("conflict_list"))
     left = rows.join(said, [*keys, "chunk_id"], "left").where(~F.coalesce("gone", F.lit(False)))
     left = left.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy("rank"))).where(F.col("rank") <= k)
     text = lambda c: F.coalesce(c, F.lit(0)).cast("string")
     told = F.create_map(F.lit("routes"), F.array_join("routes", ","), F.lit("source_score"), F.col("score").cast("string"), F.lit("redundant_pairs"), text("redundant"), F.lit("conflict_pairs"), text("conflicts"))
+    # lists are JSON in a map of strings; the trace reads them again
+    for name in ("redundant_list", "conflict_list"):
+        told = F.map_concat(told, F.when(F.size(name) > 0, F.create_map(F.lit(name), F.to_json(name))).otherwise(F.create_map().cast("map<string,string>")))
     told = F.map_concat("metadata", told) if "metadata" in hits.columns else told
     return left.select(*keys, "chunk_id", "document_id", "page_numbers", "text", F.col("rank_score").alias("score"), F.concat(F.lit("planner:"), "retrieval_path").alias("retrieval_path"), "rank", F.col("score").alias("source_score"), "routes", told.alias("metadata"))
 

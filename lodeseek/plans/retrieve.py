@@ -163,6 +163,11 @@ def trace(mode: str, questions: DataFrame, evidence: DataFrame, k: int, lacking:
         rows = rows.unionByName(routes.select("query_id", F.lit("planner_route").alias("path"), json("route", "top_k_factor").alias("payload"), F.lit(1).alias("kind")))
         number = lambda name: F.coalesce(F.element_at("metadata", name), F.lit("0")).cast("int")
         merged = evidence.groupBy("query_id").agg(F.count("*").alias("kept"), F.sum(number("redundant_pairs")).alias("redundant_pairs"), F.sum(number("conflict_pairs")).alias("conflict_pairs"))
-        rows = rows.unionByName(merged.select("query_id", F.lit("planner_merge").alias("path"), json("kept", "redundant_pairs", "conflict_pairs").alias("payload"), F.lit(3).alias("kind")))
+        # the first eight pairs of each kind, in the order of their evidence [I6]
+        pair = "array<struct<chunk_id_a:string,chunk_id_b:string,overlap:double>>"
+        listed = lambda name: F.slice(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("rank", F.coalesce(F.from_json(F.element_at("metadata", name), pair), F.array().cast(pair)).alias("p")))), lambda x: x["p"])), 1, merge.LISTED).alias(name)
+        lists = evidence.groupBy("query_id").agg(listed("redundant_list"), listed("conflict_list"))
+        merged = merged.join(lists, "query_id")
+        rows = rows.unionByName(merged.select("query_id", F.lit("planner_merge").alias("path"), json("kept", "redundant_pairs", "conflict_pairs", "redundant_list", "conflict_list").alias("payload"), F.lit(3).alias("kind")))
     step = F.row_number().over(Window.partitionBy("query_id").orderBy("kind", "path", F.to_json("payload")))
     return rows.withColumn("step", step).select("query_id", "step", "path", "payload")

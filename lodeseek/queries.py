@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from lodeseek.functions import text as T
 from lodeseek.functions import vectors as V
-from lodeseek.operators import evaluate, evidence, graph, merge, page_vectors, postings, profile, sensitive
+from lodeseek.operators import evaluate, evidence, filters, graph, merge, page_vectors, postings, profile, sensitive
 from lodeseek.operators import retrievers as R
 from lodeseek.operators.chunking import chunk_pages, segments
 from lodeseek.plans import planner, retrieve
@@ -456,6 +456,20 @@ def k12_references(spark, sf):
     return rows.select("scope", "ref", joined("source_chunk_ids", "sources"), joined("target_chunk_ids", "targets"), joined("document_ids", "documents"))
 
 
+@query(f"WITH {SAYING} SELECT document_id AS scope, 'table:' || b AS ref, count(*) AS sources FROM g WHERE b = 3 GROUP BY ALL")
+def e10_graph_rows(spark, sf):
+    """Rows of the knowledge graph that hold a text, as a viewer looks for them."""
+    rows = filters.holding(graph.knowledge_references(graph_chunks(spark, sf), "document"), "  Table:3 ")
+    return rows.select("scope", "ref", F.size("source_chunk_ids").cast("bigint").alias("sources"))
+
+
+@query(f"WITH {SAYING} SELECT document_id AS scope, 'same_entity' AS relation, sum(m * (m - 1))::BIGINT AS n FROM (SELECT document_id, a, count(*) AS m FROM g GROUP BY ALL) GROUP BY ALL ORDER BY scope LIMIT 8")
+def i8_first_rows(spark, sf):
+    """The first eight documents' numbers of one relation."""
+    rows = filters.of_relation(graph.relation_counts(graph_chunks(spark, sf)), "same_entity")
+    return filters.first_rows(rows, "scope").select("scope", "relation", F.col("n").cast("bigint").alias("n"))
+
+
 @query(f"""WITH {SAYING}, c AS (SELECT document_id AS scope, count(*) AS chunks, count(DISTINCT a) AS entities, count(DISTINCT b) AS refs FROM g GROUP BY 1),
 e AS (SELECT scope, sum(m * (m - 1)) AS n FROM (SELECT document_id AS scope, count(*) AS m FROM g GROUP BY document_id, a) GROUP BY 1), r AS (SELECT scope, sum(m * (m - 1)) AS n FROM (SELECT document_id AS scope, count(*) AS m FROM g GROUP BY document_id, b) GROUP BY 1)
 SELECT scope, chunks, 1::BIGINT AS documents, 0::BIGINT AS sections, entities, refs AS "references", (2 * (chunks - 1) + e.n + 2 * r.n)::BIGINT AS edges, r.n::BIGINT AS "referring" FROM c JOIN e USING (scope) JOIN r USING (scope)""")

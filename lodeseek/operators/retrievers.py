@@ -19,6 +19,8 @@ from lodeseek.functions import vectors as V
 from lodeseek.operators import blocks as B
 from lodeseek.operators import fused as H
 from lodeseek.operators import page_vectors as M
+from lodeseek.operators.chunking import barrier
+from lodeseek.session import settled
 
 EVIDENCE = ["query_id", "chunk_id", "document_id", "page_numbers", "text", "score", "retrieval_path", "rank", "metadata"]
 
@@ -46,10 +48,23 @@ def small(df: DataFrame, most: int = 100_000) -> DataFrame:
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df
 
 
+#: Documents whose ids become a filter.
+NAMED = 20_000
+
+
+def of_documents(items: DataFrame, best: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """items of best's documents (best is written), and best: a filter by id reaches the scan, so that no other document is cut into chunks."""
+    ids = best.select("document_id").distinct().limit(NAMED + 1).collect()
+    if "document_id" in items.columns and len(ids) <= NAMED:
+        items = items.where(F.col("document_id").isin([r[0] for r in ids]))
+    return items, best
+
+
 def as_evidence(best: DataFrame, items: DataFrame, path: str) -> DataFrame:
     """Ranked ids with their texts: texts meet only the few rows that won. [E5] metadata: what a retriever says of a row, and the item's section."""
     said = F.col("metadata") if "metadata" in best.columns else F.create_map().cast("map<string,string>")
     best = best.select("query_id", "chunk_id", "document_id", "score", "rank", said.alias("said"))
+    items, best = of_documents(items, settled(best))
     section = F.col("parent_section") if "parent_section" in items.columns else F.lit(None).cast("string")
     got = items.select("chunk_id", "page_numbers", "text", section.alias("section")).join(best, "chunk_id")
     own = F.when(F.col("section").isNotNull(), F.create_map(F.lit("parent_section"), F.col("section"))).otherwise(F.create_map().cast("map<string,string>"))
@@ -62,11 +77,31 @@ def question_terms(questions: DataFrame) -> DataFrame:
 
 
 # --- BM25 -----------------------------------------------------------------------------------------------------
+def with_words(chunks: DataFrame) -> DataFrame:
+    """document_id, chunk_id, chunk_index, len and words, in order: found once for all that follows."""
+    rows = barrier(chunks.select(*B.KEY, "text"), words=F.sort_array(T.tokens("text"))).drop("text")
+    return rows.select(*B.KEY, F.size("words").alias("len"), "words")
+
+
+def counted(words: DataFrame) -> DataFrame:
+    """with_words as document_id, chunk_id, chunk_index, len, term, tf: runs of equal words, inside each chunk's own row."""
+    first = F.filter(F.sequence(F.lit(0), F.size("words")), lambda i: (i == 0) | (i == F.size("words")) | (F.get("words", i) != F.get("words", i - 1)))
+    rows = barrier(words.where("len > 0"), cuts=first)
+    runs = F.transform(F.slice("cuts", 1, F.size("cuts") - 1), lambda s, i: F.struct(F.get("words", s).alias("term"), (F.get("cuts", i + 1) - s).cast("long").alias("tf")))
+    return rows.select(*B.KEY, "len", F.inline(runs))
+
+
 def postings(chunks: DataFrame) -> DataFrame:
     """document_id, chunk_id, chunk_index, len, term, tf; and a row without a term for each chunk, which has its length. [G1]"""
-    words = chunks.select(*B.KEY, T.tokens("text").alias("words"))
-    rows = words.select(*B.KEY, F.size("words").alias("len"), F.explode(F.concat("words", F.array(F.lit(None).cast("string")))).alias("term"))
-    return rows.groupBy(*B.KEY, "len", "term").agg(F.count("*").alias("tf"))
+    rows = with_words(chunks)
+    return rows.select(*B.KEY, "len", F.lit(None).cast("string").alias("term"), F.lit(1).cast("long").alias("tf")).unionByName(counted(rows))
+
+
+def word_counts(chunks: DataFrame, terms: DataFrame) -> DataFrame:
+    """postings of the words that are in terms (a table of one column), written."""
+    rows = with_words(chunks).select(*B.KEY, "len", F.explode(F.concat("words", F.array(F.lit(None).cast("string")))).alias("term"))
+    kept = rows.join(terms.withColumn("wanted", F.lit(True)), "term", "left").where("term is null or wanted").drop("wanted")
+    return settled(kept.groupBy(*B.KEY, "len", "term").agg(F.count("*").alias("tf")))
 
 
 def bm25_weights(chunks: DataFrame | None, questions: DataFrame, k1: float = 1.5, b: float = 0.75, scope: str = "document", index: DataFrame | None = None) -> DataFrame:
@@ -74,10 +109,9 @@ def bm25_weights(chunks: DataFrame | None, questions: DataFrame, k1: float = 1.5
     per = scope_columns(scope)
     terms = small(question_terms(questions).select("term").distinct())
     if index is None:
-        words = chunks.select(*B.KEY, T.tokens("text").alias("words"))
-        size = words.select("document_id", F.size("words").alias("len"))
-        # only the questions' words are counted and shuffled
-        held = words.select(*B.KEY, F.size("words").alias("len"), F.explode("words").alias("term")).join(terms, "term").groupBy(*B.KEY, "len", "term").agg(F.count("*").alias("tf"))
+        # one pass over the chunks; only the questions' words and a row without a term for each chunk are counted and written
+        rows = word_counts(chunks, terms)
+        size, held = rows.where("term is null").select("document_id", "len"), rows.where("term is not null")
     else:
         size, held = index.where("term is null").select("document_id", "len"), index.where("term is not null").join(terms, "term")
     stats = size.groupBy(*per).agg(F.count("*").alias("n"), F.avg("len").alias("avgdl"))

@@ -114,9 +114,13 @@ class DenseBlock(Block):
 
     def matrix(self, batch) -> np.ndarray:
         v = batch.column("vector").flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
+        return self.products(v, batch.column("has_image") if self.hinted is not None else None)
+
+    def products(self, v: np.ndarray, has_image) -> np.ndarray:
+        """Scores of rows by their vectors; has_image: an Arrow column of booleans, for questions with hints."""
         s = np.round(v @ self.vectors, 9)
         if self.hinted is not None:
-            image = batch.column("has_image").fill_null(False).to_numpy(zero_copy_only=False).astype(bool)
+            image = has_image.fill_null(False).to_numpy(zero_copy_only=False).astype(bool)
             s[(s > 0) & image[:, None] & self.hinted] += self.boost
         return s
 
@@ -199,6 +203,8 @@ class Best:
 
     def __init__(self, n: int, k: int):
         self.k, self.rows = k, [[] for _ in range(n)]
+        #: What a row has to reach, by question: more than nothing, or the k-th score.
+        self.floor = np.full(n, np.nextafter(0.0, 1.0))
 
     def add(self, scores: np.ndarray, keys: list[tuple]) -> None:
         order = sorted(range(len(keys)), key=keys.__getitem__)
@@ -213,6 +219,8 @@ class Best:
                 at = at[np.argsort(-column[at], kind="stable")[: self.k]]
             if len(at):
                 self.rows[q] = sorted([*held, *((-float(column[i]), *keys[order[i]]) for i in at.tolist())])[: self.k]
+                if len(self.rows[q]) == self.k:
+                    self.floor[q] = -self.rows[q][-1][0]
 
 
 def question_blocks(questions: DataFrame, size: int = BLOCK) -> Iterator[list[tuple[str, str, list[str]]]]:

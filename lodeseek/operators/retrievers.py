@@ -18,6 +18,7 @@ from lodeseek.functions import text as T
 from lodeseek.functions import vectors as V
 from lodeseek.operators import blocks as B
 from lodeseek.operators import fused as H
+from lodeseek.operators import lists as L
 from lodeseek.operators import page_vectors as M
 from lodeseek.operators.chunking import barrier
 from lodeseek.session import settled
@@ -60,15 +61,15 @@ def of_documents(items: DataFrame, best: DataFrame) -> tuple[DataFrame, DataFram
     return items, best
 
 
-def as_evidence(best: DataFrame, items: DataFrame, path: str) -> DataFrame:
-    """Ranked ids with their texts: texts meet only the few rows that won. [E5] metadata: what a retriever says of a row, and the item's section."""
+def as_evidence(best: DataFrame, items: DataFrame, path: str | None) -> DataFrame:
+    """Ranked ids with their texts: texts meet only the few rows that won. [E5] metadata: what a retriever says of a row, and the item's section. Without path, best has retrieval_path."""
     said = F.col("metadata") if "metadata" in best.columns else F.create_map().cast("map<string,string>")
-    best = best.select("query_id", "chunk_id", "document_id", "score", "rank", said.alias("said"))
+    best = best.select("query_id", "chunk_id", "document_id", "score", "rank", (F.col("retrieval_path") if path is None else F.lit(path)).alias("retrieval_path"), said.alias("said"))
     items, best = of_documents(items, settled(best))
     section = F.col("parent_section") if "parent_section" in items.columns else F.lit(None).cast("string")
     got = items.select("chunk_id", "page_numbers", "text", section.alias("section")).join(best, "chunk_id")
     own = F.when(F.col("section").isNotNull(), F.create_map(F.lit("parent_section"), F.col("section"))).otherwise(F.create_map().cast("map<string,string>"))
-    return got.withColumn("retrieval_path", F.lit(path)).withColumn("metadata", F.map_concat(own, "said")).select(*EVIDENCE)
+    return got.withColumn("metadata", F.map_concat(own, "said")).select(*EVIDENCE)
 
 
 def question_terms(questions: DataFrame) -> DataFrame:
@@ -130,6 +131,8 @@ def bm25_weights(chunks: DataFrame | None, questions: DataFrame, k1: float = 1.5
 
 def bm25_scores(chunks: DataFrame | None, questions: DataFrame, k: int | None = None, **settings) -> DataFrame:
     """query_id, document_id, chunk_id, chunk_index, score of every chunk that shares a word with the question; with k, a superset of the k best."""
+    if k and settings.get("index") is None and settings.get("scope", "document") == "document":
+        return L.best_rows(chunks, k, L.word_blocks(questions, settings.get("k1", 1.5), settings.get("b", 0.75)), [], 1).drop("side")
     blocks = [B.WeightBlock([(q, w) for q, _, w in part]) for part in B.question_blocks(questions)]
     return B.scores(bm25_weights(chunks, questions, **settings), blocks, k)
 
@@ -150,7 +153,9 @@ def dense_vectors(rows: DataFrame, key: list[str], dimensions: int = 384) -> Dat
 
 def dense_scores(items: DataFrame | None, questions: DataFrame, dimensions: int = 384, index: DataFrame | None = None, k: int | None = None) -> DataFrame:
     """query_id, document_id, chunk_id, chunk_index, score; with k, a superset of the k best. index: rows of blocks.dense_rows."""
-    blocks = [B.DenseBlock([(q, w) for q, _, w in part], dimensions) for part in B.question_blocks(questions)]
+    blocks = L.dense_blocks(questions, dimensions)
+    if k and index is None:
+        return L.best_rows(items, k, [], blocks, dimensions).drop("side")
     return B.scores(B.dense_rows(items, dimensions) if index is None else index, blocks, k)
 
 
@@ -158,6 +163,13 @@ def dense(chunks: DataFrame, questions: DataFrame, k: int = 5, dimensions: int =
     return as_evidence(top(dense_scores(chunks, questions, dimensions, index, k), k), chunks, "dense")
 
 
+def bm25_and_dense(chunks: DataFrame, words: DataFrame, vectors: DataFrame, k: int = 5, k1: float = 1.5, b: float = 0.75, dimensions: int = 384) -> DataFrame:
+    """The rows of bm25() in scope "document" for the questions in words and of dense() for those in vectors; one pass over the chunks finds both, one more their texts."""
+    found = L.both(chunks, words, vectors, k, k1, b, dimensions)
+    best = [top(rows, k).withColumn("retrieval_path", F.lit(path)) for rows, path in zip(found, ("bm25", "dense"), strict=True)]
+    return as_evidence(best[0].unionByName(best[1]), chunks, None)
+
+
 # --- late interaction -----------------------------------------------------------------------------------------
 def token_vectors(terms: DataFrame, dimensions: int = 128) -> DataFrame:
     """term, bucket, v: once for each distinct word. [D8]"""
@@ -224,7 +236,7 @@ def visual(pages: DataFrame, questions: DataFrame, k: int = 5, dimensions: int =
     """
     hinted = lambda question: any(h in question.lower() for h in VISUAL_HINTS)
     blocks = [B.DenseBlock([(q, w) for q, _, w in part], dimensions, [hinted(t) for _, t, _ in part], 0.05) for part in B.question_blocks(questions)]
-    scores = B.scores(B.dense_rows(visual_items(pages), dimensions, ("has_image",)) if index is None else index, blocks, k)
+    scores = L.best_rows(visual_items(pages), k, [], blocks, dimensions).drop("side") if index is None else B.scores(index, blocks, k)
     shown = pages.select(F.col("page_id").alias("chunk_id"), F.array(F.col("number").cast("int")).alias("page_numbers"), "text")
     return as_evidence(top(scores, k), shown, "visual")
 

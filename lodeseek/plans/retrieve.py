@@ -86,12 +86,19 @@ def planner_hits(chunks: DataFrame, pages: DataFrame | None, questions: DataFram
     # a few rows a question, read by each route
     steps = settled(steps.withColumn("depth", F.greatest(F.lit(k), F.bround(F.lit(k) * F.element_at("route_factors", F.col("route"))).cast("int"))).drop("route_factors"))
     used = {r["route"] for r in steps.select("route").distinct().collect()}  # at most the six routes
-    out = None
+    asked = lambda route: steps.where(F.col("route") == route).select("query_id", "question")
+    out, shared = None, None
+    if {"bm25", "dense"} <= used and indexes is None and scope == "document":
+        # both lists come from one pass over the chunks
+        shared = settled(R.bm25_and_dense(chunks, asked("bm25"), asked("dense"), 3 * k, made.get("k1", 1.5), made.get("b", 0.75), made.get("dense_dimensions", 384)))
     for route in ("bm25", "dense", "late", "visual", "graph", "hybrid"):
         if route not in used or missing_indexes(route, indexes) or (route == "visual" and pages is None):
             continue  # a route without its index is left out; the trace says so
         own = steps.where(F.col("route") == route)
-        hits = retrieve(route, chunks, pages, own.select("query_id", "question"), 3 * k, scope, indexes, **made)
+        if shared is not None and route in ("bm25", "dense"):
+            hits = shared.where(F.col("retrieval_path") == route)
+        else:
+            hits = retrieve(route, chunks, pages, asked(route), 3 * k, scope, indexes, **made)
         hits = hits.join(own.select("query_id", "place", "depth"), "query_id").where(F.col("rank") <= F.col("depth"))
         hits = hits.withColumn("ord", F.col("place") * 10_000 + F.col("rank")).drop("place", "depth", "rank")
         out = hits if out is None else out.unionByName(hits)

@@ -18,7 +18,7 @@ from lodeseek.operators import evaluate, evidence, filters, graph, merge, page_v
 from lodeseek.operators import retrievers as R
 from lodeseek.operators.chunking import chunk_pages, segments
 from lodeseek.plans import planner, retrieve
-from lodeseek.session import settled, shared_folder
+from lodeseek.session import settled, shared_folder, written
 from lodeseek.sources import ingest
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -498,9 +498,9 @@ def l1_plan_batch(spark, sf):
 
 def hits(spark, sf) -> tuple[DataFrame, DataFrame]:
     """Twenty hits of BM25 and twenty dense ones of each question."""
-    asked, chunks = questions(spark, sf), doc_chunks(spark, sf)
-    words, vectors = (f(chunks, asked, 20).withColumn("ord", F.col("rank").cast("long") + ahead).drop("rank") for f, ahead in ((R.bm25, 0), (R.dense, 10_000)))
-    return words.unionByName(vectors), asked
+    asked = questions(spark, sf)
+    found = R.bm25_and_dense(doc_chunks(spark, sf), asked, asked, 20)
+    return found.withColumn("ord", F.col("rank").cast("long") + F.when(F.col("retrieval_path") == "dense", 10_000).otherwise(0)).drop("rank"), asked
 
 
 def ranked_sql(source: str, name: str, k: int) -> str:
@@ -563,9 +563,7 @@ PLANNER = f"""{ladder_sql('q')}, {ranked_sql('bm', 'pb', 10)}, {ranked_sql('de',
 
 @query(f"WITH {CHUNKS}, {ASKED}, {TERMS}, {bm25_sql('document_id')}, {DENSE}, {PLANNER} SELECT query_id, rank, chunk_id, round(score, 6) AS score FROM mg")
 def l7_planner_corpus(spark, sf):
-    # the routes read the chunks
-    chunks = settled(doc_chunks(spark, sf))
-    return shown(retrieve.plan_and_merge(chunks, doc_pages(spark, sf), questions(spark, sf), 5))
+    return shown(retrieve.plan_and_merge(doc_chunks(spark, sf), doc_pages(spark, sf), questions(spark, sf), 5))
 
 
 CARD = f"""WITH {CHUNKS}, {ASKED}, {TERMS}, {bm25_sql('document_id')}, i AS ({'WITH ' + best_sql('bm')}), t AS (SELECT i.*, document_id, replace(trim(text), chr(10), ' ') AS s FROM i JOIN chunks USING (chunk_id)),
@@ -657,7 +655,8 @@ def judged(spark, sf) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Cases, and evidence and cards of three modes."""
     asked = questions(spark, sf)
     cases = judged_cases(asked)
-    chunks, e, c = settled(doc_chunks(spark, sf)), None, None
+    # each mode reads the chunks
+    chunks, e, c = written(doc_chunks(spark, sf)), None, None
     for mode in MODES:
         rows = settled(retrieve.retrieve(mode, chunks, doc_pages(spark, sf), asked, 5))
         card = evidence.cards(rows, asked)

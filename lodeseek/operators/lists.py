@@ -22,6 +22,8 @@ from lodeseek.operators import blocks as B
 from lodeseek.session import settled, ship
 
 BM25, DENSE = "bm25", "dense"
+#: Bytes of text that are looked at together where documents need not be whole; a longer text is taken alone.
+TEXT = 8 << 20
 #: For each byte: itself in lower case if it is part of a word, or 0.
 LETTERS = np.zeros(256, np.uint8)
 for _c in b"abcdefghijklmnopqrstuvwxyz0123456789_":
@@ -49,7 +51,7 @@ def byte_words(column) -> tuple:
 
 
 def runs(column) -> np.ndarray:
-    """For each row the number of changes in a column without nulls before it."""
+    """For each row the number of changes in a column before it."""
     code = column.dictionary_encode().indices.to_numpy()
     return np.concatenate([[0], np.cumsum(code[1:] != code[:-1])])
 
@@ -75,6 +77,21 @@ def whole(batches: Iterator) -> Iterator:
         yield pa.Table.from_batches(held)
 
 
+def pieces(batches: Iterator, most: int) -> Iterator:
+    """The rows of batches again, cut so that texts have at most so many bytes together, or are one row."""
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    for b in batches:
+        ends = np.cumsum(pc.fill_null(pc.binary_length(b.column("text")), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        start = 0
+        while start < b.num_rows:
+            before = ends[start - 1] if start else 0
+            end = max(start + 1, int(np.searchsorted(ends, before + most, side="right")))
+            yield pa.Table.from_batches([b.slice(start, end - start)])
+            start = end
+
+
 class Words(B.Block):
     """Questions by BM25 with the statistics of each document."""
 
@@ -132,7 +149,7 @@ def best_rows(items: DataFrame, k: int, words: list[Words], dense: list[B.DenseB
             one, two = shared.value
             asked = [(side, block, B.Best(len(block.ids), k)) for side, block in ((BM25, one), (DENSE, two)) if block is not None]
             hashes, kinds = B.Hashes(dimensions), None
-            tables = whole(batches) if one is not None else (pa.Table.from_batches([b]) for b in batches if b.num_rows)
+            tables = whole(batches) if one is not None else pieces(batches, TEXT)
             for t in tables:
                 t = t.combine_chunks()
                 kinds = [pa.string(), pa.string(), *(t.schema.field(n).type for n in B.KEY), pa.float64()]

@@ -68,3 +68,10 @@ def test_routes_of_a_plan_share_one_pass(corpus, monkeypatch):
     monkeypatch.setattr(L, "best_rows", lambda *a, real=L.best_rows: (seen.append(1), real(*a))[1])
     got = retrieve.plan_and_merge(chunks, None, asked, 3)
     assert got.count() > 0 and len(seen) == 1
+
+
+def test_texts_are_looked_at_by_bytes():
+    texts = ["a" * 5, None, "b" * 4, "c" * 30, "", "d" * 10, "e"]
+    cut = list(L.pieces([pa.RecordBatch.from_arrays([pa.array(texts)], names=["text"])], 10))
+    assert [x for t in cut for x in t.column("text").to_pylist()] == texts
+    assert [t.num_rows for t in cut] == [3, 1, 2, 1]

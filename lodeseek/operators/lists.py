@@ -52,7 +52,7 @@ def byte_words(column) -> tuple:
 
 def runs(column) -> np.ndarray:
     """For each row the number of changes in a column before it."""
-    code = column.dictionary_encode().indices.to_numpy()
+    code = column.dictionary_encode(null_encoding="encode").indices.to_numpy()
     return np.concatenate([[0], np.cumsum(code[1:] != code[:-1])])
 
 
@@ -189,6 +189,31 @@ def best_rows(items: DataFrame, k: int, words: list[Words], dense: list[B.DenseB
     return spark.createDataFrame([], schema) if out is None else out
 
 
+def document_terms(chunks: DataFrame) -> DataFrame:
+    """document_id, term, df: the number of a document's chunks with each of its words, made where the document lies. [G2]"""
+    ship(chunks.sparkSession)
+    rows = chunks.select("document_id", "text").repartition("document_id").sortWithinPartitions("document_id")
+    kind = rows.schema["document_id"].dataType.simpleString()
+
+    def scan(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for t in whole(batches):
+            t = t.combine_chunks()
+            ids = t.column("document_id").chunk(0)
+            flat, length = byte_words(t.column("text").chunk(0))
+            coded = flat.dictionary_encode()
+            many = max(1, len(coded.dictionary))
+            row, word = np.divmod(np.unique(np.repeat(np.arange(t.num_rows), length) * many + coded.indices.to_numpy()), many)
+            number = runs(ids)
+            place, df = np.unique(number[row] * many + word, return_counts=True)
+            document, word = np.divmod(place, many)
+            first = np.searchsorted(number, document)
+            yield pa.RecordBatch.from_arrays([ids.take(pa.array(first)), coded.dictionary.cast(pa.string()).take(pa.array(word)), pa.array(df.astype(np.int64))], names=["document_id", "term", "df"])
+
+    return rows.mapInArrow(scan, f"document_id {kind}, term string, df long")
+
+
 def both(items: DataFrame, words: DataFrame, dense: DataFrame, k: int, k1: float = 1.5, b: float = 0.75, dimensions: int = 384) -> tuple[DataFrame, DataFrame]:
     """Two tables of query_id, KEY, score: supersets of the k best by BM25 for the questions in words, and by vectors for those in dense; written by one pass."""
     got = settled(best_rows(items, k, word_blocks(words, k1, b), dense_blocks(dense, dimensions), dimensions))

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from lodeseek.functions import text as T
 from lodeseek.functions import vectors as V
-from lodeseek.operators import evaluate, evidence, filters, graph, merge, page_vectors, postings, profile, sensitive
+from lodeseek.operators import evaluate, evidence, filters, graph, lists, merge, page_vectors, postings, profile, sensitive
 from lodeseek.operators import retrievers as R
 from lodeseek.operators.chunking import chunk_pages, segments
 from lodeseek.plans import planner, retrieve
@@ -292,7 +292,7 @@ def g1_term_frequency(spark, sf):
 
 @query(f"WITH {CHUNKS}, {ASKED}, {TERMS} SELECT document_id, term, count(*) AS df FROM tf GROUP BY ALL")
 def g2_document_frequency(spark, sf):
-    return R.postings(doc_chunks(spark, sf)).where("term is not null").groupBy("document_id", "term").agg(F.count("*").alias("df"))
+    return lists.document_terms(doc_chunks(spark, sf))
 
 
 @query(f"WITH {CHUNKS}, {ASKED}, {TERMS}, {bm25_sql('document_id')}, {best_sql('bm')}")

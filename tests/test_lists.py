@@ -70,6 +70,20 @@ def test_routes_of_a_plan_share_one_pass(corpus, monkeypatch):
     assert got.count() > 0 and len(seen) == 1
 
 
+def test_document_terms_are_counts_of_postings(spark, corpus):
+    chunks, _ = corpus
+    plain = R.postings(chunks).where("term is not null").groupBy("document_id", "term").agg(F.count("*").alias("df"))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4")
+    try:
+        got = L.document_terms(chunks)
+        assert sorted(map(str, got.collect())) == sorted(map(str, plain.collect())) and got.count() > 1000
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    # no table of words is aggregated
+    assert "Aggregate" not in got._jdf.queryExecution().executedPlan().toString()
+    assert L.document_terms(chunks.limit(0)).count() == 0
+
+
 def test_texts_are_looked_at_by_bytes():
     texts = ["a" * 5, None, "b" * 4, "c" * 30, "", "d" * 10, "e"]
     cut = list(L.pieces([pa.RecordBatch.from_arrays([pa.array(texts)], names=["text"])], 10))

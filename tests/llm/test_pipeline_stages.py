@@ -173,3 +173,11 @@ def test_a_shingle_of_many_rows_enters_no_prefix_and_few_counters_change_no_grou
         monkeypatch.setattr(near_copies.rarity, "__defaults__", (bits,))
         found = near_copies.first_of_groups(spark.createDataFrame(rows, SCHEMA)).collect()
         assert {r["__ls_k"]: r["first"]["__ls_k"] for r in found} == {d: d // 10 * 10 for d, _ in rows}
+
+
+def test_only_the_texts_of_candidates_are_shuffled(spark):
+    rows = keyed(spark.createDataFrame([(i, f"text {i}") for i in range(3000)] + [(None, None)], SCHEMA))
+    wanted = rows.where("doc_id is null or doc_id % 100 = 0").select("__ls_k", "__ls_t")
+    kept = {r.doc_id for r in near_copies.marked(rows, wanted).select("doc_id").collect()}
+    assert {None, *range(0, 3000, 100)} <= kept and len(kept) < 40
+    assert near_copies.marked(rows, wanted.limit(0)).count() == 0

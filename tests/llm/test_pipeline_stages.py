@@ -181,3 +181,27 @@ def test_only_the_texts_of_candidates_are_shuffled(spark):
     kept = {r.doc_id for r in near_copies.marked(rows, wanted).select("doc_id").collect()}
     assert {None, *range(0, 3000, 100)} <= kept and len(kept) < 40
     assert near_copies.marked(rows, wanted.limit(0)).count() == 0
+
+
+def test_the_join_on_shingles_makes_no_rows_of_pairs_that_are_far_apart(spark):
+    draw, passage = random.Random(16), words(random.Random(17), 60)
+    # a quarter of each text is one passage; every tenth has a near copy: two words of 240 changed
+    rows = []
+    for i in range(200):
+        w = [*passage, *words(draw, 180)]
+        rows.append((10 * i, " ".join(w)))
+        if i % 10 == 0:
+            rows.append((10 * i + 1, " ".join([*w[:-30], "other", *w[-29:-1], "other"])))
+    sets = {d: near_copies.shingles(t.encode()) for d, t in rows}
+    few = list(sets.values())[:40]
+    for x in few:
+        for y in few:
+            bits = (near_copies.odd(x) ^ near_copies.odd(y)).view("uint8")
+            assert sum(int(b).bit_count() for b in bits) <= len(set(x.tolist()) ^ set(y.tolist()))
+    # every node with one shingle that all share, early in all orders
+    sides = spark.createDataFrame([(7, d, len(h), 0, d, near_copies.odd(h).tolist()) for d, h in sets.items()], "token long, node long, n long, at long, root long, odd array<long>")
+    met = {frozenset((r.a, r.b)) for r in near_copies.meetings(sides, near_copies.SIMILARITY).collect()}
+    alike = {frozenset((d, d + 1)) for d in sets if d + 1 in sets}
+    assert len(alike) == 20 and alike <= met and len(met) < 40
+    found = near_copies.first_of_groups(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert {r["__ls_k"]: r["first"]["__ls_k"] for r in found} == {d: d // 10 * 10 for d in sets}

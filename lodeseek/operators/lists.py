@@ -56,18 +56,18 @@ def runs(column) -> np.ndarray:
     return np.concatenate([[0], np.cumsum(code[1:] != code[:-1])])
 
 
-def whole(batches: Iterator) -> Iterator:
-    """The rows of batches, in the order of their documents, again, but none ends inside a document."""
+def whole(batches: Iterator, by: str = "document_id") -> Iterator:
+    """The rows of batches, in the order of their documents (or another column), again, but none ends inside a document."""
     import pyarrow as pa
 
     held = []
     for b in batches:
         if not b.num_rows:
             continue
-        if held and held[-1].column("document_id")[-1] != b.column("document_id")[0]:
+        if held and held[-1].column(by)[-1] != b.column(by)[0]:
             yield pa.Table.from_batches(held)
             held = []
-        number = runs(b.column("document_id"))
+        number = runs(b.column(by))
         cut = int(np.searchsorted(number, number[-1]))
         if cut:
             yield pa.Table.from_batches([*held, b.slice(0, cut)])

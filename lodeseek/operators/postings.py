@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 
 from lodeseek.functions import text as T
 from lodeseek.operators import blocks as B
+from lodeseek.operators.lists import byte_words, runs, whole
 from lodeseek.operators.retrievers import as_evidence, ranked, scope_columns, small
 from lodeseek.session import settled, ship
 
@@ -32,6 +33,7 @@ from lodeseek.session import settled, ship
 SPAN, LEADING, PAGE_ROWS = 1024, 4, 2_000
 #: More terms than this are not named in the filter of the scan, which Spark would turn into one wide range.
 NAMED = 10
+COUNTED = ["term", "span", "n", "places", "tfs", "sizes"]
 BLOCK = "term string, span long, n long, top double, places binary, impacts binary"
 
 
@@ -70,7 +72,20 @@ def build(chunks: DataFrame, at: str, scope: str = "corpus", k1: float = 1.5, b:
     keys = numbered(chunks)
     keys.sortWithinPartitions("no").write.mode("overwrite").option("parquet.page.row.count.limit", PAGE_ROWS).parquet(f"{at}/keys")
     keys = spark.read.schema(keys.schema).parquet(f"{at}/keys")
-    rows = impacts(chunks, scope, k1, b).join(keys.hint("merge"), B.KEY).select("term", F.expr(f"no div {span}").alias("span"), (F.col("no") % span).cast("int").alias("place"), "impact")
+    if scope == "corpus":
+        packed = packed_spans(chunks, keys, f"{at}/counted", k1, b, span)
+    else:
+        packed = packed_rows(impacts(chunks, scope, k1, b).join(keys.hint("merge"), B.KEY), span)
+    packed.write.mode("overwrite").option("parquet.page.row.count.limit", PAGE_ROWS).option("compression", "zstd").parquet(f"{at}/blocks")
+    counted = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{at}/counted")
+    counted.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(counted, True)
+    spark.createDataFrame([(scope, k1, b, span, keys.count())], "scope string, k1 double, b double, span int, chunks long").coalesce(1).write.mode("overwrite").json(f"{at}/about")
+    return Index(spark, at)
+
+
+def packed_rows(rows: DataFrame, span: int) -> DataFrame:
+    """The blocks of postings (term, no, impact), in order."""
+    rows = rows.select("term", F.expr(f"no div {span}").alias("span"), (F.col("no") % span).cast("int").alias("place"), "impact")
     # at most span postings meet in a group
     grouped = rows.groupBy("term", "span").agg(F.count("*").alias("n"), F.max("impact").alias("top"), F.array_sort(F.collect_list(F.struct("place", "impact"))).alias("p"))
 
@@ -89,10 +104,91 @@ def build(chunks: DataFrame, at: str, scope: str = "corpus", k1: float = 1.5, b:
                 columns.append(pa.Array.from_buffers(pa.binary(), len(lists), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(data.tobytes())]))
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("term", "span", "n", "top")), *columns], names=["term", "span", "n", "top", "places", "impacts"])
 
-    packed = grouped.repartitionByRange("term", "span").sortWithinPartitions("term", "span").mapInArrow(pack, BLOCK)
-    packed.write.mode("overwrite").option("parquet.page.row.count.limit", PAGE_ROWS).parquet(f"{at}/blocks")
-    spark.createDataFrame([(scope, k1, b, span, keys.count())], "scope string, k1 double, b double, span int, chunks long").coalesce(1).write.mode("overwrite").json(f"{at}/about")
-    return Index(spark, at)
+    return grouped.repartitionByRange("term", "span").sortWithinPartitions("term", "span").mapInArrow(pack, BLOCK)
+
+
+def word_counts(batches: Iterator, span: int) -> Iterator:
+    """The blocks of the ranges of some texts, whose rows (span, place, text) come in the order of ranges: term, span, n and, packed,
+    places, numbers of the term and sizes of the chunks; a row without a term has the number of words of a batch, and of its texts."""
+    import pyarrow as pa
+
+    for t in whole(batches, "span"):
+        t = t.combine_chunks()
+        column, at, place = t.column("text").chunk(0), t.column("span").to_numpy(), t.column("place").to_numpy().astype(np.int64)
+        flat, length = byte_words(column)
+        coded = flat.dictionary_encode()
+        many, number = max(1, len(coded.dictionary)), runs(t.column("span").chunk(0))
+        row = np.repeat(np.arange(t.num_rows), length)
+        key, tf = np.unique((number[row] * many + coded.indices.to_numpy()) * span + place[row], return_counts=True)
+        size = np.zeros((int(number[-1]) + 1) * span, np.int64)
+        size[number * span + place] = length
+        block, where = np.divmod(key, span)
+        first = np.flatnonzero(np.diff(block, prepend=-1))
+        n = np.diff(np.append(first, len(block)))
+        of, word = np.divmod(block[first], many)
+        # two bytes a number where that is enough
+        columns = [bytes_of(x.astype("<u2" if not len(x) or x.max() < 1 << 16 else "<u4"), n) for x in (where, tf, size[of.repeat(n) * span + where])]
+        head = np.searchsorted(number, of)
+        yield pa.RecordBatch.from_arrays([coded.dictionary.cast(pa.string()).take(pa.array(word)), pa.array(at[head]), pa.array(n.astype(np.int64)), *columns], names=COUNTED)
+        total = [pa.array([None], pa.string()), pa.array([int(length.sum())]), pa.array([len(column) - column.null_count]), *([pa.array([None], pa.binary())] * 3)]
+        yield pa.RecordBatch.from_arrays(total, names=COUNTED)
+
+
+def unpacked(column, n: np.ndarray) -> np.ndarray:
+    """The numbers of all rows of a packed column, of which row i has n[i]."""
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    two = pc.binary_length(column).to_numpy() == 2 * n
+    if two.all():
+        column = column.cast(pa.large_binary())
+        _, offsets, data = column.buffers()
+        start = int(np.frombuffer(offsets, np.int64)[column.offset])
+        return np.frombuffer(data, "<u2", int(n.sum()), start)
+    return np.concatenate([np.frombuffer(x.as_buffer(), "<u2" if t else "<u4").astype(np.int64) for x, t in zip(column, two.tolist(), strict=True)])
+
+
+def bytes_of(numbers: np.ndarray, n: np.ndarray):
+    """A packed column, of which row i has the next n[i] numbers."""
+    import pyarrow as pa
+
+    offsets = np.concatenate([[0], np.cumsum(n)]).astype(np.int64) * numbers.itemsize
+    return pa.Array.from_buffers(pa.large_binary(), len(n), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(numbers))]).cast(pa.binary())
+
+
+def packed_spans(chunks: DataFrame, keys: DataFrame, at: str, k1: float, b: float, span: int) -> DataFrame:
+    """The blocks of an index over a corpus, in order.
+
+    A range's texts meet in a task, which counts its words there, so there is no row for a posting. Texts are shuffled to
+    their ranges, and the blocks to the order of terms, with six bytes a posting. The
+    numbers of words are written to the folder at first, as impacts need the average length; the caller removes it.
+    """
+    first = keys.groupBy("document_id").agg(F.min("no").alias("first")).hint("merge")
+    # chunks that lie by document are not shuffled for their numbers
+    place = F.row_number().over(Window.partitionBy("document_id").orderBy("chunk_index", "chunk_id"))
+    rows = chunks.select(*B.KEY, "text").join(first, "document_id").select((F.col("first") + place - 1).alias("no"), "text")
+    rows = rows.select(F.expr(f"no div {span}").alias("span"), (F.col("no") % span).cast("int").alias("place"), "text").repartition("span").sortWithinPartitions("span")
+    counted = rows.mapInArrow(lambda batches: word_counts(batches, span), "term string, span long, n long, places binary, tfs binary, sizes binary")
+    counted.write.mode("overwrite").option("compression", "zstd").parquet(at)
+    counted = chunks.sparkSession.read.schema(counted.schema).parquet(at)
+    total = counted.where("term is null").agg(F.sum("span").alias("words"), F.sum("n").alias("texts")).first()
+    avg = (total["words"] or 0) / total["texts"] if total["texts"] else 0.0
+    avg = avg or 1.0
+
+    def pack(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            n = batch.column("n").to_numpy()
+            place, tf, size = (unpacked(batch.column(c), n) for c in COUNTED[3:])
+            impact = tf * (k1 + 1) / (tf + k1 * (1 - b + b * np.maximum(size, 1) / avg))
+            tops = np.maximum.reduceat(impact, np.cumsum(n) - n)
+            columns = [*(batch.column(c) for c in COUNTED[:3]), pa.array(tops), bytes_of(place.astype("<u4"), n), bytes_of(impact.astype("<f8"), n)]
+            yield pa.RecordBatch.from_arrays(columns, names=["term", "span", "n", "top", "places", "impacts"])
+
+    return counted.where("term is not null").repartitionByRange("term", "span").sortWithinPartitions("term", "span").mapInArrow(pack, BLOCK)
 
 
 class Index:

@@ -118,3 +118,27 @@ def test_the_engine_asks_the_index_by_term_until_something_is_written(spark, tmp
     (tmp_path / "d.txt").write_text("alpha beta alpha")
     engine.pipeline(str(tmp_path / "d.txt"), "bm25")
     assert len(told(engine.query("alpha beta", mode="bm25", save=False))) == 4 and len(asked) == 1
+
+
+def test_an_index_over_a_corpus_has_no_row_for_a_posting(spark, monkeypatch, tmp_path):
+    texts = ["one two two", "", "three ONE", "x " * 70_000, "two", "!"]
+    rows = [(f"d{i % 2}", f"d{i % 2}:chunk:{i}", i, t) for i, t in enumerate(texts)]
+    chunks = spark.createDataFrame(rows, "document_id string, chunk_id string, chunk_index int, text string").repartition(3)
+    expected = {}
+    monkeypatch.setattr(postings, "impacts", lambda *_: pytest.fail("rows of postings"))
+    index = postings.build(chunks, str(tmp_path / "index"), span=2)
+    assert not (tmp_path / "index" / "counted").exists() and index.chunks == len(texts)
+    order = sorted(rows, key=lambda r: (r[0], r[2], r[1]))
+    words = [r[3].lower().replace("!", "").split() for r in order]
+    avg = sum(map(len, words)) / len(words)
+    for no, held in enumerate(words):
+        for term in set(held):
+            tf = held.count(term)
+            expected.setdefault((term, no // 2), []).append((no % 2, tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * len(held) / avg))))
+    found = {}
+    for r in spark.read.parquet(f"{tmp_path}/index/blocks").collect():
+        found[r.term, r.span] = list(zip(np.frombuffer(r.places, "<u4").tolist(), np.frombuffer(r.impacts, "<f8").tolist(), strict=True))
+        assert r.n == len(found[r.term, r.span]) and r.top == max(x for _, x in found[r.term, r.span])
+    assert found.keys() == expected.keys()
+    for key, postings_of in expected.items():
+        assert [p for p, _ in found[key]] == [p for p, _ in postings_of] and np.allclose([x for _, x in found[key]], [x for _, x in postings_of], rtol=1e-12, atol=0)

@@ -360,14 +360,8 @@ def k6_visual_text(spark, sf):
 @query("""WITH q AS (SELECT vec_id AS query_id, embedding AS e FROM embeddings WHERE vec_id % 20 = 0), s AS (SELECT query_id, vec_id AS item_id, round(list_dot_product(list_transform(e, lambda x: x::DOUBLE), list_transform(embedding, lambda x: x::DOUBLE)), 6) AS score FROM q, embeddings)
 SELECT query_id, item_id, rank, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, item_id) AS rank FROM s) WHERE rank <= 5""")
 def emb_dot_topk(spark, sf):
-    e = table(spark, sf, "embeddings").select(F.col("vec_id").alias("item_id"), F.array(F.col("embedding").cast("array<double>")).alias("vectors"))
-    return five_best(e, e.where("item_id % 20 = 0").withColumnRenamed("item_id", "query_id"))
-
-
-def five_best(items: DataFrame, asked: DataFrame) -> DataFrame:
-    best, _ = page_vectors.search(settled(page_vectors.summarised(items)), asked, 5)
-    best = best.withColumn("score", F.round("score", 6))
-    return best.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "item_id")).cast("bigint"))
+    e = table(spark, sf, "embeddings").select(F.col("vec_id").alias("item_id"), F.col("embedding").cast("array<double>").alias("vector"))
+    return page_vectors.nearest(e, e.where("item_id % 20 = 0").withColumnRenamed("item_id", "query_id"), 5, 6).select("query_id", "item_id", "rank", "score")
 
 
 @query("""WITH d AS (SELECT vec_id // 25 AS item_id, vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS d FROM embeddings), a AS (SELECT item_id AS query_id, vec_id, d AS a FROM d WHERE vec_id % 20 = 0),
